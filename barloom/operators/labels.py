@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.operators.tiles import NO, SERIES, core, number_bars, tile, tiled
+from barloom.operators.features import Feature, Stage, compute
+from barloom.operators.tiles import NO, SERIES, core, number_bars, tile
 
 PATH = ("bar_ts", "high", "low", "close")
 
 
-def triple_barrier(bars: DataFrame, tp: Column, sl: Column, horizon: int) -> DataFrame:
+def path_ahead(horizon: int) -> Feature:
+    """The next `horizon` bars of each bar, as the array column `_path`."""
+
+    def path(w: WindowSpec) -> Column:
+        return F.collect_list(F.struct(*PATH)).over(w.rowsBetween(1, horizon))
+
+    return Feature(("_path",), 0, (Stage({"_path": path}),), after=horizon)
+
+
+def triple_barrier(
+    bars: DataFrame, tp: Column, sl: Column, horizon: int, features: Sequence[Feature] = ()
+) -> DataFrame:
     """Label each bar by what its close meets first in the next `horizon` bars.
 
     1 for the profit barrier `tp` above, -1 for the loss barrier `sl` below or both
-    in one bar, 0 for neither; NULL while fewer bars are known and none was met.
+    in one bar, 0 for neither; NULL while fewer bars are known and none was met. The
+    distances may use `features`, which are computed on the same tiles.
     """
-
-    def ahead(df: DataFrame, w) -> DataFrame:
-        path = F.collect_list(F.struct(*PATH)).over(w.rowsBetween(1, horizon))
-        return df.withColumns(
-            {"_up": F.col("close") + tp, "_down": F.col("close") - sl, "_path": path}
-        )
-
-    made = tiled(number_bars(bars), ahead, after=horizon)
+    made = compute(bars, *features, path_ahead(horizon))
+    made = made.withColumns({"_up": F.col("close") + tp, "_down": F.col("close") - sl})
     met = F.filter("_path", lambda p: (p.high >= F.col("_up")) | (p.low <= F.col("_down")))
     made = made.withColumn("_met", F.get(met, F.lit(0)))
     label = (

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions.sqlmath import ratio
 from barloom.operators import features as ft
-from barloom.operators.labels import add_fill, add_outcome, expectancy_filter, valid_order
+from barloom.operators.labels import (
+    add_fill, add_outcome, expectancy_filter, path_ahead, valid_order,
+)
 from barloom.operators.samples import quantile_baseline
-from barloom.operators.tiles import SERIES, number_bars, tiled
+from barloom.operators.tiles import SERIES
 
 # Fixed value: confidence above which a forecast triggers an order.
 TRIGGER = 0.70
@@ -68,20 +70,13 @@ def policy_grid(
 ) -> DataFrame:
     """Mean P/L in ATR units of every buy-limit setting, per volatility regime.
 
-    The forward path of a bar is collected once and replayed for each setting; the
-    settings are a literal list, and the averages combine before their shuffle.
+    Features and the forward path of a bar come from one tiling; the path is replayed
+    for each setting of the literal list, and the averages combine before their shuffle.
     """
-    described = ft.compute(bars, ft.atr(), ft.vol_expansion())
-    described = described.withColumn(
+    reach = expiry_bars + horizon
+    paths = ft.compute(bars, ft.atr(), ft.vol_expansion(), path_ahead(reach)).withColumn(
         "regime", F.when(F.col("vol_expansion") > 1, "expanding").otherwise("calm")
     )
-    reach = expiry_bars + horizon
-
-    def ahead(df: DataFrame, w) -> DataFrame:
-        path = F.collect_list(F.struct("bar_ts", "high", "low", "close"))
-        return df.withColumn("_path", path.over(w.rowsBetween(1, reach)))
-
-    paths = tiled(number_bars(described), ahead, after=reach)
     grid = F.array(
         *[
             F.struct(F.lit(d).alias("discount"), F.lit(s).alias("stop"), F.lit(t).alias("target"))
@@ -100,10 +95,12 @@ def policy_grid(
             "tp": F.col("entry") + F.col("target") * F.col("atr"),
         }
     )
-    played = add_outcome(add_fill(orders), horizon).filter(F.col("pnl").isNotNull())
+    played = add_outcome(add_fill(orders), horizon)
+    # Undecided orders have no P/L; averages and counts skip them.
+    filled = F.when(F.col("pnl").isNotNull(), (F.col("status") == "FILLED").cast("double"))
     return played.groupBy("regime", "discount", "stop", "target").agg(
-        F.count("*").alias("n"),
-        F.avg((F.col("status") == "FILLED").cast("double")).alias("fill_rate"),
+        F.count("pnl").alias("n"),
+        F.avg(filled).alias("fill_rate"),
         F.avg(ratio("pnl", "atr")).alias("ev"),
     )
 

@@ -67,7 +67,7 @@ def order_states(events: DataFrame, expiry: str, as_of: Column, grain: int = 360
     )
     steps = cut.groupBy("order_id", "_cut").agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind"))).alias("_steps")
-    )
+    ).withColumn("_as_of", as_of)
     none = F.expr(f"cast(array() as {_ENDS})")
     start = F.struct(
         F.lit(None).cast("timestamp_ntz").alias("placed"),
@@ -104,7 +104,7 @@ def order_states(events: DataFrame, expiry: str, as_of: Column, grain: int = 360
         )
 
     def finish(acc: Column) -> Column:
-        late = acc.placed + limit < as_of
+        late = acc.placed + limit < F.col("_as_of")
         state = F.when(late, F.lit("EXPIRED")).otherwise(F.lit("PENDING"))
         at = F.when(late, acc.placed + limit)
         return F.when(acc.placed.isNotNull(), end(acc, state, at)).otherwise(acc.ends)

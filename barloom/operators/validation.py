@@ -13,6 +13,7 @@ from barloom.functions.clock import plus_seconds, slot
 from barloom.functions.sqlmath import hash32
 from barloom.operators.metrics import chain, path_summary
 from barloom.operators.tiles import asof, number
+from barloom.session import store
 
 Fold = tuple[int, datetime, datetime]
 
@@ -154,20 +155,32 @@ def mc_drawdown(
 ) -> DataFrame:
     """Maximum drawdown of `runs` sequences, each drawn with replacement from the blocks.
 
-    Every position of a run picks a block by hash; summaries of `stretch` positions
-    are chained first, then the stretches of a run, so a long run is no single task
-    and only one row per run reaches the quantiles.
+    Every position of a run picks a block by hash. Positions are generated where they
+    are needed: (run, stretch) pairs are spread over the cluster first and expanded
+    there. The blocks are written once, so that the planner knows their size and
+    broadcasts them only below its threshold. Summaries of the stretches are chained
+    per run, so a long run is no single task.
     """
-    sizes = blocks.groupBy(*by).agg(F.count("*").alias("_n"))
-    draws = (
-        blocks.select(*by, F.col("block_no").alias("_pos"))
-        .join(sizes, list(by))
-        .withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    by = list(by)
+    spark = blocks.sparkSession
+    blocks = store(blocks, "mc-blocks")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = blocks.groupBy(*by).agg(F.count("*").alias("_n")).select(
+        *by,
+        "_n",
+        F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"),
+    )
+    last = F.col("_n") - 1
+    parts = parts.withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / stretch)))
+    ).repartition(tasks, *by, "run", "_part")
+    first = F.col("_part") * stretch
+    draws = parts.withColumn(
+        "_pos", F.explode(F.sequence(first, F.least(first + stretch - 1, last)))
     )
     draws = draws.withColumn("block_no", hash32(F.lit(seed), "run", *by, "_pos") % F.col("_n"))
     path = draws.drop("_n").join(blocks, [*by, "block_no"])
-    part = path.withColumn("_part", F.floor(F.col("_pos") / stretch))
-    stretches = chain(part, [*by, "run", "_part"], "_pos")
+    stretches = chain(path, [*by, "run", "_part"], "_pos")
     return chain(stretches, [*by, "run"], "_part").select(
         *by, "run", F.col("total").alias("profit"), F.col("drop").alias("max_drawdown")
     )

@@ -1,4 +1,4 @@
-from barloom.plans import data_queries, feature_queries  # noqa: F401
+from barloom.plans import data_queries, feature_queries, strategy_queries  # noqa: F401
 from barloom.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
