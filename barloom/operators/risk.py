@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,10 @@ from barloom.functions.clock import slot
 from barloom.functions.sqlmath import ratio
 from barloom.operators.tiles import Scan, running
 
+_ENDS = "array<struct<event_id:bigint,placed:timestamp_ntz,state:string,ended:timestamp_ntz>>"
+# Ending events and the state they lead to.
+TERMINAL = {"FILL": "FILLED", "CANCEL": "CANCELLED", "REJECT": "REJECTED"}
+
 
 def size_lots(
     df: DataFrame, risk: float, kelly_cap: float, step: float = 0.01, contract: float = 1.0
@@ -43,12 +47,14 @@ def open_count(trades: DataFrame, by: Sequence[str], grain: int = 3600) -> DataF
     return counted.filter(F.col("_step") == 1).select(*by, "trade_id", "open_ts", "open_trades")
 
 
-_ENDS = "array<struct<event_id:bigint,placed:timestamp_ntz,state:string,ended:timestamp_ntz>>"
-# Ending events and the state they lead to.
-TERMINAL = {"FILL": "FILLED", "CANCEL": "CANCELLED", "REJECT": "REJECTED"}
-
-
-def order_states(events: DataFrame, expiry: str, as_of: Column, grain: int = 3600) -> DataFrame:
+def order_states(
+    events: DataFrame,
+    expiry: str,
+    as_of: Column,
+    grain: int = 3600,
+    opening: str = "PLACE",
+    endings: Mapping[str, str] = TERMINAL,
+) -> DataFrame:
     """Life of every placed order: when it was placed, how and when it ended by `as_of`.
 
     A PLACE opens an order unless one is open; FILL, CANCEL and REJECT end it, and so
@@ -57,10 +63,10 @@ def order_states(events: DataFrame, expiry: str, as_of: Column, grain: int = 360
     not one task.
     """
     limit = F.expr(f"interval {expiry}")
-    log = events.filter(F.col("kind").isin("PLACE", *TERMINAL)).select(
+    log = events.filter(F.col("kind").isin(opening, *endings)).select(
         "order_id", "event_id", "ts", "kind"
     )
-    ending = F.when(F.col("kind") != "PLACE", F.struct("ts", "event_id"))
+    ending = F.when(F.col("kind") != opening, F.struct("ts", "event_id"))
     cut = running(
         log, ["order_id"], ["ts", "event_id"], slot("ts", grain), [Scan("_cut", "max", ending)],
         inclusive=False,
@@ -85,11 +91,11 @@ def order_states(events: DataFrame, expiry: str, as_of: Column, grain: int = 360
     def step(acc: Column, x: Column) -> Column:
         is_open = acc.placed.isNotNull()
         late = is_open & (x.ts > acc.placed + limit)
-        places = x.kind == "PLACE"
+        places = x.kind == opening
         opens = places & (~is_open | late)
         closes = ~places & is_open & ~late
         state = F.lit(None).cast("string")
-        for kind, name in TERMINAL.items():
+        for kind, name in endings.items():
             state = F.when(x.kind == kind, F.lit(name)).otherwise(state)
         ends = (
             F.when(late, end(acc, F.lit("EXPIRED"), acc.placed + limit))

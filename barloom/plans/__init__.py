@@ -1,4 +1,6 @@
-from barloom.plans import data_queries, feature_queries, strategy_queries  # noqa: F401
+from barloom.plans import (  # noqa: F401
+    data_queries, feature_queries, strategy_queries, stream_queries,
+)
 from barloom.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

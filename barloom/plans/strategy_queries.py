@@ -412,8 +412,7 @@ GATED = f"""with recursive {TICKS}, {TRADES}, p as materialized (select account_
 
 
 def _gated(spark, sf):
-    ticks = views.ticks(spark, sf).select(F.col("tick_id").alias("trade_id"), "spread")
-    offers = views.trades(spark, sf).join(ticks, "trade_id")
+    offers = views.offers_view(views.events(spark, sf))
     return risk.risk_gate(offers, max_spread=0.4, max_open=2, daily_loss=40.0)
 
 

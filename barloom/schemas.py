@@ -43,6 +43,11 @@ AUDIT = _schema(
 )
 
 
+def with_long(schema: T.StructType, name: str) -> T.StructType:
+    """Copy of a schema with one more BIGINT column."""
+    return T.StructType([*schema.fields, T.StructField(name, L)])
+
+
 def require(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project to `schema`; raise if a column is missing or has another type."""
     have = {f.name: f.dataType for f in df.schema}

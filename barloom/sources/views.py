@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom import schemas
 from barloom.functions.clock import plus_seconds
@@ -79,6 +78,18 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def offers_view(ev: DataFrame) -> DataFrame:
+    """Trades that are yet to pass the risk gates, with the spread at their opening."""
+    return ev.select(
+        F.col("event_id").alias("trade_id"),
+        (F.col("user_id") % 10).alias("account_id"),
+        F.col("ts").alias("open_ts"),
+        plus_seconds("ts", _k() * 60).alias("close_ts"),
+        F.round(F.col("value") * _k() / 10000.0, 6).alias("spread"),
+        F.round(F.col("value") - PNL_LEVEL, 2).alias("pnl"),
+    )
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         F.col("c_custkey").alias("account_id"), F.col("c_acctbal").alias("balance")
@@ -100,7 +111,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str, tf: str = "H1") -> DataFrame:
     """Numbered bars, built from the ticks once per application and kept as Parquet."""
     slot = (spark.sparkContext.applicationId, sf_dir, tf)
-    schema = T.StructType([*schemas.BARS.fields, T.StructField(NO, T.LongType())])
+    schema = schemas.with_long(schemas.BARS, NO)
     if slot not in _stores:
         path = fresh_dir(spark, f"bars-{tf}")
         # Stored before numbering, which reads its input twice: ticks are scanned once.
