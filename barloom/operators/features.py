@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.clock import SESSIONS, in_session
 from barloom.functions.sqlmath import ratio
-from barloom.operators.tiles import NO, TILE_OVER, core, number_bars, tile, tile_window
+from barloom.operators.tiles import NO, TILE, TILE_OVER, core, number_bars, tile, tile_window
 
 # Weight left outside the look-back of a recursive average; below double precision.
 TAIL = 1e-15
@@ -30,12 +30,25 @@ RADIX = 8
 Expr = Callable[[WindowSpec], Column]
 
 
+@dataclass(frozen=True)
+class Average:
+    """Recursive average of a column.
+
+    A `price` is averaged through its changes, so that an unchanged price gives
+    exactly itself; other inputs are at least zero or oscillate around it.
+    """
+
+    column: str
+    alpha: float
+    price: bool = False
+
+
 @dataclass(frozen=True)
 class Stage:
-    """Columns first; then averages, given as (input column, alpha)."""
+    """Columns first, then averages."""
 
     columns: Mapping[str, Expr] = field(default_factory=dict)
-    averages: Mapping[str, tuple[str, float]] = field(default_factory=dict)
+    averages: Mapping[str, Average] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -46,13 +59,13 @@ class Feature:
     after: int = 0
 
 
-def compute(bars: DataFrame, *features: Feature) -> DataFrame:
-    """Add the columns of all features to the bars."""
+def compute(bars: DataFrame, *features: Feature, size: int = TILE) -> DataFrame:
+    """Add the columns of all features to the bars; `size` is the tile size in rows."""
     before, after = max(f.before for f in features), max(f.after for f in features)
     rowwise = before == after == 0
-    df = bars if rowwise else tile(number_bars(bars), before, after)
+    df = bars if rowwise else tile(number_bars(bars), before, after, size)
     df = apply_stages(df, tile_window(), features)
-    df = df if rowwise else core(df)
+    df = df if rowwise else core(df, size)
     names = [n for f in features for n in f.outputs]
     return df.select(*[c for c in bars.columns if c not in names], *names)
 
@@ -60,7 +73,7 @@ def compute(bars: DataFrame, *features: Feature) -> DataFrame:
 def apply_stages(df: DataFrame, w: WindowSpec, features: tuple[Feature, ...]) -> DataFrame:
     for i in range(max(len(f.stages) for f in features)):
         columns: dict[str, Expr] = {}
-        averages: dict[str, tuple[str, float]] = {}
+        averages: dict[str, Average] = {}
         for feature in features:
             if i < len(feature.stages):
                 columns.update(feature.stages[i].columns)
@@ -84,36 +97,40 @@ def radices(alpha: float) -> list[int]:
 
 def average_rows(alpha: float) -> int:
     """Rows of look-back that a recursive average reads."""
-    return math.prod(radices(alpha)) - 1
+    return math.prod(radices(alpha))
 
 
 def span_alpha(n: int) -> float:
     return 2.0 / (n + 1)
 
 
-def recursive_average(df: DataFrame, specs: Mapping[str, tuple[str, float]]) -> DataFrame:
+def recursive_average(df: DataFrame, specs: Mapping[str, Average]) -> DataFrame:
     """Add e[t] = e[t-1] + alpha * (x[t] - e[t-1]) with e[0] = x[0] for each spec.
 
+    For a price the distance d = x - e is built: d[t] = beta * (d[t-1] + x[t] - x[t-1]).
     The rounds are many similar terms, so they are given to Spark as SQL text.
     """
-    df = df.withColumns(
-        {
-            out: F.expr(f"if({NO} = 0, {x}, {alpha!r}D * {x})")
-            for out, (x, alpha) in specs.items()
-        }
-    )
-    plans = {out: radices(alpha) for out, (_, alpha) in specs.items()}
+    start, finish = {}, {}
+    for out, spec in specs.items():
+        x, beta = spec.column, 1 - spec.alpha
+        if spec.price:
+            start[out] = F.expr(f"{beta!r}D * ({x} - lag({x}, 1, {x}) {TILE_OVER})")
+            finish[out] = F.expr(f"{x} - {out}")
+        else:
+            start[out] = F.expr(f"if({NO} = 0, {x}, {spec.alpha!r}D * {x})")
+    df = df.withColumns(start)
+    plans = {out: radices(spec.alpha) for out, spec in specs.items()}
     for i in range(max(map(len, plans.values()))):
         step = {}
-        for out, (_, alpha) in specs.items():
+        for out, spec in specs.items():
             if i >= len(plans[out]):
                 continue
             stride = math.prod(plans[out][:i])
             lags = [j * stride for j in range(1, plans[out][i])]
-            terms = [f"{(1 - alpha) ** k!r}D * lag({out}, {k}, 0D) {TILE_OVER}" for k in lags]
+            terms = [f"{(1 - spec.alpha) ** k!r}D * lag({out}, {k}, 0D) {TILE_OVER}" for k in lags]
             step[out] = F.expr(" + ".join([out, *terms]))
         df = df.withColumns(step)
-    return df
+    return df.withColumns(finish) if finish else df
 
 
 def _range() -> Column:
@@ -150,7 +167,7 @@ def true_range() -> Feature:
 
 
 def _atr_stage(*periods: int) -> Stage:
-    return Stage({"_tr": _true_range}, {f"_atr{n}": ("_tr", 1.0 / n) for n in periods})
+    return Stage({"_tr": _true_range}, {f"_atr{n}": Average("_tr", 1.0 / n) for n in periods})
 
 
 def _atr_rows(n: int) -> int:
@@ -179,7 +196,7 @@ def vol_expansion(fast: int = 5, slow: int = 50) -> Feature:
 
 def ema(column: str = "close", n: int = 12) -> Feature:
     alpha = span_alpha(n)
-    return Feature(("ema",), average_rows(alpha), (Stage(averages={"ema": (column, alpha)}),))
+    return Feature(("ema",), average_rows(alpha), (Stage(averages={"ema": Average(column, alpha, price=True)}),))
 
 
 def ema_z(n: int = 20, win: int = 50) -> Feature:
@@ -191,7 +208,7 @@ def ema_z(n: int = 20, win: int = 50) -> Feature:
         return ratio(F.col(d) - F.avg(d).over(frame), F.stddev_samp(d).over(frame))
 
     stages = (
-        Stage(averages={e: ("close", span_alpha(n))}),
+        Stage(averages={e: Average("close", span_alpha(n), price=True)}),
         Stage({d: lambda w: ratio("close", e) - 1}),
         Stage({"ema_z": z}),
     )
@@ -210,7 +227,7 @@ def rsi(n: int = 14) -> Feature:
     stages = (
         Stage(
             {"_up": lambda w: move(w, 1), "_down": lambda w: move(w, -1)},
-            {g: ("_up", 1.0 / n), l: ("_down", 1.0 / n)},
+            {g: Average("_up", 1.0 / n), l: Average("_down", 1.0 / n)},
         ),
         Stage({"rsi": lambda w: F.when(total == 0, 0.0).otherwise((100 * ratio(g, total) - 50) / 50)}),
     )
@@ -220,10 +237,15 @@ def rsi(n: int = 14) -> Feature:
 def macd_ratio(fast: int = 12, slow: int = 26, signal: int = 9) -> Feature:
     f, s = f"_ema{fast}", f"_ema{slow}"
     stages = (
-        Stage(averages={f: ("close", span_alpha(fast)), s: ("close", span_alpha(slow))}),
+        Stage(
+            averages={
+                f: Average("close", span_alpha(fast), price=True),
+                s: Average("close", span_alpha(slow), price=True),
+            }
+        ),
         Stage(
             {"macd": lambda w: ratio(F.col(f) - F.col(s), "close")},
-            {"macd_signal": ("macd", span_alpha(signal))},
+            {"macd_signal": Average("macd", span_alpha(signal))},
         ),
         Stage({"macd_hist": lambda w: F.col("macd") - F.col("macd_signal")}),
     )

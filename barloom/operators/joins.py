@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.clock import WIDTHS, plus_seconds
 from barloom.operators.quality import dedupe
 from barloom.operators.tiles import asof
+from barloom.session import store
 
 
 def align(fast: DataFrame, slow: DataFrame, fast_tf: str, slow_tf: str, cols: Sequence[str]) -> DataFrame:
@@ -46,12 +47,14 @@ def quotes(ticks: DataFrame) -> DataFrame:
 def floating_pnl(positions: DataFrame, last: DataFrame, contract: float = 1.0) -> DataFrame:
     """Positions valued at the last quote; half the spread is paid on closing.
 
-    There is one quote per symbol, so the join is broadcast by its measured size.
+    The quotes, one per symbol, are stored first: with their size known the positions
+    need no shuffle by symbol unless there are very many symbols.
     """
     way = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
     exit_price = F.col("quote") - way * F.col("quote_spread") / 2
     gain = way * (exit_price - F.col("entry")) * F.col("volume") * contract
-    return positions.join(last, "symbol", "left").withColumn("floating_pnl", gain)
+    known = store(last, "quotes")
+    return positions.join(known, "symbol", "left").withColumn("floating_pnl", gain)
 
 
 def equity(accounts: DataFrame, valued: DataFrame) -> DataFrame:

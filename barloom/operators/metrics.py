@@ -81,7 +81,7 @@ def chain(stretches: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     )
 
 
-def max_drawdown(trades: DataFrame, by: Sequence[str], grain: int = 3600) -> DataFrame:
+def max_drawdown(trades: DataFrame, by: Sequence[str], grain: int = 60) -> DataFrame:
     """Largest fall of the equity below its running peak, in closing order.
 
     Rows are reduced to one summary per `grain` seconds of each key; only the
@@ -131,7 +131,7 @@ def deflated_sharpe(trades: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def proof_report(trades: DataFrame, by: Sequence[str], grain: int = 3600) -> DataFrame:
+def proof_report(trades: DataFrame, by: Sequence[str], grain: int = 60) -> DataFrame:
     """Trade statistics, drawdown and deflated Sharpe ratio per strategy."""
     return (
         trade_stats(trades, by)

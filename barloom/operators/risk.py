@@ -29,7 +29,7 @@ def size_lots(
     return df.withColumn("kelly", kelly).withColumn("lots", F.floor(raw / step) * step)
 
 
-def open_count(trades: DataFrame, by: Sequence[str], grain: int = 3600) -> DataFrame:
+def open_count(trades: DataFrame, by: Sequence[str], grain: int = 60) -> DataFrame:
     """Trades open just after each opening, the opened one included.
 
     Openings add one and closings take one away on a common time line; at equal
@@ -51,7 +51,7 @@ def order_states(
     events: DataFrame,
     expiry: str,
     as_of: Column,
-    grain: int = 3600,
+    grain: int = 60,
     opening: str = "PLACE",
     endings: Mapping[str, str] = TERMINAL,
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from barloom.functions.sqlmath import ratio
 from barloom.operators.joins import diff_within
 from barloom.operators.quality import dedupe
 from barloom.operators.tiles import NO, SERIES, number_bars, tiled
+from barloom.session import store
 
 
 def windows(bars: DataFrame, cols: Sequence[str], length: int, horizon: int) -> DataFrame:
@@ -108,10 +109,12 @@ def causality_diff(
 def stationarity(df: DataFrame, cols: Sequence[str], blocks: int) -> DataFrame:
     """Mean and deviation of each column in equal stretches of each series.
 
-    The stretch of a row follows from its position and the row count alone.
+    The stretch of a row follows from its position and the row count alone. The counts,
+    one per series, are stored so that the rows need no shuffle by series.
     """
     numbered = number_bars(df)
-    sized = numbered.join(numbered.groupBy(*SERIES).agg(F.count("*").alias("_n")), list(SERIES))
+    counts = store(numbered.groupBy(*SERIES).agg(F.count("*").alias("_n")), "series-counts")
+    sized = numbered.join(counts, list(SERIES))
     small, extra = F.floor(F.col("_n") / blocks), F.col("_n") % blocks
     edge = extra * (small + 1)  # the first `extra` stretches hold one row more
     stretch = F.when(F.col(NO) < edge, F.floor(F.col(NO) / (small + 1))).otherwise(

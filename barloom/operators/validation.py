@@ -52,8 +52,10 @@ def walk_forward(
 ) -> DataFrame:
     """Out-of-sample scores of every fold: `fit(train)` returns the scorer of its test rows.
 
-    The only loop is over the few folds; training and scoring are Spark jobs.
+    The only loop is over the few folds; training and scoring are Spark jobs. The table
+    is stored once, since every fold reads it.
     """
+    df = store(df, "walk-forward")
     scored = []
     for k, start, end in folds:
         lo, hi = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
@@ -94,7 +96,7 @@ def friction_shock(
     trades: DataFrame,
     ticks: DataFrame,
     scenarios: Iterable[tuple[str, float, int]],
-    grain: int = 3600,
+    grain: int = 60,
 ) -> DataFrame:
     """Trades priced again under each scenario (name, spread factor, slippage in ms).
 
@@ -130,13 +132,13 @@ def friction_shock(
 
 def day_blocks(trades: DataFrame, by: Sequence[str]) -> DataFrame:
     """Numbered trading days of each key with the summary of their P/L path."""
-    hour = slot("close_ts", 3600)
-    hours = path_summary(trades, by, ["close_ts", "trade_id"], hour)
-    days = chain(hours.withColumn("_day", F.floor(F.col("_chunk") / 24)), [*by, "_day"], "_chunk")
+    minutes = path_summary(trades, by, ["close_ts", "trade_id"], slot("close_ts", 60))
+    dated = minutes.withColumn("_day", F.floor(F.col("_chunk") / 1440))
+    days = chain(dated, [*by, "_day"], "_chunk")
     return number(days, by, ["_day"], F.floor(F.col("_day") / 366), "block_no").drop("_day")
 
 
-def trade_blocks(trades: DataFrame, by: Sequence[str], grain: int = 3600) -> DataFrame:
+def trade_blocks(trades: DataFrame, by: Sequence[str], grain: int = 60) -> DataFrame:
     """Numbered trades of each key, each with the summary of its own P/L."""
     numbered = number(trades, by, ["close_ts", "trade_id"], slot("close_ts", grain), "block_no")
     pnl = F.col("pnl")

@@ -12,7 +12,7 @@ from barloom.plans.oracle import TICKS, bars, bars_of, r
 from barloom.plans.registry import query
 from barloom.plans.data_queries import BAR_COLS
 from barloom.plans.strategy_queries import EMBARGO, FOLDS, GATED, LIVES, _gated
-from barloom.session import fresh_dir
+from barloom.session import fresh_dir, store
 from barloom.sources import files, views
 from barloom.streaming import orders as order_streams
 from barloom.streaming import ticks as tick_streams
@@ -109,7 +109,7 @@ def j6(spark, sf):
         table.filter((F.col("bar_ts") >= lo) & (F.col("bar_ts") < hi)).write.mode("append").parquet(landed)
         stream = files.stream_table(spark, landed, schemas.BARS)
         tick_streams.features_stream(
-            stream, f"{path}/history", f"{path}/out", f"{path}/checkpoint", [ft.true_range(), ft.bb_width()]
+            stream, f"{path}/tail", f"{path}/out", f"{path}/checkpoint", [ft.true_range(), ft.bb_width()]
         ).awaitTermination()
     return spark.read.parquet(f"{path}/out").select("symbol", "bar_ts", "tr", "bb_width")
 
@@ -184,7 +184,7 @@ SPLIT = "2024-01-21 00:00:00"
 
 
 def _parts(spark, sf):
-    table = models.training_table(views.bars(spark, sf))
+    table = store(models.training_table(views.bars(spark, sf)), "training")
     cut = F.lit(SPLIT).cast("timestamp_ntz")
     return table.filter(F.col("label_end") < cut), table.filter(F.col("bar_ts") >= cut)
 

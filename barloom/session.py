@@ -67,7 +67,9 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
-    Cuts the lineage, and unlike an RDD checkpoint later reads still prune columns.
+    Cuts the lineage; later reads still prune columns, and the planner knows the size:
+    it broadcasts the table below its threshold and shuffles it otherwise. So a small
+    derived table is stored before it meets a large one on a skewed key.
     """
     path = fresh_dir(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)

@@ -76,44 +76,37 @@ def autopilot_stream(forecasts: DataFrame, threshold: float) -> DataFrame:
 class FeatureAppender:
     """`foreachBatch` writer that adds features to each batch of new bars.
 
-    A batch is read together with the last bars of each symbol that the features look
-    back on. Every batch writes its own folders, so a repeated batch changes nothing.
+    Each batch leaves the last bars of every series that the features look back on as
+    the tail for the next one, so a batch reads itself and one bounded tail, never the
+    history. Batches write folders of their own: repeating one changes nothing.
     """
 
-    def __init__(self, history: str, out: str, features: Sequence[ft.Feature]):
-        self.history, self.out, self.features = history, out, tuple(features)
+    def __init__(self, tail: str, out: str, features: Sequence[ft.Feature]):
+        self.tail, self.out, self.features = tail, out, tuple(features)
         self.rows = max(f.before for f in features)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select(*schemas.BARS.names)
-        fresh.write.mode("overwrite").parquet(f"{self.history}/batch={batch_id}")
-        fresh = spark.read.schema(schemas.BARS).parquet(f"{self.history}/batch={batch_id}")
-        start = fresh.groupBy(*SERIES).agg(F.min("bar_ts").alias("_start"))
-        stored = spark.read.schema(schemas.with_long(schemas.BARS, "batch")).parquet(self.history)
-        older = stored.filter(F.col("batch") < batch_id).drop("batch").join(start, list(SERIES))
-        w = Window.partitionBy(*SERIES).orderBy(F.col("bar_ts").desc())
-        recent = (
-            older.filter(F.col("bar_ts") < F.col("_start"))
-            .withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") <= self.rows)
-        )
-        line = fresh.withColumn("_new", F.lit(True)).unionByName(
-            recent.select(*schemas.BARS.names, F.lit(False).alias("_new"))
+        line = batch.select(*schemas.BARS.names).withColumn("_new", F.lit(True))
+        if batch_id > 0:
+            before = spark.read.schema(schemas.BARS).parquet(f"{self.tail}/batch={batch_id - 1}")
+            line = line.unionByName(before.withColumn("_new", F.lit(False)))
+        newest = Window.partitionBy(*SERIES).orderBy(F.col("bar_ts").desc())
+        kept = line.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= self.rows)
+        kept.select(*schemas.BARS.names).write.mode("overwrite").parquet(
+            f"{self.tail}/batch={batch_id}"
         )
         made = ft.compute(line, *self.features).filter("_new").drop("_new")
         made.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
 
 
 def features_stream(
-    bars: DataFrame, history: str, out: str, checkpoint: str, features: Sequence[ft.Feature]
+    bars: DataFrame, tail: str, out: str, checkpoint: str, features: Sequence[ft.Feature]
 ):
     """Start a stream that appends the features of new bars to `out`."""
     return (
-        bars.writeStream.foreachBatch(FeatureAppender(history, out, features))
+        bars.writeStream.foreachBatch(FeatureAppender(tail, out, features))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-
-
