@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.clock import WIDTHS, col, market_open, plus_seconds, seconds
+from barloom.functions.sqlmath import sorted_quantile
 from barloom.operators.tiles import SERIES, Scan, number_bars, number_ticks, running, tiled
 
 
@@ -98,10 +99,11 @@ def spread_median(ticks: DataFrame, n: int) -> DataFrame:
     """Add `spread_median`: exact median of the previous `n` ticks of the symbol."""
 
     def rolling(df: DataFrame, w) -> DataFrame:
-        frame = w.rowsBetween(-n, -1)
-        return df.withColumn("spread_median", F.percentile("spread", F.lit(0.5)).over(frame))
+        recent = F.sort_array(F.collect_list("spread").over(w.rowsBetween(-n, -1)))
+        return df.withColumn("_recent", recent)
 
-    return tiled(number_ticks(ticks), rolling, before=n, keys=["symbol"])
+    seen = tiled(number_ticks(ticks), rolling, before=n, keys=["symbol"])
+    return seen.withColumn("spread_median", sorted_quantile("_recent", 0.5)).drop("_recent")
 
 
 def newest_before(

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.sqlmath import ratio
+from barloom.functions.sqlmath import ratio, sorted_quantile
 from barloom.operators.joins import diff_within
 from barloom.operators.quality import dedupe
 from barloom.operators.tiles import NO, SERIES, number_bars, tiled
@@ -69,23 +69,21 @@ def quantile_baseline(bars: DataFrame, win: int = 100, min_n: int = 20) -> DataF
     def forecast(df: DataFrame, w) -> DataFrame:
         df = returns(df, w)
         frame = w.rowsBetween(-win, -1)
-        qs = F.percentile("_r", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
         return df.withColumns(
             {
-                "_n": F.count("_r").over(frame),
-                "_q": qs.over(frame),
+                "_past": F.sort_array(F.collect_list("_r").over(frame)),
                 "p_bull": F.avg((F.col("_r") > 0).cast("double")).over(frame),
             }
         )
 
-    made = tiled(number_bars(bars), forecast, before=win + 1).filter(F.col("_n") >= min_n)
-    price = lambda i: F.col("_pc") * (1 + F.get("_q", F.lit(i)))
+    made = tiled(number_bars(bars), forecast, before=win + 1).filter(F.size("_past") >= min_n)
+    price = lambda q: F.col("_pc") * (1 + sorted_quantile("_past", q))
     return made.select(
         *SERIES,
         "bar_ts",
-        price(0).alias("q10"),
-        price(1).alias("q50"),
-        price(2).alias("q90"),
+        price(0.1).alias("q10"),
+        price(0.5).alias("q50"),
+        price(0.9).alias("q90"),
         "p_bull",
         F.greatest("p_bull", 1 - F.col("p_bull")).alias("confidence"),
     )
