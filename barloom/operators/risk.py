@@ -23,7 +23,9 @@ def size_lots(
     """Add `kelly` and `lots`: capped Kelly share, at most `risk` of the equity at the stop."""
     odds = ratio(F.abs(F.col("tp") - F.col("entry")), F.abs(F.col("entry") - F.col("sl")))
     full = F.col("p_win") - ratio(1 - F.col("p_win"), odds)
-    kelly = F.greatest(F.least(full, F.lit(kelly_cap)), F.lit(0.0))
+    # An order without a stop distance has no odds, and gets nothing.
+    capped = F.greatest(F.least(full, F.lit(kelly_cap)), F.lit(0.0))
+    kelly = F.when(full.isNotNull(), capped).otherwise(0.0)
     stop = F.abs(F.col("entry") - F.col("sl")) * contract
     raw = ratio(F.col("equity") * F.least("kelly", F.lit(risk)), stop)
     return df.withColumn("kelly", kelly).withColumn("lots", F.floor(raw / step) * step)

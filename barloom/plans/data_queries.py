@@ -86,7 +86,7 @@ def a5(spark, sf):
 
 @query(
     "a6_sql_layer",
-    f"""{bars()} select symbol, cast(bar_ts as date) as day, max(high) - min(low) as day_range,
+    f"""{bars()} select symbol, cast(cast(bar_ts as date) as varchar) as day, max(high) - min(low) as day_range,
   sum(volume)::bigint as volume from bars group by 1, 2 having count(*) >= 2""".replace(
         "max(high) - min(low)", r("max(high) - min(low)")
     ),
@@ -94,7 +94,7 @@ def a5(spark, sf):
 def a6(spark, sf):
     files.register(spark, {"bars": views.bars(spark, sf)})
     return spark.sql(
-        """select symbol, cast(bar_ts as date) as day, max(high) - min(low) as day_range,
+        """select symbol, cast(cast(bar_ts as date) as string) as day, max(high) - min(low) as day_range,
         sum(volume) as volume from bars group by 1, 2 having count(*) >= 2"""
     )
 
@@ -189,13 +189,13 @@ BAD_SPREAD = "(spread <= 0 or coalesce(spread > 3 * spread_median, false))"
 @query(
     "b7_check_spread",
     f"""with {TICKS}, {MEDIAN} select tick_id, symbol, spread,
-  round(spread_median * 2e6)::bigint as twice_median_points, {BAD_SPREAD} as bad from m""",
+  round(spread_median * 2e6) as twice_median_points, {BAD_SPREAD} as bad from m""",
 )
 def b7(spark, sf):
     rolled = q.spread_median(views.ticks(spark, sf), 50)
     bad = q.chk_spread("spread", "spread_median", 3.0).alias("bad")
     # The median of an even count has one digit more than the spreads; kept whole here.
-    points = F.round(F.col("spread_median") * 2e6).cast("bigint").alias("twice_median_points")
+    points = F.round(F.col("spread_median") * 2e6).alias("twice_median_points")
     return rolled.select("tick_id", "symbol", "spread", points, bad)
 
 

@@ -294,7 +294,7 @@ def d_full(spark, sf):
   f as (select *, bar_ts + interval 5 minutes as decided from m5),
   j as (select f.*, h1_bar_ts, h1_close, h1_volume from f asof left join s1
   on s1.symbol = f.symbol and s1.closed <= f.decided)
-  select j.symbol, j.bar_ts, j.close, h1_bar_ts, h1_close, h1_volume, h4_bar_ts, h4_close
+  select j.symbol, j.bar_ts, j.close, h1_bar_ts, h1_close, h1_volume::double as h1_volume, h4_bar_ts, h4_close
   from j asof left join s4 on s4.symbol = j.symbol and s4.closed <= j.decided""",
 )
 def e1(spark, sf):
@@ -302,7 +302,8 @@ def e1(spark, sf):
     hour = views.bars(spark, sf, "H1")
     four = bar_ops.resample(hour, "H4")
     one = joins.align(fast.select(*KEY, "close"), hour, "M5", "H1", ["close", "volume"])
-    return joins.align(one, four, "M5", "H4", ["close"])
+    both = joins.align(one, four, "M5", "H4", ["close"])
+    return both.withColumn("h1_volume", F.col("h1_volume").cast("double"))
 
 
 @query(

@@ -206,11 +206,11 @@ def _barriers(spark, sf, horizon):
 
 @query(
     "f1_triple_barrier",
-    f"""{BARRIER.format(h=24)} select symbol, bar_ts, {r('up')} as tp_level, {r('down')} as sl_level, label,
+    f"""{BARRIER.format(h=24)} select symbol, bar_ts, {r('up')} as tp_level, {r('down')} as sl_level, label::double as label,
   touch_ts from tb""",
 )
 def f1(spark, sf):
-    return _barriers(spark, sf, 24).drop("tf")
+    return _barriers(spark, sf, 24).withColumn("label", F.col("label").cast("double")).drop("tf")
 
 
 @query(
@@ -262,7 +262,7 @@ def f3(spark, sf):
 GRID = f"""{with_averages({**ATR14, 'fast': ('tr', 1 / 5), 'slow': ('tr', 1 / 50)})},
   g as (select * from (values (0.1e0), (0.4e0)) d(discount), (values (0.5e0), (1e0), (2e0)) s(stop),
   (values (1e0), (2e0)) t(target)),
-  o as materialized (select a.symbol, a.rn, atr, case when fast / slow > 1 then 'expanding' else 'calm' end as regime,
+  o as materialized (select a.symbol, a.rn, atr, case when fast / nullif(slow, 0) > 1 then 'expanding' else 'calm' end as regime,
   discount, stop, target, close - discount * atr as entry, close - discount * atr - stop * atr as sl,
   close - discount * atr + target * atr as tp, count(*) over (partition by symbol, discount, stop, target) as total
   from a, g),
@@ -277,7 +277,7 @@ GRID = f"""{with_averages({**ATR14, 'fast': ('tr', 1 / 5), 'slow': ('tr', 1 / 50
   from fl left join met using (symbol, rn, discount, stop, target)
   left join a x on x.symbol = fl.symbol and x.rn = met left join a z on z.symbol = fl.symbol and z.rn = fill + 12),
   grid as (select regime, discount, stop, target, count(*) as n,
-  avg(case when fill is not null then 1e0 else 0e0 end) as fill_rate, avg(pnl / atr) as ev
+  avg(case when fill is not null then 1e0 else 0e0 end) as fill_rate, avg(pnl / nullif(atr, 0)) as ev
   from p where pnl is not null group by 1, 2, 3, 4)"""
 
 
@@ -328,27 +328,33 @@ QUOTED = f"""with {TICKS}, {POSITIONS}, q as (select symbol, price as quote, spr
   else entry - quote - quote_spread / 2 end * volume as floating_pnl from positions p left join q using (symbol))"""
 
 
+def _e3(c: str):
+    """Values with nine exact digits in thousandths, so that rounding meets no ties."""
+    return (F.col(c) * 1e3).alias(f"{c}_e3")
+
+
 def _valued(spark, sf):
     return joins.floating_pnl(views.positions(spark, sf), joins.quotes(views.ticks(spark, sf)))
 
 
 @query(
     "e3_floating_pnl",
-    f"{QUOTED} select ticket, account_id, symbol, quote, {r('floating_pnl')} as floating_pnl from v",
+    f"{QUOTED} select ticket, account_id, symbol, quote, {r('floating_pnl * 1e3')} as floating_pnl_e3 from v",
 )
 def e3(spark, sf):
-    return _valued(spark, sf).select("ticket", "account_id", "symbol", "quote", "floating_pnl")
+    return _valued(spark, sf).select("ticket", "account_id", "symbol", "quote", _e3("floating_pnl"))
 
 
 @query(
     "e4_equity",
     f"""{QUOTED}, f as (select account_id, sum(floating_pnl) as fp, count(*) as n from v group by 1)
-  select c_custkey as account_id, c_acctbal as balance, {r('coalesce(fp, 0)')} as floating_pnl,
-  coalesce(n, 0) as positions, {r('c_acctbal + coalesce(fp, 0)')} as equity
+  select c_custkey as account_id, c_acctbal as balance, {r('coalesce(fp, 0) * 1e3')} as floating_pnl_e3,
+  coalesce(n, 0) as positions, {r('(c_acctbal + coalesce(fp, 0)) * 1e3')} as equity_e3
   from customer left join f on f.account_id = c_custkey""",
 )
 def e4(spark, sf):
-    return joins.equity(views.accounts(spark, sf), _valued(spark, sf))
+    accounts = joins.equity(views.accounts(spark, sf), _valued(spark, sf))
+    return accounts.select("account_id", "balance", _e3("floating_pnl"), "positions", _e3("equity"))
 
 
 LIVES = f"""with recursive {ORDER_EVENTS}, l as materialized (select *, row_number() over (partition by order_id
@@ -387,12 +393,13 @@ def j4(spark, sf):
     "f8_liquidation_set",
     f"""{LIVES}, {QUOTED.removeprefix('with ')} select 'CLOSE' as action, ticket as id,
   case when side = 'BUY' then 'SELL' else 'BUY' end as side, volume, quote as price,
-  {r('floating_pnl')} as floating_pnl from v union all
+  {r('floating_pnl * 1e3')} as floating_pnl_e3 from v union all
   select 'CANCEL', event_id, null, null, null, null from lives where state = 'PENDING'""",
 )
 def f8(spark, sf):
     pending = _lives(spark, sf).filter(F.col("state") == "PENDING")
-    return risk.liquidation_set(_valued(spark, sf), pending)
+    rows = risk.liquidation_set(_valued(spark, sf), pending)
+    return rows.select("action", "id", "side", "volume", "price", _e3("floating_pnl"))
 
 
 GATED = f"""with recursive {TICKS}, {TRADES}, p as materialized (select account_id, trade_id, open_ts, close_ts, pnl,
