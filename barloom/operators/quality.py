@@ -107,11 +107,15 @@ def spread_median(ticks: DataFrame, n: int) -> DataFrame:
 
 
 def newest_before(
-    ticks: DataFrame, arrival: Sequence[str], chunk: Column, ts: str = "ts"
+    ticks: DataFrame,
+    arrival: Sequence[str],
+    chunk: Column,
+    ts: str = "ts",
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Add `newest`: highest timestamp among the rows of the symbol that arrived earlier."""
     scan = Scan("newest", "max", F.col(ts))
-    return running(ticks, ["symbol"], arrival, chunk, [scan], inclusive=False)
+    return running(ticks, ["symbol"], arrival, chunk, [scan], inclusive=False, base=base)
 
 
 def validate(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
@@ -144,7 +148,8 @@ def bar_checks() -> dict[str, Column]:
 
 def checked_ticks(ticks: DataFrame, arrival: Sequence[str], chunk: Column, n: int, k: float) -> DataFrame:
     """All tick checks in one pass over rows that carry their recent context."""
-    return validate(newest_before(spread_median(ticks, n), arrival, chunk), tick_checks(k))
+    context = newest_before(spread_median(ticks, n), arrival, chunk, base=ticks)
+    return validate(context, tick_checks(k))
 
 
 def health_report(

@@ -140,15 +140,15 @@ def risk_gate(
     follow from the state of their minute.
     """
     key = ["account_id", "_day"]
+    sound = F.col("spread") <= max_spread
+    w = Window.partitionBy("account_id", "_minute").orderBy(F.desc("_sound"), "open_ts", "trade_id")
     rows = proposals.withColumns(
-        {"_day": F.to_date("open_ts"), "_minute": F.window("open_ts", "1 minute").start}
-    )
-    sound = rows.filter(F.col("spread") <= max_spread)
-    w = Window.partitionBy("account_id", "_minute").orderBy("open_ts", "trade_id")
-    first = sound.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_open)
+        {"_day": F.to_date("open_ts"), "_minute": F.window("open_ts", "1 minute").start, "_sound": sound}
+    ).withColumn("_rn", F.row_number().over(w))
+    first = rows.filter((F.col("_rn") <= max_open) & F.col("_sound"))
     days = first.groupBy(*key).agg(
         F.array_sort(
-            F.collect_list(F.struct("open_ts", "trade_id", "_minute", "close_ts", "pnl"))
+            F.collect_list(F.struct("open_ts", "trade_id", "_minute", "_rn", "close_ts", "pnl"))
         ).alias("_rows")
     )
     start = F.struct(
@@ -176,17 +176,17 @@ def risk_gate(
     verdicts = F.aggregate("_rows", start, step, lambda acc: acc.verdicts)
     judged = days.select(
         "account_id", F.inline(F.arrays_zip(F.col("_rows").alias("r"), verdicts.alias("v")))
-    ).select("account_id", "r.trade_id", "r._minute", F.col("v").alias("_verdict"))
-    blocked = judged.groupBy("account_id", "_minute").agg(
-        F.bool_or(F.col("_verdict") == "DAILY_LOSS").alias("_blocked")
     )
-    decided = (
-        rows.join(judged.select("trade_id", "_verdict"), "trade_id", "left")
-        .join(blocked, ["account_id", "_minute"], "left")
+    # One row per minute, so the proposals stay where the ranking has put them.
+    minutes = judged.groupBy("account_id", F.col("r._minute").alias("_minute")).agg(
+        F.array_sort(F.collect_list(F.struct("r._rn", "v"))).alias("_verdicts"),
+        F.bool_or(F.col("v") == "DAILY_LOSS").alias("_blocked"),
     )
+    decided = rows.join(minutes, ["account_id", "_minute"], "left")
+    own = F.get("_verdicts", F.col("_rn") - 1).getField("v")
     reason = (
-        F.when(F.col("spread") > max_spread, "SPREAD")
-        .when(F.col("_verdict").isNotNull(), F.col("_verdict"))
+        F.when(~F.col("_sound"), "SPREAD")
+        .when(own.isNotNull(), own)
         .when(F.col("_blocked"), "DAILY_LOSS")
         .otherwise("MAX_OPEN")
     )

@@ -69,16 +69,22 @@ def running(
     chunk: Column,
     scans: Sequence[Scan],
     inclusive: bool = True,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Add running values over each key in `order`; `chunk` must not decrease along it.
 
-    Rows are shuffled once by (keys, chunk). The totals read only the keys, the
-    order and the values, and combine before their shuffle.
+    Rows are shuffled once by (keys, chunk). The chunk totals read the rows a second
+    time, though only keys, order and values, and combine before their shuffle. They
+    are taken from `base` if given: a cheaper table with the same values and chunks.
     """
     keys, order = list(keys), list(order)
-    src = df.withColumn("_chunk", chunk)
-    src = src.withColumns({f"_v_{s.name}": s.value for s in scans})
-    totals = src.groupBy(*keys, "_chunk").agg(
+
+    def prepared(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_chunk", chunk)
+        return rows.withColumns({f"_v_{s.name}": s.value for s in scans})
+
+    src = prepared(df)
+    totals = prepared(df if base is None else base).groupBy(*keys, "_chunk").agg(
         *[s.total(F.col(f"_v_{s.name}"), _order_key(order)).alias(f"_c_{s.name}") for s in scans]
     )
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -214,8 +220,13 @@ def asof(
         payload.alias("_right"),
     )
     line = l_side.unionByName(r_side)
+    # The totals need the right rows, and of the left only which chunks it has.
+    start = F.timestamp_seconds(slot("_at", grain) * grain).cast("timestamp_ntz")
+    left_chunks = l_side.select(*keys, start.alias("_at"), "_side", *marks, "_right").distinct()
+    base = left_chunks.unionByName(r_side.drop("_left"))
+    match = Scan("_match", "last", col("_right"))
     scanned = running(
-        line, keys, ["_at", "_side", *marks], slot("_at", grain), [Scan("_match", "last", col("_right"))]
+        line, keys, ["_at", "_side", *marks], slot("_at", grain), [match], base=base
     )
     return scanned.filter(F.col("_side") == 1).select(
         "_left.*", *[F.col(f"_match.{c}").alias(c) for c in cols]
