@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 import pandas as pd
@@ -33,6 +34,11 @@ def sorted_quantile(values: Column | str, q: float) -> Column:
     return F.get(a, low) + (F.get(a, high) - F.get(a, low)) * (at - low)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, inside a lambda where Spark repeats it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hash32(*parts: Column | str) -> Column:
     """32 uniform bits of the md5 of the parts, as BIGINT; the same in every engine."""
     text = F.concat_ws("|", *[col(p).cast("string") for p in parts])

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.clock import slot
-from barloom.functions.sqlmath import ratio
+from barloom.functions.sqlmath import let, ratio
 from barloom.operators.tiles import Scan, running
 
 _ENDS = "array<struct<event_id:bigint,placed:timestamp_ntz,state:string,ended:timestamp_ntz>>"
+VERDICTS = {"A": "ACCEPT", "M": "MAX_OPEN", "D": "DAILY_LOSS"}
 # Ending events and the state they lead to.
 TERMINAL = {"FILL": "FILLED", "CANCEL": "CANCELLED", "REJECT": "REJECTED"}
 
@@ -154,32 +155,42 @@ def risk_gate(
     start = F.struct(
         F.lit(0.0).alias("booked"),
         F.expr("cast(array() as array<struct<close_ts:timestamp_ntz,pnl:double>>)").alias("open"),
-        F.expr("cast(array() as array<string>)").alias("verdicts"),
+        F.lit("").alias("codes"),
     )
 
     def step(acc: Column, x: Column) -> Column:
         closed = F.filter(acc["open"], lambda o: o.close_ts < x["_minute"])
-        still = F.filter(acc["open"], lambda o: o.close_ts >= x["_minute"])
-        booked = acc.booked + F.aggregate(closed, F.lit(0.0), lambda s, o: s + o.pnl)
-        verdict = (
-            F.when(booked <= -daily_loss, "DAILY_LOSS")
-            .when(F.size(still) >= max_open, "MAX_OPEN")
-            .otherwise("ACCEPT")
+        ledger = F.struct(
+            F.aggregate(closed, acc.booked, lambda s, o: s + o.pnl).alias("booked"),
+            F.filter(acc["open"], lambda o: o.close_ts >= x["_minute"]).alias("open"),
+        )
+        return let(ledger, lambda now: decide(acc, now, x))
+
+    def decide(acc: Column, now: Column, x: Column) -> Column:
+        code = (
+            F.when(now.booked <= -daily_loss, "D").when(F.size(now["open"]) >= max_open, "M").otherwise("A")
         )
         new = F.array(F.struct(x.close_ts.alias("close_ts"), x.pnl.alias("pnl")))
         return F.struct(
-            booked.alias("booked"),
-            F.when(verdict == "ACCEPT", F.concat(still, new)).otherwise(still).alias("open"),
-            F.concat(acc.verdicts, F.array(verdict)).alias("verdicts"),
+            now.booked.alias("booked"),
+            F.when(code == "A", F.concat(now["open"], new)).otherwise(now["open"]).alias("open"),
+            F.concat(acc.codes, code).alias("codes"),
         )
 
-    verdicts = F.aggregate("_rows", start, step, lambda acc: acc.verdicts)
-    judged = days.select(
-        "account_id", F.inline(F.arrays_zip(F.col("_rows").alias("r"), verdicts.alias("v")))
+    # One letter per row: a string grows far cheaper than an array does.
+    codes = F.aggregate("_rows", start, step, lambda acc: acc.codes)
+    names = F.create_map(*[F.lit(x) for pair in VERDICTS.items() for x in pair])
+    named = F.transform(
+        "_rows",
+        lambda r, i: F.struct(
+            r["_minute"].alias("_minute"), r["_rn"].alias("_rn"),
+            F.element_at(names, F.substr("_codes", i + 1, F.lit(1))).alias("v"),
+        ),
     )
+    judged = days.withColumn("_codes", codes).select("account_id", F.inline(named))
     # One row per minute, so the proposals stay where the ranking has put them.
-    minutes = judged.groupBy("account_id", F.col("r._minute").alias("_minute")).agg(
-        F.array_sort(F.collect_list(F.struct("r._rn", "v"))).alias("_verdicts"),
+    minutes = judged.groupBy("account_id", "_minute").agg(
+        F.array_sort(F.collect_list(F.struct("_rn", "v"))).alias("_verdicts"),
         F.bool_or(F.col("v") == "DAILY_LOSS").alias("_blocked"),
     )
     decided = rows.join(minutes, ["account_id", "_minute"], "left")
