@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import barloom
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 RUNTIME_CONF = {
@@ -20,7 +23,11 @@ RUNTIME_CONF = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the runtime options the operators rely on; cluster sizing is left alone."""
+    """Set the runtime options the operators rely on; cluster sizing is left alone.
+
+    The few Python functions travel by value, so workers need no copy of the package.
+    """
+    cloudpickle.register_pickle_by_value(barloom)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
