@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from barloom.operators import features as ft
-from barloom.operators import joins, labels, metrics, policy, risk, samples, validation
+from barloom.operators import joins, labels, metrics, policy, risk, samples, tiles, validation
 from barloom.plans.feature_queries import ATR14, OVER, forecasts_sql
 from barloom.plans.oracle import (
     ORDER_EVENTS, POSITIONS, TICKS, TRADES, bars, r, with_averages,
@@ -118,8 +118,8 @@ def c8(spark, sf):
     table = views.bars(spark, sf)
     fc = samples.quantile_baseline(table)
     # The direction label of a bar sits on the bar before it.
-    ups = samples.tiled(
-        samples.number_bars(table), lambda df, w: df.withColumn("_pc", F.lag("close").over(w)), before=1
+    ups = tiles.tiled(
+        tiles.number_bars(table), lambda df, w: df.withColumn("_pc", F.lag("close").over(w)), before=1
     ).select("symbol", "tf", "bar_ts", (F.col("close") > F.col("_pc")).alias("up"))
     return metrics.direction_metrics(fc.join(ups, ["symbol", "tf", "bar_ts"]), ["symbol"], "p_bull", "up")
 
@@ -467,7 +467,7 @@ def _reversion(spark, sf):
             }
         )
 
-    rows = samples.tiled(views.bars(spark, sf), rule, before=50, after=1)
+    rows = tiles.tiled(views.bars(spark, sf), rule, before=50, after=1)
     rows = rows.filter(F.col("_m").isNotNull() & F.col("_next").isNotNull())
     return rows.select(
         *KEY,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.operators import features as ft
-from barloom.operators import metrics, models, risk, samples, validation
+from barloom.operators import metrics, models, risk, samples, tiles, validation
 from barloom.plans.oracle import TICKS, bars, bars_of, r
 from barloom.plans.registry import query
 from barloom.plans.data_queries import BAR_COLS
@@ -127,7 +127,7 @@ def j7(spark, sf):
         up = (F.col("close") > F.col("open")).cast("double")
         return df.withColumn("_up", up).withColumn("p_bull", F.avg("_up").over(w.rowsBetween(-10, -1)))
 
-    made = samples.tiled(views.bars(spark, sf), share, before=10).filter(F.col("bar_no") >= 10)
+    made = tiles.tiled(views.bars(spark, sf), share, before=10).filter(F.col("bar_no") >= 10)
     path = fresh_dir(spark, "forecasts")
     made.select(
         "symbol", "bar_ts", F.greatest("p_bull", 1 - F.col("p_bull")).alias("confidence")
