@@ -66,3 +66,23 @@ def repeat_rows(df: DataFrame, times: str, number: str) -> DataFrame:
 def hex_of(fp: Column) -> Column:
     """A 64-bit value as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, sig, text and `rest`, a struct of every column but the text."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    rows = docs.select(rest.alias("rest"), F.col("text").cast("string").alias("text"))
+    return rows.select(F.col("rest.doc_id").alias("doc_id"), F.xxhash64(whole_text()).alias("sig"), "text", "rest")
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Back from `packed` to the named columns; n_chars, where there is one, follows the text."""
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        if name == "n_chars":
+            return F.length("text").cast(rows.schema["rest"].dataType["n_chars"].dataType).alias(name)
+        return F.col("rest").getField(name).alias(name)
+
+    return rows.select(*[column(c) for c in columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, exact_dedup, secrets
+from barloom.llm import chat, exact_dedup, line_dedup, secrets
 from barloom.llm.common import read, ready
 from barloom.session import store
 
@@ -71,3 +71,25 @@ def op10_chat_format(spark, sf_dir):
     return chat.digest(texts).select(
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
     )
+
+
+@query(
+    "op1_line_dedup",
+    r"""with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+    l as (select doc_id, i, ls[i + 1] as x, trim(ls[i + 1], ' ' || chr(9) || chr(13)) as t
+      from (select doc_id, ls, unnest(range(len(ls))) as i from d)),
+    f as (select *, row_number() over (partition by doc_id order by i) as p from l where t <> ''),
+    w as (select doc_id, p, t, lead(t) over o as t2, lead(t, 2) over o as t3 from f
+      window o as (partition by doc_id order by p)),
+    r as (select doc_id, p, row_number() over (partition by t, t2, t3 order by doc_id, p) as seen
+      from w where t3 is not null),
+    c as (select distinct doc_id, unnest([p, p + 1, p + 2]) as p from r where seen > 1),
+    k as (select l.doc_id, l.i, l.x, f.p, c.p as gone from l left join f using (doc_id, i)
+      left join c on c.doc_id = f.doc_id and c.p = f.p)
+    select doc_id, count(p) as n_lines, count(gone) as n_removed,
+      sha256(coalesce(string_agg(x, chr(10) order by i) filter (gone is null), '')) as text_sha256
+    from k group by doc_id""",
+)
+def op1_line_dedup(spark, sf_dir):
+    found = line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
