@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, exact_dedup, line_dedup, secrets
+from barloom.llm import chat, exact_dedup, line_dedup, secrets, simhash
 from barloom.llm.common import read, ready
 from barloom.session import store
 
@@ -93,3 +93,8 @@ def op10_chat_format(spark, sf_dir):
 def op1_line_dedup(spark, sf_dir):
     found = line_dedup.line_dedup(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op9_simhash")
+def op9_simhash(spark, sf_dir):
+    return simhash.simhash_components(read(spark, sf_dir, "documents"))
