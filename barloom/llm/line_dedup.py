@@ -29,16 +29,16 @@ def windows(rows: DataFrame) -> DataFrame:
     `start` counts the lines that are not blank.
     """
     trimmed = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(TRIMMED))), lambda x: x != "")
-    lines = rows.select("doc_id", "sig", trimmed.alias("lines")).where(F.size("lines") >= WIDTH)
+    lines = rows.select("doc_id", "sig", trimmed.alias("lines"))
 
     def hashes(i: Column) -> Column:
         three = [F.col("lines")[i + k] for k in range(WIDTH)]
         return F.struct(F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit("second"), *three).alias("h2"))
 
-    starts = F.sequence(F.lit(0), F.size("lines") - WIDTH)
-    return lines.select("doc_id", "sig", F.posexplode(F.transform(starts, hashes)).alias("start", "w")).select(
-        "doc_id", "sig", "start", "w.h1", "w.h2"
-    )
+    starts = F.when(F.size("lines") >= WIDTH, F.sequence(F.lit(0), F.size("lines") - WIDTH))
+    # The outer form: Spark adds no filter that would compute the windows twice.
+    spread = lines.select("doc_id", "sig", F.posexplode_outer(F.transform(starts, hashes)).alias("start", "w"))
+    return spread.where("start is not null").select("doc_id", "sig", "start", "w.h1", "w.h2")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, exact_dedup, line_dedup, secrets, simhash
+from barloom.llm import chat, decontaminate, exact_dedup, line_dedup, secrets, simhash
 from barloom.llm.common import read, ready
 from barloom.session import store
 
@@ -98,3 +98,26 @@ def op1_line_dedup(spark, sf_dir):
 @query("op9_simhash")
 def op9_simhash(spark, sf_dir):
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_decontaminate",
+    r"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+    b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+    bw as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[s + 1 : s + 10], ' ') as x
+      from (select item_id, w, unnest(range(greatest(len(w) - 9, 1))) as s from b where len(w) > 0)),
+    dw as (select doc_id, n, s, array_to_string(w[s + 1 : s + n], ' ') as x from (
+      select doc_id, w, n, unnest(range(len(w) - n + 1)) as s from d, (select distinct n from bw) where len(w) >= n)),
+    h as (select doc_id, item_id, dw.n, s from dw join bw using (n, x)),
+    c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p
+      from (select distinct doc_id, n, s from h)) group by doc_id),
+    i as (select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as x
+      from (select distinct doc_id, item_id from h) group by doc_id)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+      sha256(coalesce(i.x, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join c using (doc_id) left join i using (doc_id)""",
+)
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
