@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, exact_dedup, line_dedup, secrets, simhash
+from barloom.llm import chat, decontaminate, exact_dedup, line_dedup, quality, secrets, simhash
 from barloom.llm.common import read, ready
 from barloom.session import store
 
@@ -121,3 +121,10 @@ def op9_simhash(spark, sf_dir):
 )
 def op2_decontaminate(spark, sf_dir):
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op3_quality")
+def op3_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = quality.classify(docs, quality.fit(docs))
+    return found.withColumns({c: F.round(c, 6) for c in ("posterior", "score")})
