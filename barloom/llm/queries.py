@@ -7,15 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, exact_dedup, line_dedup, quality, secrets, simhash
+from barloom.llm import chat, decontaminate, exact_dedup, id_files, line_dedup, packing, quality, secrets, simhash, tokens
 from barloom.llm.common import read, ready
-from barloom.session import store
+from barloom.session import fresh_dir, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: The tokenizer of the contracts.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_file(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
@@ -128,3 +137,15 @@ def op3_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     found = quality.classify(docs, quality.fit(docs))
     return found.withColumns({c: F.round(c, 6) for c in ("posterior", "score")})
+
+
+@query("op5_best_fit_pack")
+def op5_best_fit_pack(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), tokens.read_spec(tokenizer_file()))
+
+
+@query("op6_token_id_files")
+def op6_token_id_files(spark, sf_dir):
+    path = fresh_dir(spark, "token-ids")
+    id_files.write_ids(read(spark, sf_dir, "documents"), path, tokens.read_spec(tokenizer_file()))
+    return id_files.checksums(id_files.read_ids(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
