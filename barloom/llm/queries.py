@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, exact_dedup, id_files, line_dedup, packing, quality, secrets, simhash, tokens
+from barloom.llm import (
+    chat, decontaminate, exact_dedup, id_files, lang_id, line_dedup, packing, quality, secrets, simhash, tokens,
+)
 from barloom.llm.common import read, ready
 from barloom.session import fresh_dir, store
 
@@ -149,3 +151,10 @@ def op6_token_id_files(spark, sf_dir):
     path = fresh_dir(spark, "token-ids")
     id_files.write_ids(read(spark, sf_dir, "documents"), path, tokens.read_spec(tokenizer_file()))
     return id_files.checksums(id_files.read_ids(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op8_language_id")
+def op8_language_id(spark, sf_dir):
+    model = lang_id.fit_text_model(read(spark, sf_dir, "documents"))
+    found = lang_id.identify(read(spark, sf_dir, "pages"), model)
+    return found.withColumn("confidence", F.round("confidence", 6))
