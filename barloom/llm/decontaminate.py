@@ -18,6 +18,9 @@ WINDOW = 10
 GRAM = 6
 WINNOW = WINDOW - GRAM + 1
 
+#: Fingerprints of the benchmark that are broadcast, at most: 16 MB.
+MOST_MARKS = 1_000_000
+
 #: What lies between words once A-Z is in lower case (fixed value).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -36,16 +39,18 @@ def joint_hashes(hashes: str, length: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.lit(length), *[F.col(hashes)[i + k] for k in range(length)]))
 
 
-def fingerprints(rows: DataFrame, short: list[int]) -> DataFrame:
+def fingerprints(rows: DataFrame, short: list[int], carry: bool = False) -> DataFrame:
     """The rows' columns with length, hash, first and last, from the column `words`.
 
+    With `carry`, `words` stay beside each fingerprint: right where few are left before a shuffle.
+
     Winnowing: of the k-grams in each window the smallest hash is kept, once for neighbouring
     windows that keep the same; it stands for the windows that start at words first to last.
     For every length in `short`, all runs of so many words are kept as well (see `decontaminate`).
     Columns are computed step by step, and exploded in the outer form, so that Spark computes
     none of them twice.
     """
-    keys = [c for c in rows.columns if c != "words"]
+    keys = [c for c in rows.columns if carry or c != "words"]
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     rows = rows.withColumn("grams", joint_hashes("hashes", GRAM))
     low = F.transform(
@@ -76,7 +81,7 @@ def fingerprints(rows: DataFrame, short: list[int]) -> DataFrame:
     return spread.select(*keys, "f.*")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, most_marks: int = MOST_MARKS) -> DataFrame:
     """doc_id, sig, n_hit, items (ids as sorted strings): the documents with a benchmark window.
 
     A window is a run of WINDOW words of an item; a shorter item is one window. Both sides are
@@ -88,9 +93,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Items without words, or null texts, have no window. Items of a null id make words hit, but
     are not among `items`. Repeated items are one item.
 
-    Sizes: the benchmark's tables are written first, so Spark knows them and broadcasts only
-    what is below its threshold. Fingerprints of documents meet marks that occur once each, in
-    narrow rows; a document's row gathers its own windows only.
+    Sizes: the benchmark's tables are written and counted first. Up to `most_marks` distinct
+    fingerprints (16 bytes each) are broadcast, so that documents are read once and only windows
+    at hits are shuffled. With more, documents' fingerprints are shuffled as narrow rows, and the
+    documents that are hit are read again for their words. Marks occur once each, so no hit is
+    multiplied; a document's row gathers its own windows only.
     """
     items = lean(benchmark, "item_id", "text").select("item_id", words_of(whole_text()).alias("words"))
     items = store(items.withColumn("n", F.size("words")).where("n > 0"), "decon-items")
@@ -106,15 +113,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marks = store(marks.select("length", "hash").distinct(), "decon-marks")
 
     rows = signed(docs).select("doc_id", "sig", words_of(F.col("text")).alias("words"))
-    hits = fingerprints(rows, short).join(marks, ["length", "hash"])
-    spans = hits.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("length", "first", "last")).alias("spans"))
-    spans = store(spans.select(F.col("doc_id").alias("d"), F.col("sig").alias("s"), "spans"), "decon-hits")
-
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sig") == F.col("s"))
-    near = signed(docs).join(spans, same).select("doc_id", "sig", words_of(F.col("text")).alias("words"), "spans")
-    near = near.select("doc_id", "sig", "words", F.explode_outer("spans").alias("span"))
+    if marks.count() <= most_marks:
+        near = fingerprints(rows, short, carry=True).join(F.broadcast(marks), ["length", "hash"])
+    else:
+        hits = fingerprints(rows, short).join(marks, ["length", "hash"]).select("doc_id", "sig", "length", "first", "last")
+        spans = hits.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("length", "first", "last")).alias("spans"))
+        spans = store(spans.select(F.col("doc_id").alias("d"), F.col("sig").alias("s"), "spans"), "decon-hits")
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sig") == F.col("s"))
+        near = signed(docs).join(spans, same).select("doc_id", "sig", words_of(F.col("text")).alias("words"), "spans")
+        near = near.select("doc_id", "sig", "words", F.inline("spans"))
     near = near.select(
-        "doc_id", "sig", "words", "span.length", F.explode_outer(F.sequence("span.first", "span.last")).alias("at")
+        "doc_id", "sig", "words", "length", F.explode_outer(F.sequence("first", "last")).alias("at")
     )
     near = near.select(
         "doc_id", "sig", "length", "at", F.expr("array_join(slice(words, at + 1, length), ' ')").alias("window")
