@@ -39,6 +39,13 @@ def joint_hashes(hashes: str, length: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.lit(length), *[F.col(hashes)[i + k] for k in range(length)]))
 
 
+def whole_runs(hashes: str, length: int) -> Column:
+    def mark(h: Column, i: Column) -> Column:
+        return F.struct(F.lit(length).alias("length"), h.alias("hash"), i.alias("first"), i.alias("last"))
+
+    return F.transform(hashes, mark)
+
+
 def fingerprints(rows: DataFrame, short: list[int], carry: bool = False) -> DataFrame:
     """The rows' columns with length, hash, first and last, from the column `words`.
 
@@ -72,11 +79,7 @@ def fingerprints(rows: DataFrame, short: list[int], carry: bool = False) -> Data
     rows = rows.withColumn("kept", F.coalesce(kept, none))
     for n in short:
         rows = rows.withColumn(f"runs{n}", joint_hashes("hashes", n))
-        every = F.transform(
-            f"runs{n}",
-            lambda h, i, n=n: F.struct(F.lit(n).alias("length"), h.alias("hash"), i.alias("first"), i.alias("last")),
-        )
-        rows = rows.withColumn("kept", F.concat("kept", F.coalesce(every, none)))
+        rows = rows.withColumn("kept", F.concat("kept", F.coalesce(whole_runs(f"runs{n}", n), none)))
     spread = rows.select(*keys, F.explode_outer("kept").alias("f")).where("f is not null")
     return spread.select(*keys, "f.*")
 
@@ -137,8 +140,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_marks: int = MOST_
         "hit",
         nothing,
         lambda acc, w: F.struct(
-            (w["at"] + w["length"]).alias("end"),
-            (acc["words"] + w["at"] + w["length"] - F.greatest(acc["end"], w["at"])).alias("words"),
+            F.greatest(acc["end"], w["at"] + w["length"]).alias("end"),
+            (
+                acc["words"] + F.greatest(w["at"] + w["length"] - F.greatest(acc["end"], w["at"]), F.lit(0))
+            ).alias("words"),
         ),
         lambda acc: acc["words"],
     )
