@@ -181,14 +181,21 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     n = sum(total) or 1.0
     overall = [(t + 1) / (n + len(names)) for t in total]
 
-    said = [{r["declared"]: r[f"said{i}"] for r in by_word} for i in k]
-    words = sorted(said[0])
+    words = sorted({*names, "", "other"})
+    said = [dict.fromkeys(words, 0.0) | {r["declared"]: r[f"said{i}"] for r in by_word} for i in k]
     table = {w: sum(s[w] for s in said) / n for w in words}
-    declared = [
-        F.create_map(*[F.lit(x) for w in words for x in (w, float(np.log((said[i][w] + WEIGHT * table[w] + 1e-9) / (total[i] + WEIGHT))))])
-        for i in k
-    ]
-    all_hosts = store(hosts.join(store(parents, "language-parents"), "parent").join(store(suffixes, "language-suffixes"), "suffix"), "language-hosts")
+    markup = sum(v for w, v in table.items() if w in names)
+
+    def expected(word: str, i: int) -> float:
+        """Of pages in language i: before counting, most markup is taken to be right."""
+        return markup * (0.9 * (word == names[i]) + 0.1 / len(names)) if word in names else table[word]
+
+    def log_share(word: str, i: int) -> float:
+        return float(np.log((said[i][word] + WEIGHT * expected(word, i) + 1e-9) / (total[i] + WEIGHT)))
+
+    declared = [F.create_map(*[F.lit(x) for w in words for x in (w, log_share(w, i))]) for i in k]
+    all_hosts = hosts.join(store(parents, "language-parents"), "parent").join(store(suffixes, "language-suffixes"), "suffix")
+    all_hosts = store(all_hosts, "language-hosts")
 
     met = rows.drop("parent", "suffix").join(all_hosts, "host")
     fused = []
