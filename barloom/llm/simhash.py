@@ -162,7 +162,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     component has no other id.
     """
     prints = store(fingerprints(docs), "simhash-prints")
-    found = grouped(prints)
+    found = store(grouped(prints), "simhash-groups")
     return prints.join(found, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -174,7 +174,7 @@ def simhash_keep(docs: DataFrame) -> DataFrame:
     """
     rows = packed(docs)
     prints = store(fingerprints(rows, ("doc_id", "sig")), "simhash-prints")
-    found = grouped(prints)
+    found = store(grouped(prints), "simhash-groups")
     firsts = prints.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = firsts.groupBy("component_id").agg(F.min("sig").alias("s")).select(F.col("component_id").alias("d"), "s")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sig") == F.col("s"))
