@@ -38,10 +38,13 @@ def to_bars(ticks: DataFrame, tf: str) -> DataFrame:
     )
 
 
-def resample(bars: DataFrame, tf: str) -> DataFrame:
-    """Bars of a narrower timeframe joined into bars of `tf`."""
+def resample(bars: DataFrame, tf: str, source: str) -> DataFrame:
+    """Bars of the timeframe `source` joined into bars of `tf`; other timeframes are passed over."""
+    if WIDTHS[tf] % WIDTHS[source]:
+        raise ValueError(f"{tf} is no multiple of {source}")
     return (
-        bars.groupBy("symbol", _frame("bar_ts", tf).alias("_w"))
+        bars.filter(F.col("tf") == source)
+        .groupBy("symbol", _frame("bar_ts", tf).alias("_w"))
         .agg(
             F.min_by("open", "bar_ts").alias("open"),
             F.max("high").alias("high"),

@@ -15,13 +15,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.functions.clock import SESSIONS, in_session
+from barloom.functions.clock import SESSIONS, WIDTHS, in_session
 from barloom.functions.sqlmath import ratio
-from barloom.operators.tiles import NO, TILE, TILE_OVER, core, number_bars, tile, tile_window
+from barloom.operators.tiles import NO, SERIES, TILE, TILE_OVER, core, number_bars, tile, tile_window
 
 # Weight left outside the look-back of a recursive average; below double precision.
 TAIL = 1e-15
@@ -67,9 +68,48 @@ def compute(bars: DataFrame, *features: Feature, size: int = TILE) -> DataFrame:
     df = apply_stages(df, tile_window(), features)
     df = df if rowwise else core(df, size)
     names = [n for f in features for n in f.outputs]
+    if not rowwise and NO in df.columns:  # rows without a position have no neighbours
+        df = df.withColumns({n: F.when(F.col(NO).isNotNull(), F.col(n)) for n in names})
     return df.select(*[c for c in bars.columns if c not in names], *names)
 
 
+def features_between(
+    bars: DataFrame, start: datetime, end: datetime, *features: Feature, size: int = TILE
+) -> DataFrame:
+    """The features of the bars with start <= bar_ts < end, reading no more than they need.
+
+    `bars` is a numbered store. Features look back a number of bars, so the read begins
+    where every series has that many before its first bar of the range: the time is first
+    guessed from the bar widths and doubled until it suffices or the store's beginning is
+    reached. A `year` column, if there is one, prunes folders.
+    """
+    before, after = max(f.before for f in features), max(f.after for f in features)
+    if after:
+        raise ValueError("features of a range must not look ahead")
+
+    def since(lo: datetime) -> DataFrame:
+        rows = bars.filter((F.col("bar_ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("bar_ts") < until))
+        if "year" in bars.columns:
+            rows = rows.filter(F.col("year").between(lo.year, end.year))
+        return rows
+
+    from_, until = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    inside = F.col("bar_ts") >= from_
+    tfs = [r.tf for r in since(start).select("tf").distinct().collect()]  # a handful
+    reach = timedelta(seconds=before * max([WIDTHS[t] for t in tfs], default=0)) + timedelta(days=4)
+    while before:
+        # Series that lack bars before the range and whose first bar is not read yet.
+        spans = since(start - reach).groupBy(*SERIES).agg(
+            F.min(NO).alias("lo"), F.min(F.when(inside, F.col(NO))).alias("first")
+        )
+        if spans.filter((F.col("lo") > 0) & (F.col("lo") > F.col("first") - before)).isEmpty():
+            break
+        if bars.filter(F.col("bar_ts") < F.lit(start - reach).cast("timestamp_ntz")).isEmpty():
+            break
+        reach *= 2
+    return compute(since(start - reach), *features, size=size).filter(inside)
+
+
 def apply_stages(df: DataFrame, w: WindowSpec, features: tuple[Feature, ...]) -> DataFrame:
     for i in range(max(len(f.stages) for f in features)):
         columns: dict[str, Expr] = {}
@@ -107,6 +147,9 @@ def span_alpha(n: int) -> float:
 def recursive_average(df: DataFrame, specs: Mapping[str, Average]) -> DataFrame:
     """Add e[t] = e[t-1] + alpha * (x[t] - e[t-1]) with e[0] = x[0] for each spec.
 
+    The first row that is present seeds the average, so a store filtered by time gives the
+    averages of what is left of it. (The first copied row of a tile does so as well, which
+    weighs less than TAIL in the tile's own rows.)
     For a price the distance d = x - e is built: d[t] = beta * (d[t-1] + x[t] - x[t-1]).
     The rounds are many similar terms, so they are given to Spark as SQL text.
     """
@@ -117,7 +160,7 @@ def recursive_average(df: DataFrame, specs: Mapping[str, Average]) -> DataFrame:
             start[out] = F.expr(f"{beta!r}D * ({x} - lag({x}, 1, {x}) {TILE_OVER})")
             finish[out] = F.expr(f"{x} - {out}")
         else:
-            start[out] = F.expr(f"if({NO} = 0, {x}, {spec.alpha!r}D * {x})")
+            start[out] = F.expr(f"if(lag({NO}) {TILE_OVER} is null, {x}, {spec.alpha!r}D * {x})")
     df = df.withColumns(start)
     plans = {out: radices(spec.alpha) for out, spec in specs.items()}
     for i in range(max(map(len, plans.values()))):

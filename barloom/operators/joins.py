@@ -18,6 +18,7 @@ def align(fast: DataFrame, slow: DataFrame, fast_tf: str, slow_tf: str, cols: Se
 
     Slow columns get the slow timeframe as prefix, with its `bar_ts`.
     """
+    fast, slow = (df.filter(F.col("tf") == tf) for df, tf in ((fast, fast_tf), (slow, slow_tf)))
     decided = fast.withColumn("_decided", plus_seconds("bar_ts", WIDTHS[fast_tf]))
     prefix = slow_tf.lower()
     names = [f"{prefix}_{c}" for c in ("bar_ts", *cols)]
@@ -58,16 +59,25 @@ def floating_pnl(positions: DataFrame, last: DataFrame, contract: float = 1.0) -
 
 
 def equity(accounts: DataFrame, valued: DataFrame) -> DataFrame:
-    """Balance plus floating P/L of each account."""
+    """Balance plus floating P/L of each account.
+
+    A position without a quote cannot be valued: `unvalued` counts them, and the floating P/L
+    and equity of an account that has any are unknown (NULL).
+    """
     open_pnl = valued.groupBy("account_id").agg(
-        F.sum("floating_pnl").alias("floating_pnl"), F.count("*").alias("positions")
+        F.sum("floating_pnl").alias("floating_pnl"),
+        F.count("*").alias("positions"),
+        F.count_if(F.col("floating_pnl").isNull()).alias("unvalued"),
     )
-    floating = F.coalesce("floating_pnl", F.lit(0.0))
+    none = F.lit(0).cast("bigint")
+    unvalued = F.coalesce("unvalued", none)
+    floating = F.when(unvalued == 0, F.coalesce("floating_pnl", F.lit(0.0)))
     return accounts.join(open_pnl, "account_id", "left").select(
         "account_id",
         "balance",
         floating.alias("floating_pnl"),
-        F.coalesce("positions", F.lit(0).cast("bigint")).alias("positions"),
+        F.coalesce("positions", none).alias("positions"),
+        unvalued.alias("unvalued"),
         (F.col("balance") + floating).alias("equity"),
     )
 

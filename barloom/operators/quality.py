@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from barloom.functions.clock import WIDTHS, col, market_open, plus_seconds
 from barloom.functions.sqlmath import sorted_quantile
-from barloom.operators.tiles import SERIES, Scan, number_bars, number_ticks, running, tiled
+from barloom.operators.tiles import NO, SERIES, Scan, number_bars, number_ticks, running, tiled
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -30,32 +30,39 @@ def sort_utc(df: DataFrame, ts: str, src_tz: str, keys: Sequence[str] = ("symbol
 
 
 def open_slots(after: Column, before: Column, width: int) -> Column:
-    """Count of slots in (after, before) in which the market is open."""
+    """Count of slots in (after, before) in which the market is open, day by day."""
     step = F.make_dt_interval(secs=F.lit(width))
-    inside = F.sequence(after + step, before - step, step)
-    return F.when(
-        before > after + step, F.size(F.filter(inside, lambda s: market_open(s)))
-    ).otherwise(0)
+    first, last = after + step, before - step
+    one_day = F.expr("interval 1 day")
+    days = F.sequence(F.date_trunc("day", first).cast("timestamp_ntz"), last, one_day)
+
+    def of_day(day: Column) -> Column:
+        slots = F.sequence(day, day + one_day - step, step)
+        return F.size(F.filter(slots, lambda s: s.between(first, last) & market_open(s)))
+
+    count = F.aggregate(days, F.lit(0).cast("bigint"), lambda acc, day: acc + of_day(day))
+    return F.when(before > first, count).otherwise(F.lit(0).cast("bigint"))
 
 
 def find_gaps(bars: DataFrame, tf: str) -> DataFrame:
-    """Holes between consecutive bars that cover at least one open slot."""
+    """Holes between consecutive bars of timeframe `tf` that cover at least one open slot."""
 
     def pairs(df: DataFrame, w) -> DataFrame:
         return df.withColumn("gap_end", F.lead("bar_ts").over(w))
 
-    seen = tiled(number_bars(bars), pairs, after=1)
+    seen = tiled(number_bars(bars.filter(F.col("tf") == tf)), pairs, after=1)
     holes = seen.filter(F.col("gap_end") > plus_seconds("bar_ts", WIDTHS[tf]))
     return holes.select(
         "symbol",
         F.col("bar_ts").alias("gap_start"),
         "gap_end",
-        open_slots(F.col("bar_ts"), F.col("gap_end"), WIDTHS[tf]).cast("bigint").alias("missing"),
+        open_slots(F.col("bar_ts"), F.col("gap_end"), WIDTHS[tf]).alias("missing"),
     ).filter("missing > 0")
 
 
 def missing_slots(bars: DataFrame, tf: str) -> DataFrame:
-    """Open slots between the first and last bar of a symbol that hold no bar."""
+    """Open slots between the first and last bar of a symbol in `tf` that hold no bar."""
+    bars = bars.filter(F.col("tf") == tf)
     step = F.make_dt_interval(secs=F.lit(WIDTHS[tf]))
     span = bars.groupBy("symbol").agg(F.min("bar_ts").alias("lo"), F.max("bar_ts").alias("hi"))
     days = span.withColumn(
@@ -70,12 +77,26 @@ def missing_slots(bars: DataFrame, tf: str) -> DataFrame:
     )
 
 
+def _unsound(c: str) -> Column:
+    """Unknown, not a number, or infinite."""
+    x = F.col(c)
+    return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+
+
+def chk_key(*cols: str) -> Column:
+    """A part of the row's key or its time is unknown."""
+    bad = F.lit(False)
+    for c in cols:
+        bad = bad | F.col(c).isNull()
+    return bad
+
+
 def chk_price(*cols: str) -> Column:
-    """Any of the prices is zero or negative."""
+    """Any of the prices is unknown, not a finite number, zero or negative."""
     bad = F.lit(False)
     for c in cols:
-        bad = bad | (F.col(c) <= 0)
-    return F.coalesce(bad, F.lit(True))
+        bad = bad | _unsound(c) | (F.col(c) <= 0)
+    return bad
 
 
 def chk_ohlc() -> Column:
@@ -85,9 +106,9 @@ def chk_ohlc() -> Column:
 
 
 def chk_spread(spread: str, median: str, k: float) -> Column:
-    """Spread is not positive, or above `k` times the recent median."""
+    """Spread is not a positive finite number, or above `k` times the recent median."""
     wide = F.coalesce(F.col(spread) > k * F.col(median), F.lit(False))
-    return F.coalesce(F.col(spread) <= 0, F.lit(True)) | wide
+    return _unsound(spread) | (F.col(spread) <= 0) | wide
 
 
 def chk_order(ts: str, newest: str) -> Column:
@@ -96,11 +117,16 @@ def chk_order(ts: str, newest: str) -> Column:
 
 
 def spread_median(ticks: DataFrame, n: int) -> DataFrame:
-    """Add `spread_median`: exact median of the previous `n` ticks of the symbol."""
+    """Add `spread_median`: exact median of the previous `n` ticks of the symbol.
+
+    Unknown spreads and those that are not a number do not count. Ticks without symbol or
+    time have none.
+    """
+    known = F.when(~F.isnan("spread"), F.col("spread"))
 
     def rolling(df: DataFrame, w) -> DataFrame:
-        recent = F.sort_array(F.collect_list("spread").over(w.rowsBetween(-n, -1)))
-        return df.withColumn("_recent", recent)
+        recent = F.sort_array(F.collect_list(known).over(w.rowsBetween(-n, -1)))
+        return df.withColumn("_recent", F.when(F.col(NO).isNotNull(), recent))
 
     seen = tiled(number_ticks(ticks), rolling, before=n, keys=["symbol"])
     return seen.withColumn("spread_median", sorted_quantile("_recent", 0.5)).drop("_recent")
@@ -132,6 +158,7 @@ def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def tick_checks(k: float) -> dict[str, Column]:
     return {
+        "key": chk_key("symbol", "ts"),
         "price": chk_price("price"),
         "spread": chk_spread("spread", "spread_median", k),
         "order": chk_order("ts", "newest"),
@@ -140,8 +167,9 @@ def tick_checks(k: float) -> dict[str, Column]:
 
 def bar_checks() -> dict[str, Column]:
     return {
+        "key": chk_key(*SERIES, "bar_ts"),
         "price": chk_price("open", "high", "low", "close"),
-        "spread": F.coalesce(F.col("spread") <= 0, F.lit(True)),
+        "spread": _unsound("spread") | (F.col("spread") <= 0),
         "ohlc": chk_ohlc(),
     }
 

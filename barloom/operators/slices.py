@@ -22,13 +22,14 @@ def plan_slices(symbols: DataFrame, start: datetime, end: datetime, width: str)
     )
 
 
-def slice_coverage(slices: DataFrame, bars: DataFrame, cap: int) -> DataFrame:
-    """Rows landed per slice; flags empty slices and those at the row cap.
+def slice_coverage(slices: DataFrame, bars: DataFrame, cap: int, tf: str) -> DataFrame:
+    """Rows of timeframe `tf` landed per slice; flags empty slices and those at the row cap.
 
     Bars meet slices by (symbol, day), then by the exact range; a day of one
     symbol holds at most its bar slots.
     """
     one_day = F.expr("interval 1 day")
+    bars = bars.filter(F.col("tf") == tf)
     days = slices.withColumn(
         "_day", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"), one_day))
     )

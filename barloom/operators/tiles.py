@@ -26,8 +26,12 @@ from pyspark.sql.window import Window
 from barloom.functions.clock import WIDTHS, col, slot
 
 TILE = 16_384
+# Tasks over which rows without key or time are spread.
+STRAYS = 256
 SERIES = ("symbol", "tf")
 NO = "bar_no"
+# Columns by which rows without a position are dealt out.
+MARKS = ("symbol", "tf", "bar_ts", "ts", "tick_id")
 # The window of `tile_window()` over bars, for expressions written as SQL text.
 TILE_OVER = f"OVER (PARTITION BY {', '.join(SERIES)}, _tile ORDER BY {NO})"
 
@@ -62,6 +66,19 @@ def _order_key(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
+def _placed(columns: Sequence[str]) -> Column:
+    """Every one of the columns is known."""
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    return known
+
+
+def _aside(order: Sequence[str]) -> Column:
+    """Which of many tasks a row without key or time goes to: such rows have no series."""
+    return F.lit(1) + F.pmod(F.xxhash64(*order), F.lit(STRAYS)).cast("int")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,31 +93,38 @@ def running(
     Rows are shuffled once by (keys, chunk). The chunk totals read the rows a second
     time, though only keys, order and values, and combine before their shuffle. They
     are taken from `base` if given: a cheaper table with the same values and chunks.
+
+    A row without key or chunk belongs to no series: it passes through with NULL values,
+    and such rows are spread over many tasks.
     """
     keys, order = list(keys), list(order)
+    own = [*keys, "_chunk"]
+    whole = _placed(own)
 
     def prepared(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("_chunk", chunk)
         return rows.withColumns({f"_v_{s.name}": s.value for s in scans})
 
-    src = prepared(df)
-    totals = prepared(df if base is None else base).groupBy(*keys, "_chunk").agg(
+    src = prepared(df).withColumn("_stray", F.when(whole, 0).otherwise(_aside(order)))
+    totals = prepared(df if base is None else base).filter(whole).groupBy(*own).agg(
         *[s.total(F.col(f"_v_{s.name}"), _order_key(order)).alias(f"_c_{s.name}") for s in scans]
     )
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *keys, "_chunk", *[s.over(F.col(f"_c_{s.name}"), before).alias(f"_p_{s.name}") for s in scans]
+        *own,
+        F.lit(0).alias("_stray"),
+        *[s.over(F.col(f"_c_{s.name}"), before).alias(f"_p_{s.name}") for s in scans],
     )
     here = (
-        Window.partitionBy(*keys, "_chunk")
+        Window.partitionBy(*own, "_stray")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
     local = src.withColumns({f"_l_{s.name}": s.over(F.col(f"_v_{s.name}"), here) for s in scans})
-    joined = local.join(carried, [*keys, "_chunk"])
+    joined = local.join(carried, [*own, "_stray"], "left")
+    values = {s.name: s.join(F.col(f"_p_{s.name}"), F.col(f"_l_{s.name}")) for s in scans}
     return joined.select(
-        *df.columns,
-        *[s.join(F.col(f"_p_{s.name}"), F.col(f"_l_{s.name}")).alias(s.name) for s in scans],
+        *df.columns, *[F.when(F.col("_stray") == 0, v).alias(name) for name, v in values.items()]
     )
 
 
@@ -111,18 +135,20 @@ def number(
     chunk: Column,
     name: str = NO,
 ) -> DataFrame:
-    """Add the 0-based position of each row in its series."""
-    keys = list(keys)
+    """Add the 0-based position of each row in its series; NULL without key or chunk."""
+    own = [*keys, "_chunk"]
+    whole = _placed(own)
     src = df.withColumn("_chunk", chunk)
-    counts = src.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    src = src.withColumn("_stray", F.when(whole, 0).otherwise(_aside(order)))
+    counts = src.filter(whole).groupBy(*own).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        *own, F.lit(0).alias("_stray"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    here = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    here = Window.partitionBy(*own, "_stray").orderBy(*order)
     return (
         src.withColumn("_rn", F.row_number().over(here))
-        .join(offsets, [*keys, "_chunk"])
+        .join(offsets, [*own, "_stray"], "left")
         .select(*df.columns, (F.col("_offset") + F.col("_rn") - 1).alias(name))
     )
 
@@ -154,18 +180,23 @@ def tile(
 ) -> DataFrame:
     """Add `_tile`; copy each row also to the tiles whose frames reach it.
 
-    A tile sees `before` rows ahead of its first row and `after` rows past its last.
+    A tile sees `before` rows ahead of its first row and `after` rows past its last. Rows
+    without a position get tiles below zero, spread over many tasks.
     """
+    # Few columns, so that a scan still reads no more than the frames use.
+    aside = -_aside([c for c in MARKS if c in df.columns] or [no]).cast("bigint")
     if before == 0 and after == 0:
-        return df.withColumn("_tile", F.floor(F.col(no) / size))
+        return df.withColumn("_tile", F.coalesce(F.floor(F.col(no) / size), aside))
     first = F.greatest(F.floor((F.col(no) - after) / size), F.lit(0).cast("bigint"))
     last = F.floor((F.col(no) + before) / size)
-    return df.withColumn("_tile", F.explode(F.sequence(first, last)))
+    reached = F.when(F.col(no).isNull(), F.array(aside)).otherwise(F.sequence(first, last))
+    return df.withColumn("_tile", F.explode(reached))
 
 
 def core(df: DataFrame, size: int = TILE, no: str = NO) -> DataFrame:
     """Drop the copied rows again."""
-    return df.filter(F.col("_tile") == F.floor(F.col(no) / size)).drop("_tile")
+    own = F.col("_tile") == F.floor(F.col(no) / size)
+    return df.filter(own | (F.col("_tile") < 0)).drop("_tile")
 
 
 def tile_window(keys: Sequence[str] = SERIES, no: str = NO) -> WindowSpec:
@@ -181,7 +212,10 @@ def tiled(
     size: int = TILE,
     no: str = NO,
 ) -> DataFrame:
-    """Run `compute(df, window)` on tiles; frames must stay inside [-before, after]."""
+    """Run `compute(df, window)` on tiles; frames must stay inside [-before, after].
+
+    What it says of rows without a position (`no` is NULL) has no meaning.
+    """
     return core(compute(tile(df, before, after, size, no), tile_window(keys, no)), size, no)
 
 

@@ -14,9 +14,9 @@ from barloom.operators import features as ft
 from barloom.operators import quality as q
 from barloom.operators import slices as sl
 from barloom.operators.metrics import feature_stats
-from barloom.plans.oracle import TICKS, bars, bars_of, r
+from barloom.plans.oracle import K, TICKS, bars, bars_of, r
 from barloom.plans.registry import query
-from barloom.session import fresh_dir
+from barloom.session import fresh_dir, store
 from barloom.sources import files, views
 
 ARRIVAL = ["arrived_at", "tick_id"]
@@ -30,7 +30,9 @@ def arrival_chunk():
 
 @query("a1_read_ticks", f"with {TICKS} select tick_id, symbol, ts, price, spread from ticks")
 def a1(spark: SparkSession, sf: str) -> DataFrame:
-    return schemas.require(views.ticks(spark, sf), schemas.TICKS)
+    path = fresh_dir(spark, "landed")
+    views.ticks(spark, sf).write.parquet(path)
+    return files.read_ticks(spark, path)
 
 
 def _symbols(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +58,7 @@ def a2(spark, sf):
 )
 def a3(spark, sf):
     slices = sl.plan_slices(_symbols(spark, sf), START, END, "7 days")
-    return sl.slice_coverage(slices, views.bars(spark, sf), cap=150)
+    return sl.slice_coverage(slices, views.bars(spark, sf), 150, "H1")
 
 
 @query(
@@ -77,12 +79,21 @@ def a4(spark, sf):
 
 @query(
     "a5_write_immutable",
-    f"{bars()} select symbol, tf, bar_ts, open, high, low, close, volume, spread from bars",
+    f"""{bars()}, {bars_of('M5', 'm5')}, {bars_of('H4', 'h4')}
+  select 'first' as batch, symbol, tf, bar_ts, open, high, low, close, volume, spread from bars
+  union all by name select 'first' as batch, * from m5 union all by name select 'second' as batch, * from h4""",
 )
 def a5(spark, sf):
     path = fresh_dir(spark, "store")
-    files.write_immutable(views.bars(spark, sf).drop("bar_no"), path)
-    return schemas.require(files.read_store(spark, path, schemas.BARS), schemas.BARS)
+    both = mixed_bars(spark, sf)
+    files.write_immutable(both, path, "first")
+    files.write_immutable(bar_ops.to_bars(views.ticks(spark, sf), "H4"), path, "second")
+    return files.read_store(spark, path, schemas.BARS).select("batch", *schemas.BARS.names)
+
+
+def mixed_bars(spark, sf):
+    """M5 and H1 bars in one table."""
+    return views.bars(spark, sf).unionByName(views.bars(spark, sf, "M5")).drop("bar_no")
 
 
 @query(
@@ -161,7 +172,7 @@ def b3(spark, sf):
   select symbol, gap_start, gap_end, count(*) as missing from s where {open_sql('slot_ts')} group by 1, 2, 3""",
 )
 def b4(spark, sf):
-    return q.find_gaps(views.bars(spark, sf), "H1")
+    return q.find_gaps(mixed_bars(spark, sf), "H1")
 
 
 @query(
@@ -172,7 +183,7 @@ def b4(spark, sf):
   where {open_sql('g.bar_ts')}""",
 )
 def b5(spark, sf):
-    return q.missing_slots(views.bars(spark, sf), "H1")
+    return q.missing_slots(mixed_bars(spark, sf), "H1")
 
 
 @query("b6_check_price", f"with {TICKS} select tick_id, symbol, price, price <= 0 as bad from ticks")
@@ -231,6 +242,81 @@ def _checked(spark, sf):
     return q.checked_ticks(views.arrivals(spark, sf), ARRIVAL, arrival_chunk(), n=50, k=3.0)
 
 
+DIRTY = f"""dirty as (select event_id as tick_id, case when event_id % 97 = 0 then null else event_type end as symbol,
+  case when event_id % 89 = 0 then null else ts end as ts,
+  case when event_id % 83 = 0 then 'nan'::double when event_id % 79 = 0 then null
+    when event_id % 71 = 0 then 'inf'::double else value end as price,
+  case when event_id % 73 = 0 then 'nan'::double when event_id % 67 = 0 then null
+    else round(value * {K} / 10000e0, 6) end as spread, ts + to_minutes({K}) as arrived_at from events),
+  dm as (select *, case when symbol is not null and ts is not null then
+    quantile_cont(case when isnan(spread) then null else spread end, 0.5) over (
+      partition by symbol, ts is null order by ts, tick_id rows between 50 preceding and 1 preceding) end as spread_median,
+    case when symbol is not null then max(ts) over (partition by symbol order by arrived_at, tick_id
+      rows between unbounded preceding and 1 preceding) end as newest from dirty),
+  dc as (select *, symbol is null or ts is null as bad_key,
+    price is null or isnan(price) or isinf(price) or price <= 0 as bad_price,
+    spread is null or isnan(spread) or isinf(spread) or spread <= 0
+      or coalesce(spread > 3 * spread_median, false) as bad_spread,
+    coalesce(ts < newest, false) as bad_order from dm)"""
+
+
+def dirty_ticks(spark, sf):
+    """The ticks with unknown keys, times, prices and spreads, NaN and infinity planted."""
+
+    def planted(column, *cases):
+        c = F.col(column)
+        for every, value in cases:
+            c = F.when(F.col("tick_id") % every == 0, F.lit(value).cast("double")).otherwise(c)
+        return c
+
+    ticks = views.arrivals(spark, sf)
+    return ticks.withColumns(
+        {
+            "symbol": F.when(F.col("tick_id") % 97 != 0, F.col("symbol")),
+            "ts": F.when(F.col("tick_id") % 89 != 0, F.col("ts")),
+            "price": planted("price", (71, float("inf")), (79, None), (83, float("nan"))),
+            "spread": planted("spread", (67, None), (73, float("nan"))),
+        }
+    )
+
+
+def _checked_dirty(spark, sf):
+    return store(q.checked_ticks(dirty_ticks(spark, sf), ARRIVAL, arrival_chunk(), n=50, k=3.0), "validated")
+
+
+@query(
+    "b10_validate_dirty",
+    f"""with {DIRTY} select tick_id, symbol, coalesce(array_to_string(list_filter([
+  case when bad_key then 'key' end, case when bad_price then 'price' end, case when bad_spread then 'spread' end,
+  case when bad_order then 'order' end], lambda x: x is not null), ','), '') as violations from dc""",
+)
+def b10_dirty(spark, sf):
+    clean, bad = q.split(_checked_dirty(spark, sf))
+    both = clean.withColumn("violations", F.array().cast("array<string>")).unionByName(bad)
+    return both.select("tick_id", "symbol", F.array_join("violations", ",").alias("violations"))
+
+
+@query(
+    "b11_health_report_dirty",
+    f"""with {DIRTY}, d as (select *, strftime(ts, '%Y-%m-%d') as day from dc)
+  select symbol, day, grouping_id(symbol, day)::int as level, count(*) as n,
+  count(*) filter (bad_key or bad_price or bad_spread or bad_order) as bad, count(*) filter (bad_key) as bad_key,
+  count(*) filter (bad_price) as bad_price, count(*) filter (bad_spread) as bad_spread,
+  count(*) filter (bad_order) as bad_order from d group by rollup (symbol, day)""",
+)
+def b11_dirty(spark, sf):
+    checked = _checked_dirty(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return q.health_report(checked, ["key", "price", "spread", "order"], by=["symbol", "day"])
+
+
+@query(
+    "b6_check_price_dirty",
+    f"""with {DIRTY} select tick_id, symbol, bad_price as bad from dc""",
+)
+def b6_dirty(spark, sf):
+    return dirty_ticks(spark, sf).select("tick_id", "symbol", q.chk_price("price").alias("bad"))
+
+
 @query(
     "b10_validate",
     f"""{CHECKED} select tick_id, symbol, coalesce(array_to_string(list_filter([
@@ -238,7 +324,7 @@ def _checked(spark, sf):
   case when bad_order then 'order' end], lambda x: x is not null), ','), '') as violations from c""",
 )
 def b10(spark, sf):
-    clean, bad = q.split(_checked(spark, sf))
+    clean, bad = q.split(store(_checked(spark, sf), "validated"))  # two readers, one computation
     both = clean.withColumn("violations", F.array().cast("array<string>")).unionByName(bad)
     return both.select("tick_id", "symbol", F.array_join("violations", ",").alias("violations"))
 
@@ -266,4 +352,4 @@ def c1(spark, sf):
 
 @query("c2_resample", f"{bars('H4')} select {BAR_COLS} from bars")
 def c2(spark, sf):
-    return bar_ops.resample(views.bars(spark, sf, "H1"), "H4")
+    return bar_ops.resample(mixed_bars(spark, sf), "H4", "H1")

@@ -10,7 +10,8 @@ from barloom.operators import joins, samples
 from barloom.plans.data_queries import local
 from barloom.plans.oracle import ROWS, TICKS, averages, bars, bars_of, r, with_averages
 from barloom.plans.registry import query
-from barloom.sources import views
+from barloom.session import fresh_dir
+from barloom.sources import files, views
 
 KEY = ["symbol", "bar_ts"]
 
@@ -152,6 +153,49 @@ def d13(spark, sf):
     return _features(spark, sf, ft.session_masks())
 
 
+# The second half of the bars' time, and its first half: the third quarter.
+MIDDLE = "(select min(bar_ts) + (max(bar_ts) - min(bar_ts)) / 2 from bars)"
+THREE_QUARTERS = "(select min(bar_ts) + (max(bar_ts) - min(bar_ts)) * 3 / 4 from bars)"
+
+
+def _times(bars):
+    """Middle and third quarter of the time that the bars cover."""
+    lo, hi = bars.agg(F.min("bar_ts"), F.max("bar_ts")).first()
+    return lo + (hi - lo) / 2, lo + (hi - lo) * 3 / 4
+
+
+RANGED = {"atr": ("tr", 1 / 14), "g": (GAIN, 1 / 14), "l": (LOSS, 1 / 14)}
+
+
+@query(
+    "d_feature_range",
+    f"""{with_averages(RANGED)}, w as (select *, stddev_pop(close) over {W20} as sd, avg(close) over {W20} as m from a)
+  select symbol, bar_ts, {r('atr')} as atr, {r('case when g + l = 0 then 0e0 else (100 * g / (g + l) - 50) / 50 end')} as rsi,
+  {r('4 * sd / m')} as bb_width from w where bar_ts >= {MIDDLE} and bar_ts < {THREE_QUARTERS}""",
+)
+def d_range(spark, sf):
+    made = views.bars(spark, sf)
+    path = fresh_dir(spark, "ranged")
+    files.write_immutable(made, path, "1")
+    stored = files.read_store(spark, path, made.schema)
+    return ft.features_between(stored, *_times(made), ft.atr(), ft.rsi(), ft.bb_width()).select(
+        *KEY, "atr", "rsi", "bb_width"
+    )
+
+
+@query(
+    "d4_atr_filtered",
+    f"""{bars(recursive=True)}, late as (select * from bars where bar_ts >= {MIDDLE}),
+  {ROWS.replace('from bars', 'from late')}, {averages('avgs', ATR14)}
+  select rows_.symbol, bar_ts, {r('atr')} as atr from rows_ join avgs using (symbol, rn)""",
+)
+def d4_filtered(spark, sf):
+    made = views.bars(spark, sf)
+    return ft.compute(made.filter(F.col("bar_ts") >= F.lit(_times(made)[0]).cast("timestamp_ntz")), ft.atr()).select(
+        *KEY, "atr"
+    )
+
+
 PAST = OVER.format(50, "1 preceding")
 
 
@@ -300,10 +344,11 @@ def d_full(spark, sf):
 def e1(spark, sf):
     fast = views.bars(spark, sf, "M5")
     hour = views.bars(spark, sf, "H1")
-    four = bar_ops.resample(hour, "H4")
-    one = joins.align(fast.select(*KEY, "close"), hour, "M5", "H1", ["close", "volume"])
-    both = joins.align(one, four, "M5", "H4", ["close"])
-    return both.withColumn("h1_volume", F.col("h1_volume").cast("double"))
+    four = bar_ops.resample(hour, "H4", "H1")
+    slow = hour.drop("bar_no").unionByName(four)  # one table, two timeframes
+    one = joins.align(fast.select(*KEY, "tf", "close"), slow, "M5", "H1", ["close", "volume"])
+    both = joins.align(one, slow, "M5", "H4", ["close"])
+    return both.drop("tf").withColumn("h1_volume", F.col("h1_volume").cast("double"))
 
 
 @query(

@@ -357,6 +357,25 @@ def e4(spark, sf):
     return accounts.select("account_id", "balance", _e3("floating_pnl"), "positions", _e3("equity"))
 
 
+UNQUOTED = QUOTED.replace("from ticks)", "from ticks where symbol <> 'click')")
+
+
+@query(
+    "e4_equity_unquoted",
+    f"""{UNQUOTED}, f as (select account_id, sum(floating_pnl) as fp, count(*) as n,
+  count(*) - count(floating_pnl) as unvalued from v group by 1)
+  select c_custkey as account_id, case when coalesce(unvalued, 0) = 0 then {r('coalesce(fp, 0) * 1e3')} end as floating_pnl_e3,
+  coalesce(n, 0) as positions, coalesce(unvalued, 0) as unvalued,
+  case when coalesce(unvalued, 0) = 0 then {r('(c_acctbal + coalesce(fp, 0)) * 1e3')} end as equity_e3
+  from customer left join f on f.account_id = c_custkey""",
+)
+def e4_unquoted(spark, sf):
+    ticks = views.ticks(spark, sf).filter(F.col("symbol") != "click")
+    valued = joins.floating_pnl(views.positions(spark, sf), joins.quotes(ticks))
+    found = joins.equity(views.accounts(spark, sf), valued)
+    return found.select("account_id", _e3("floating_pnl"), "positions", "unvalued", _e3("equity"))
+
+
 LIVES = f"""with recursive {ORDER_EVENTS}, l as materialized (select *, row_number() over (partition by order_id
   order by ts, event_id) as rn from order_events where kind <> 'QUOTE'),
   st as (select order_id, rn, ts, case when kind = 'PLACE' then ts end as placed,

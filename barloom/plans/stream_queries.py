@@ -169,7 +169,7 @@ def j8(spark, sf):
 )
 def e9(spark, sf):
     path = fresh_dir(spark, "landed-bars")
-    files.write_immutable(views.bars(spark, sf, "M5").drop("bar_no"), path)
+    files.write_immutable(views.bars(spark, sf, "M5").drop("bar_no"), path, "landed")
     live = files.stream_table(spark, path, schemas.BARS)
     orders = _ticks(spark, sf).select(
         F.col("tick_id").alias("order_id"), "symbol", "ts", (F.col("price") / 2).alias("entry")

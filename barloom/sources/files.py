@@ -23,7 +23,7 @@ def read_table(
     """
     reader = spark.read.options(**options)
     if fmt == "parquet":
-        return reader.schema(schema).parquet(path)
+        return schemas.require(reader.parquet(path), schema)  # a column that is missing is an error
     with_bad = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     return (
         reader.format(fmt)
@@ -50,11 +50,12 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def write_immutable(
     df: DataFrame,
     path: str,
+    batch: str,
     ts: str = "bar_ts",
     keys: tuple[str, ...] = ("symbol", "tf"),
     chunk_seconds: int = 30 * 86400,
 ) -> None:
-    """Write a new batch folder partitioned by keys and year; fails if it exists.
+    """Add a batch to a store: folders by batch, keys and year; fails if the batch exists.
 
     Rows are shuffled by key and time chunk, so a hot symbol spreads over many
     tasks and files; each file is sorted by time for row-group skipping.
@@ -68,14 +69,16 @@ def write_immutable(
         .drop("_chunk")
         .write.partitionBy(*keys, "year")
         .mode("errorifexists")
-        .parquet(path)
+        .parquet(f"{path.rstrip('/')}/batch={batch}")
     )
 
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read the batch folders below `path` (one per write) as one table."""
-    full = T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])
-    return spark.read.schema(full).option("recursiveFileLookup", "false").parquet(path)
+    """All batches of a store as one table, with the columns batch and year."""
+    full = T.StructType(
+        [*schema.fields, T.StructField("batch", T.StringType()), T.StructField("year", T.IntegerType())]
+    )
+    return spark.read.schema(full).parquet(path)
 
 
 def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:

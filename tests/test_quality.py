@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.functions import clock
+from barloom.operators import bars
 from barloom.operators import quality as q
 from barloom.operators import slices as sl
 from barloom.sources import files
@@ -73,7 +74,7 @@ def test_slices(spark):
         (2020, dt.datetime(2021, 1, 1)), (2021, dt.datetime(2022, 1, 1)), (2022, dt.datetime(2022, 7, 1)),
     ]
     part = sl.plan_slices(symbols, T0, T0 + dt.timedelta(days=3), "1 day")
-    got = sl.slice_coverage(part, bars_df(spark, bars_pdf(30, symbols=("A",))), cap=24)
+    got = sl.slice_coverage(part, bars_df(spark, bars_pdf(30, symbols=("A",))), 24, "H1")
     assert [(r.n, r.is_empty, r.at_cap) for r in got.orderBy("lo").collect()] == [
         (24, False, True), (6, False, False), (0, True, False),
     ]
@@ -101,18 +102,55 @@ def test_corrupt_text_lines_are_kept_apart(spark, tmp_path):
     assert good.first().price == 1.5
 
 
-def test_store_is_immutable(spark, tmp_path):
-    df = bars_df(spark, bars_pdf(30))
-    path = str(tmp_path / "store" / "batch-1")
-    files.write_immutable(df, path)
+def test_store_takes_batches_once(spark, tmp_path):
+    one, two = bars_df(spark, bars_pdf(30)), bars_df(spark, bars_pdf(40, symbols=("A", "C"), seed=2, tf="M5"))
+    path = str(tmp_path / "store")
+    files.write_immutable(one, path, "1")
+    files.write_immutable(two, path, "2")
     with pytest.raises(Exception, match="already exists"):
-        files.write_immutable(df, path)
-    back = schemas.require(files.read_store(spark, path, schemas.BARS), schemas.BARS)
-    assert back.count() == 60 and back.exceptAll(df).count() == 0
-    plan = files.read_store(spark, path, schemas.BARS).filter("symbol = 'A'")._jdf.queryExecution().toString()
+        files.write_immutable(one, path, "1")
+    stored = files.read_store(spark, path, schemas.BARS)
+    for batch, df in (("1", one), ("2", two)):
+        back = schemas.require(stored.filter(F.col("batch") == batch), schemas.BARS)
+        assert back.count() == df.count() and back.exceptAll(df).count() == 0
+    plan = stored.filter("symbol = 'A'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(symbol" in plan
 
 
+def test_parquet_without_a_column_is_refused(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    bars_df(spark, bars_pdf(3)).drop("spread").write.parquet(path)
+    with pytest.raises(ValueError, match="spread"):
+        files.read_bars(spark, path)
+
+
+def test_corrupt_rows_are_kept_and_named(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, "A", at(1), 10.0, 0.1), (2, None, at(2), 10.0, 0.1), (3, "A", None, 10.0, 0.1), (4, "A", at(4), nan, 0.1),
+        (5, "A", at(5), inf, 0.1), (6, "A", at(6), None, 0.1), (7, "A", at(7), 10.0, nan), (8, None, None, None, None),
+    ]
+    got = q.checked_ticks(ticks_df(spark, rows), ["tick_id"], F.floor(F.col("tick_id") / 3), n=9, k=3.0)
+    clean, bad = q.split(got)
+    assert [r.tick_id for r in clean.collect()] == [1]
+    assert {r.tick_id: r.violations for r in bad.collect()} == {
+        2: ["key"], 3: ["key"], 4: ["price"], 5: ["price"], 6: ["price"], 7: ["spread"], 8: ["key", "price", "spread"],
+    }
+    total = q.health_report(got, ["key", "price", "spread", "order"], ["symbol"]).filter("level = 1").first()
+    assert (total.n, total.bad, total.bad_key) == (8, 7, 3)
+
+
+def test_timeframes_do_not_mix(spark):
+    hours = bars_pdf(48, symbols=("A",), tf="H1", start=dt.datetime(2024, 3, 5))
+    fives = bars_pdf(48 * 12, symbols=("A",), tf="M5", hours=1 / 12, start=dt.datetime(2024, 3, 5))
+    lost = dt.datetime(2024, 3, 5, 7)
+    mixed = bars_df(spark, hours[hours["bar_ts"] != lost]).unionByName(bars_df(spark, fives))
+    assert stamps(q.missing_slots(mixed, "H1")) == [lost]
+    assert [(g.gap_start.hour, g.missing) for g in q.find_gaps(mixed, "H1").collect()] == [(6, 1)]
+    wide = bars.resample(mixed, "H4", "H1").agg(F.sum("volume")).first()[0]
+    assert wide == int(hours[hours["bar_ts"] != lost]["volume"].sum())
+
+
 def test_schema_check(spark):
     with pytest.raises(ValueError, match="volume"):
         schemas.require(bars_df(spark, bars_pdf(3)).drop("volume"), schemas.BARS)
