@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from barloom.llm.common import signed
 from barloom.llm.tokens import worker_encoder
+from barloom.session import store
 
 END = 2
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
@@ -74,14 +75,15 @@ def write_ids(docs: DataFrame, path: str, spec: str, end: int = END) -> None:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids; stripes are read in parallel.
 
-    The parts' sizes come from two narrow columns; there is one row per part to sum up.
+    The parts' sizes come from narrow columns. There is one row per part, written before it meets
+    the ids, so that Spark knows how small the table is and need not shuffle them.
     """
     rows = spark.read.orc(path)
     sizes = rows.groupBy("part").agg(F.max(F.col("first") + F.col("n_tokens")).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
     start = (F.col("before") + F.col("first")).alias("start")
-    return rows.join(sizes, "part").select("doc_id", start, "n_tokens", "ids")
+    return rows.join(store(sizes, "id-parts"), "part").select("doc_id", start, "n_tokens", "ids")
 
 
 def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
