@@ -14,6 +14,8 @@ from barloom.operators.tiles import Scan, running
 
 _ENDS = "array<struct<event_id:bigint,placed:timestamp_ntz,state:string,ended:timestamp_ntz>>"
 VERDICTS = {"A": "ACCEPT", "M": "MAX_OPEN", "D": "DAILY_LOSS"}
+# Fixed value: closing time of a trade that has none.
+NEVER = "9999-12-31 00:00:00"
 # Ending events and the state they lead to.
 TERMINAL = {"FILL": "FILLED", "CANCEL": "CANCELLED", "REJECT": "REJECTED"}
 
@@ -66,7 +68,9 @@ def order_states(
     not one task.
     """
     limit = F.expr(f"interval {expiry}")
-    log = events.filter(F.col("kind").isin(opening, *endings)).select(
+    # An event without order or time belongs to no life.
+    placed = F.col("order_id").isNotNull() & F.col("ts").isNotNull()
+    log = events.filter(F.col("kind").isin(opening, *endings) & placed).select(
         "order_id", "event_id", "ts", "kind"
     )
     ending = F.when(F.col("kind") != opening, F.struct("ts", "event_id"))
@@ -128,57 +132,82 @@ def risk_gate(
     max_open: int,
     daily_loss: float,
 ) -> DataFrame:
-    """Accept or reject trade proposals in time order, per account and UTC day.
+    """Accept or reject trade proposals in time order, per account.
 
-    Accepted trades occupy a place until the first minute that starts after they close,
-    when their P/L is booked. A proposal is rejected for its spread, or when the P/L
-    booked by the start of its minute is down to `-daily_loss`, or when `max_open`
-    trades are open.
+    Accepted trades occupy a place until the first minute that starts after they close, also
+    over midnight; one without a closing time stays open. Their P/L is then booked, if it is
+    still the UTC day in which they closed; the sum of booked results starts anew each day. A
+    proposal is rejected unless its spread is known to be within `max_spread`, or when the P/L
+    booked by the start of its minute is down to `-daily_loss`, or when `max_open` trades are
+    open. One without account or time is rejected with the reason KEY.
 
-    Since places are only freed between minutes, no more than the first `max_open`
-    sound proposals of a minute can be accepted. Only these are folded, at most
-    1440 * max_open per account and day however many proposals there are; the rest
-    follow from the state of their minute.
+    Since places are only freed between minutes, no more than the first `max_open` sound
+    proposals of a minute can be accepted. Only these are folded, at most 1440 * max_open per
+    account and day however many proposals there are; the rest follow from the state of their
+    minute. An account's days are folded apart wherever no candidate is open at midnight.
     """
-    key = ["account_id", "_day"]
-    sound = F.col("spread") <= max_spread
+    known = F.col("account_id").isNotNull() & F.col("open_ts").isNotNull()
+    sound = F.coalesce(F.col("spread") <= max_spread, F.lit(False)) & known
     w = Window.partitionBy("account_id", "_minute").orderBy(F.desc("_sound"), "open_ts", "trade_id")
     rows = proposals.withColumns(
-        {"_day": F.to_date("open_ts"), "_minute": F.window("open_ts", "1 minute").start, "_sound": sound}
+        {"_day": F.to_date("open_ts"), "_minute": F.date_trunc("minute", "open_ts").cast("timestamp_ntz"), "_sound": sound}
     ).withColumn("_rn", F.row_number().over(w))
     first = rows.filter((F.col("_rn") <= max_open) & F.col("_sound"))
-    days = first.groupBy(*key).agg(
+    until = F.coalesce("close_ts", F.lit(NEVER).cast("timestamp_ntz"))
+    days = first.withColumn("_until", until).groupBy("account_id", "_day").agg(
         F.array_sort(
-            F.collect_list(F.struct("open_ts", "trade_id", "_minute", "_rn", "close_ts", "pnl"))
-        ).alias("_rows")
+            F.collect_list(F.struct("open_ts", "trade_id", "_minute", "_rn", "_until", "pnl"))
+        ).alias("_rows"),
+        F.max("_until").alias("_until"),
     )
-    start = F.struct(
-        F.lit(0.0).alias("booked"),
-        F.expr("cast(array() as array<struct<close_ts:timestamp_ntz,pnl:double>>)").alias("open"),
-        F.lit("").alias("codes"),
+    earlier = Window.partitionBy("account_id").orderBy("_day")
+    over = F.max("_until").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(over < F.col("_day").cast("timestamp_ntz"), F.lit(True)).cast("int")
+    cut = days.withColumn("_fresh", fresh).withColumn("_part", F.sum("_fresh").over(earlier))
+    parts = cut.groupBy("account_id", "_part").agg(
+        F.array_sort(F.collect_list(F.struct("_day", "_rows"))).alias("_days")
     )
+    nothing = F.expr("cast(array() as array<struct<close_ts:timestamp_ntz,pnl:double>>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        closed = F.filter(acc["open"], lambda o: o.close_ts < x["_minute"])
-        ledger = F.struct(
-            F.aggregate(closed, acc.booked, lambda s, o: s + o.pnl).alias("booked"),
-            F.filter(acc["open"], lambda o: o.close_ts >= x["_minute"]).alias("open"),
-        )
-        return let(ledger, lambda now: decide(acc, now, x))
+    def step(day: Column):
+        def of_day(acc: Column, x: Column) -> Column:
+            closed = F.filter(
+                acc["open"], lambda o: (o.close_ts < x["_minute"]) & (F.to_date(o.close_ts) == day)
+            )
+            ledger = F.struct(
+                F.aggregate(closed, acc.booked, lambda s, o: s + F.coalesce(o.pnl, F.lit(0.0))).alias("booked"),
+                F.filter(acc["open"], lambda o: o.close_ts >= x["_minute"]).alias("open"),
+            )
+            return let(ledger, lambda now: decide(acc, now, x))
+
+        return of_day
 
     def decide(acc: Column, now: Column, x: Column) -> Column:
         code = (
             F.when(now.booked <= -daily_loss, "D").when(F.size(now["open"]) >= max_open, "M").otherwise("A")
         )
-        new = F.array(F.struct(x.close_ts.alias("close_ts"), x.pnl.alias("pnl")))
+        new = F.array(F.struct(x["_until"].alias("close_ts"), x.pnl.alias("pnl")))
         return F.struct(
             now.booked.alias("booked"),
             F.when(code == "A", F.concat(now["open"], new)).otherwise(now["open"]).alias("open"),
             F.concat(acc.codes, code).alias("codes"),
         )
 
+    def one_day(acc: Column, d: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("booked"), acc["open"].alias("open"), F.lit("").alias("codes"))
+        end = F.aggregate(d["_rows"], start, step(d["_day"]))
+        return let(
+            end,
+            lambda e: F.struct(e["open"].alias("open"), F.concat(acc["days"], F.array(e["codes"])).alias("days")),
+        )
+
+    begin = F.struct(nothing.alias("open"), F.expr("cast(array() as array<string>)").alias("days"))
+    coded = parts.withColumn("_codes", F.aggregate("_days", begin, one_day, lambda acc: acc["days"]))
+    days = coded.select("account_id", F.explode(F.arrays_zip("_days", "_codes")).alias("_d")).select(
+        "account_id", F.col("_d._days._rows").alias("_rows"), F.col("_d._codes").alias("_codes")
+    )
+
     # One letter per row: a string grows far cheaper than an array does.
-    codes = F.aggregate("_rows", start, step, lambda acc: acc.codes)
     names = F.create_map(*[F.lit(x) for pair in VERDICTS.items() for x in pair])
     named = F.transform(
         "_rows",
@@ -187,7 +216,7 @@ def risk_gate(
             F.element_at(names, F.substr("_codes", i + 1, F.lit(1))).alias("v"),
         ),
     )
-    judged = days.withColumn("_codes", codes).select("account_id", F.inline(named))
+    judged = days.select("account_id", F.inline(named))
     # One row per minute, so the proposals stay where the ranking has put them.
     minutes = judged.groupBy("account_id", "_minute").agg(
         F.array_sort(F.collect_list(F.struct("_rn", "v"))).alias("_verdicts"),
@@ -196,7 +225,8 @@ def risk_gate(
     decided = rows.join(minutes, ["account_id", "_minute"], "left")
     own = F.get("_verdicts", F.col("_rn") - 1).getField("v")
     reason = (
-        F.when(~F.col("_sound"), "SPREAD")
+        F.when(~known, "KEY")
+        .when(~F.col("_sound"), "SPREAD")
         .when(own.isNotNull(), own)
         .when(F.col("_blocked"), "DAILY_LOSS")
         .otherwise("MAX_OPEN")

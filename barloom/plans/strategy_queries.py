@@ -423,7 +423,7 @@ def f8(spark, sf):
 
 GATED = f"""with recursive {TICKS}, {TRADES}, p as materialized (select account_id, trade_id, open_ts, close_ts, pnl,
   spread, date_trunc('minute', open_ts) as mi, cast(open_ts as date) as day from trades join ticks on tick_id = trade_id),
-  s as materialized (select *, row_number() over (partition by account_id, day order by open_ts, trade_id) as rn
+  s as materialized (select *, row_number() over (partition by account_id order by open_ts, trade_id) as rn
   from p where spread <= 0.4),
   st as (select account_id, day, rn, trade_id, 0e0 as booked, [{{'c': close_ts, 'pnl': pnl}}] as held,
   'ACCEPT' as reason from s where rn = 1 union all
@@ -431,8 +431,9 @@ GATED = f"""with recursive {TICKS}, {TRADES}, p as materialized (select account_
   else list_append(still, {{'c': close_ts, 'pnl': pnl}}) end,
   case when booked2 <= -40 then 'DAILY_LOSS' when len(still) >= 2 then 'MAX_OPEN' else 'ACCEPT' end
   from (select s.*, list_filter(held, lambda o: o.c >= s.mi) as still,
-  booked + coalesce(list_sum(list_transform(list_filter(held, lambda o: o.c < s.mi), lambda o: o.pnl)), 0) as booked2
-  from st join s on s.account_id = st.account_id and s.day = st.day and s.rn = st.rn + 1)),
+  case when st.day = s.day then booked else 0 end + coalesce(list_sum(list_transform(list_filter(held,
+    lambda o: o.c < s.mi and cast(o.c as date) = s.day), lambda o: o.pnl)), 0) as booked2
+  from st join s on s.account_id = st.account_id and s.rn = st.rn + 1)),
   decided as (select p.trade_id, p.account_id, p.open_ts, coalesce(st.reason, 'SPREAD') as reason
   from p left join st on st.trade_id = p.trade_id)"""
 

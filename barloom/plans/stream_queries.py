@@ -66,29 +66,45 @@ def j2(spark, sf):
     return drain_append(tick_streams.dedupe_stream(twice, ["tick_id"], LATENESS), "unique")
 
 
-ENDED = LIVES.replace("select max(ts) as m from events", "select max(ts) - interval 10 minutes as m from events")
-# The clock of a stream is that of the rows it reads, here without quotes.
-ENDED = ENDED.replace(
-    "interval 10 minutes as m from events", "interval 10 minutes as m from order_events where kind <> 'QUOTE'"
+# The clock of a stream is that of the rows it reads, here without quotes; what lies beyond it waits.
+CLOCK = """(select date_trunc('milliseconds', max(ts)) - interval 10 minutes from order_events
+  where kind <> 'QUOTE')"""
+ENDED = LIVES.replace("(select max(ts) as m from events)", f"(select {CLOCK} as m)").replace(
+    "as rn from order_events where kind <> 'QUOTE'", f"as rn from order_events where kind <> 'QUOTE' and ts < {CLOCK}"
 )
 
 
+def _landed(spark, sf):
+    """The events as a stream of three files, with rows out of order around their edges."""
+    rows = views.events(spark, sf)
+    lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
+    path, third = fresh_dir(spark, "landed-events"), (hi - lo) / 3
+    shifted = F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 2 * 5).cast("int"))
+    part = (shifted >= F.lit(lo + third).cast("timestamp_ntz")).cast("int") + (
+        shifted >= F.lit(lo + 2 * third).cast("timestamp_ntz")
+    ).cast("int")
+    for i in range(3):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return files.stream_table(spark, path, schemas.EVENTS, files_per_trigger=1)
+
+
 @query(
     "j3_order_fsm",
     f"{ENDED} select order_id, event_id, placed, state, ended from lives where state <> 'PENDING'",
 )
 def j3(spark, sf):
-    log = views.order_event_view(_events(spark, sf))
+    log = views.order_event_view(_landed(spark, sf))
     return drain_append(order_streams.order_fsm(log, 86_400, LATENESS), "orders")
 
 
 @query(
     "j5_risk_gate_stream",
     f"""{GATED} select trade_id, account_id, open_ts, reason,
-  case when reason = 'ACCEPT' then 'ACCEPT' else 'REJECT' end as decision from decided""",
+  case when reason = 'ACCEPT' then 'ACCEPT' else 'REJECT' end as decision from decided
+  where open_ts < (select date_trunc('milliseconds', max(ts)) - interval 10 minutes from events)""",
 )
 def j5_stream(spark, sf):
-    offers = views.offers_view(_events(spark, sf))
+    offers = views.offers_view(_landed(spark, sf))
     gated = order_streams.risk_gate_stream(offers, 0.4, 2, 40.0, LATENESS)
     return drain_append(gated, "gated")
 
@@ -156,7 +172,7 @@ def j8(spark, sf):
         .when(F.col("event_type") == "purchase", "APPROVE")
         .when(F.col("event_type") == "error", "DECLINE")
     )
-    log = _events(spark, sf).select("event_id", F.col("user_id").alias("order_id"), "ts", kind.alias("kind"))
+    log = _landed(spark, sf).select("event_id", F.col("user_id").alias("order_id"), "ts", kind.alias("kind"))
     endings = {"APPROVE": "APPROVED", "DECLINE": "REJECTED"}
     return drain_append(order_streams.order_fsm(log, 86_400, LATENESS, "PROPOSE", endings), "approvals")
 

@@ -23,6 +23,7 @@ LIFE = T.StructType(
         T.StructField("ended", T.TimestampType()),
     ]
 )
+ALARM = T.StructType([T.StructField("at_ms", T.LongType())])
 OPEN = T.StructType([T.StructField("placed_us", T.LongType()), T.StructField("event_id", T.LongType())])
 
 
@@ -34,67 +35,132 @@ def _stamp(us: pd.Series) -> pd.Series:
     return pd.to_datetime(us, unit="us")
 
 
-class OrderLife(StatefulProcessor):
-    """One open order per id; emits a row when it ends.
+class InOrder(StatefulProcessor):
+    """Rows of a key in event-time order, however they are dealt to batches.
 
-    The deadline is checked on every event, since timers only fire after the rows of a
-    batch; the timer is for orders that stay silent.
+    Rows wait in state until the watermark has passed them; a timer for the earliest one
+    then hands over all that are due, sorted. A key's state holds the rows of the lateness
+    allowed. Rows behind the watermark, where Spark lets them through, go to `late`.
     """
 
+    waiting_schema: T.StructType
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.alarm = handle.getValueState("alarm", ALARM)
+
+    def rows_of(self, batch: pd.DataFrame) -> list[tuple]:
+        """Tuples that begin with the time in microseconds and the row's id."""
+        raise NotImplementedError
+
+    def handle_due(self, key: Any, due: list[tuple], clock_us: int) -> pd.DataFrame | None:
+        """Work on the rows that are due, in order; the clock stands at the watermark."""
+        raise NotImplementedError
+
+    def handle_late(self, key: Any, late: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def next_us(self) -> int | None:
+        """When the key wants to be looked at without new rows."""
+        return None
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        clock, late, first = timerValues.getCurrentWatermarkInMs() * 1000, [], None
+        for frame in rows:
+            found = self.rows_of(frame)
+            late += [r for r in found if r[0] < clock]
+            timely = [r for r in found if r[0] >= clock]
+            if timely:
+                self.waiting.appendList(timely)
+                first = min([first, *timely] if first else timely, key=lambda r: r[0])
+        if first:
+            self.wake(first[0])
+        if late:
+            yield self.handle_late(key, sorted(late))
+
+    def wake(self, us: int) -> None:
+        at = us // 1000 + 1
+        if self.alarm.exists():
+            was = self.alarm.get()[0]
+            if was <= at:
+                return
+            self.handle.deleteTimer(was)
+        self.alarm.update((at,))
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        clock = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [r for r in held if r[0] < clock], [r for r in held if r[0] >= clock]
+        self.waiting.clear()
+        self.alarm.clear()
+        if rest:
+            self.waiting.put(rest)
+        out = self.handle_due(key, due, clock)
+        times = [t for t in (rest[0][0] if rest else None, self.next_us()) if t is not None]
+        if times:
+            self.wake(min(times))
+        if out is not None:
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+class OrderLife(InOrder):
+    """One open order per id; emits a row when it ends. Late events are emitted as LATE."""
+
+    waiting_schema = T.StructType(
+        [T.StructField("us", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("kind", T.StringType())]
+    )
+
     def __init__(self, limit_us: int, opening: str, endings: Mapping[str, str]):
         self.limit_us, self.opening, self.endings = limit_us, opening, dict(endings)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.open = handle.getValueState("open", OPEN)
 
-    def _due(self, placed_us: int) -> int:
-        return placed_us + self.limit_us
+    def rows_of(self, batch: pd.DataFrame) -> list[tuple]:
+        us = _micros(batch["ts"])
+        return [(int(t), int(i), k) for t, i, k in zip(us, batch["event_id"], batch["kind"])]
 
-    def _timer(self, placed_us: int) -> int:
-        return -(-self._due(placed_us) // 1000)
+    def next_us(self) -> int | None:
+        return self.open.get()[0] + self.limit_us if self.open.exists() else None
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # All rows of the id in this batch, which the source bounds; they may be out of order.
-        batch = pd.concat(list(rows))
-        batch = batch.assign(us=_micros(batch["ts"])).sort_values(["us", "event_id"])
+    def handle_due(self, key: Any, due: list[tuple], clock_us: int) -> pd.DataFrame | None:
         held = self.open.get() if self.open.exists() else None
-        was = held
         done = []
-        for us, event_id, kind in zip(batch["us"], batch["event_id"], batch["kind"]):
-            if held is not None and us > self._due(held[0]):
-                done.append((held[1], held[0], "EXPIRED", self._due(held[0])))
+
+        def expire(until: int) -> None:
+            nonlocal held
+            if held is not None and held[0] + self.limit_us < until:
+                done.append((held[1], held[0], "EXPIRED", held[0] + self.limit_us))
                 held = None
+
+        for us, event_id, kind in due:
+            expire(us)
             if kind == self.opening:
-                held = (int(us), int(event_id)) if held is None else held
-            elif held is not None and kind in self.endings:
-                done.append((held[1], held[0], self.endings[kind], int(us)))
+                held = (us, event_id) if held is None else held
+            elif held is not None:
+                done.append((held[1], held[0], self.endings[kind], us))
                 held = None
-        if held != was:
-            if was is not None:
-                self.handle.deleteTimer(self._timer(was[0]))
-            if held is None:
-                self.open.clear()
-            else:
-                self.open.update(held)
-                self.handle.registerTimer(self._timer(held[0]))
-        if done:
-            yield self._rows(key, done)
-
-    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            placed, event_id = self.open.get()
+        expire(clock_us)
+        if held is None:
             self.open.clear()
-            yield self._rows(key, [(event_id, placed, "EXPIRED", self._due(placed))])
+        else:
+            self.open.update(held)
+        return self._rows(key, done) if done else None
+
+    def handle_late(self, key: Any, late: list[tuple]) -> pd.DataFrame:
+        return self._rows(key, [(i, us, "LATE", us) for us, i, _ in late])
 
     def _rows(self, key: Any, done: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(done, columns=["event_id", "placed", "state", "ended"])
         out.insert(0, "order_id", key[0])
         return out.assign(placed=_stamp(out["placed"]), ended=_stamp(out["ended"]))
 
-    def close(self) -> None:
-        pass
-
 
 def order_fsm(
     events: DataFrame,
@@ -105,10 +171,11 @@ def order_fsm(
 ) -> DataFrame:
     """Ended orders of an event stream; the batch twin is `operators.risk.order_states`.
 
-    With other kinds it also follows manual approvals: a proposal waits for APPROVE or
+    Events are followed in event-time order once the watermark has passed them. With other kinds it also follows manual approvals: a proposal waits for APPROVE or
     DECLINE until its deadline.
     """
-    used = events.filter(F.col("kind").isin(opening, *endings))
+    placed = F.col("order_id").isNotNull() & F.col("ts").isNotNull()
+    used = events.filter(F.col("kind").isin(opening, *endings) & placed)
     timed = event_time(used.select("order_id", "event_id", "ts", "kind"), lateness)
     lives = timed.groupBy("order_id").transformWithStateInPandas(
         statefulProcessor=OrderLife(limit_seconds * 1_000_000, opening, endings),
@@ -136,34 +203,48 @@ LEDGER = T.StructType(
         T.StructField("pnl", T.ArrayType(T.DoubleType())),
     ]
 )
-DAY_US, MINUTE_US = 86_400_000_000, 60_000_000
+DAY_US, MINUTE_US, NEVER_US = 86_400_000_000, 60_000_000, 1 << 62
 
 
-class RiskLedger(StatefulProcessor):
-    """Ledger of the current UTC day per account; decides each proposal in time order."""
+class RiskLedger(InOrder):
+    """Open trades and the booked results of the UTC day, per account; see `risk_gate`."""
 
-    def __init__(self, max_spread: float, max_open: int, daily_loss: float):
-        self.max_spread, self.max_open, self.daily_loss = max_spread, max_open, daily_loss
+    waiting_schema = T.StructType(
+        [
+            T.StructField("us", T.LongType()), T.StructField("trade_id", T.LongType()),
+            T.StructField("close_us", T.LongType()), T.StructField("sound", T.BooleanType()),
+            T.StructField("pnl", T.DoubleType()),
+        ]
+    )
+
+    def __init__(self, max_open: int, daily_loss: float):
+        self.max_open, self.daily_loss = max_open, daily_loss
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.ledger = handle.getValueState("ledger", LEDGER)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        batch = batch.assign(o=_micros(batch["open_ts"]), c=_micros(batch["close_ts"]))
-        batch = batch.sort_values(["o", "trade_id"])
+    def rows_of(self, batch: pd.DataFrame) -> list[tuple]:
+        opened, closed = _micros(batch["open_ts"]), _micros(batch["close_ts"])
+        closed = closed.where(batch["close_ts"].notna(), NEVER_US)
+        columns = (opened, batch["trade_id"], closed, batch["sound"], batch["pnl"].fillna(0.0))
+        return [(int(o), int(i), int(c), bool(s), float(p)) for o, i, c, s, p in zip(*columns)]
+
+    def handle_due(self, key: Any, due: list[tuple], clock_us: int) -> pd.DataFrame | None:
+        if not due:
+            return None
         day, booked, held = None, 0.0, []
         if self.ledger.exists():
             day, booked, closes, pnls = self.ledger.get()
             held = list(zip(closes, pnls))
         reasons = []
-        for o, c, spread, pnl in zip(batch["o"], batch["c"], batch["spread"], batch["pnl"]):
-            if o // DAY_US != day:
-                day, booked, held = o // DAY_US, 0.0, []
-            minute = o - o % MINUTE_US
-            booked += sum(p for at, p in held if at < minute)
+        for us, _, close_us, sound, pnl in due:
+            if us // DAY_US != day:
+                day, booked = us // DAY_US, 0.0
+            minute = us - us % MINUTE_US
+            booked += sum(p for at, p in held if at < minute and at // DAY_US == day)
             held = [(at, p) for at, p in held if at >= minute]
-            if spread > self.max_spread:
+            if not sound:
                 reasons.append("SPREAD")
             elif booked <= -self.daily_loss:
                 reasons.append("DAILY_LOSS")
@@ -171,28 +252,39 @@ class RiskLedger(StatefulProcessor):
                 reasons.append("MAX_OPEN")
             else:
                 reasons.append("ACCEPT")
-                held.append((int(c), float(pnl)))
+                held.append((close_us, pnl))
         self.ledger.update((int(day), float(booked), [h[0] for h in held], [h[1] for h in held]))
-        out = batch[["trade_id", "open_ts"]].assign(reason=reasons)
-        out.insert(0, "account_id", key[0])
-        accepted = out["reason"] == "ACCEPT"
-        out["decision"] = accepted.map({True: "ACCEPT", False: "REJECT"})
-        yield out[["account_id", "trade_id", "open_ts", "decision", "reason"]]
+        return self._rows(key, due, reasons)
 
-    def close(self) -> None:
-        pass
+    def handle_late(self, key: Any, late: list[tuple]) -> pd.DataFrame:
+        return self._rows(key, late, ["LATE"] * len(late))
+
+    def _rows(self, key: Any, rows: list[tuple], reasons: list[str]) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "account_id": key[0], "trade_id": [r[1] for r in rows],
+                "open_ts": _stamp(pd.Series([r[0] for r in rows])),
+                "decision": ["ACCEPT" if r == "ACCEPT" else "REJECT" for r in reasons], "reason": reasons,
+            }
+        )
 
 
 def risk_gate_stream(
     proposals: DataFrame, max_spread: float, max_open: int, daily_loss: float, lateness: str
 ) -> DataFrame:
-    """Decisions on a stream of proposals; the batch twin is `operators.risk.risk_gate`."""
+    """Decisions on a stream of proposals; the batch twin is `operators.risk.risk_gate`.
+
+    A proposal is decided when the watermark has passed it. The spread is judged before the
+    state; proposals without account or time have no place in it and are left to the batch.
+    """
     timed = event_time(proposals, lateness, "open_ts").withColumn(
         "close_ts", F.col("close_ts").cast("timestamp")
     )
-    used = timed.select("account_id", "trade_id", "open_ts", "close_ts", "spread", "pnl")
+    sound = F.coalesce(F.col("spread") <= max_spread, F.lit(False)).alias("sound")
+    used = timed.select("account_id", "trade_id", "open_ts", "close_ts", sound, "pnl")
+    used = used.filter(F.col("account_id").isNotNull() & F.col("open_ts").isNotNull())
     decided = used.groupBy("account_id").transformWithStateInPandas(
-        statefulProcessor=RiskLedger(max_spread, max_open, daily_loss),
+        statefulProcessor=RiskLedger(max_open, daily_loss),
         outputStructType=DECISION,
         outputMode="append",
         timeMode="EventTime",

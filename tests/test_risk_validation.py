@@ -185,14 +185,17 @@ def test_known_end_states(spark):
 
 
 def brute_gate(rows, max_spread, max_open, loss):
-    out = {}
-    for key, g in pd.DataFrame(rows).groupby(["account_id", "day"]):
-        booked, held = 0.0, []
+    """Places and open trades carry over midnight; only the booked sum starts anew."""
+    out, day = {}, None
+    for _, g in pd.DataFrame(rows).groupby("account_id"):
+        booked, held, day = 0.0, [], None
         for r in g.sort_values(["open_ts", "trade_id"]).itertuples():
+            if r.day != day:
+                day, booked = r.day, 0.0
             minute = r.open_ts.replace(second=0, microsecond=0)
-            booked += sum(p for c, p in held if c < minute)
+            booked += sum(p for c, p in held if c < minute and c.date() == day)
             held = [(c, p) for c, p in held if c >= minute]
-            if r.spread > max_spread:
+            if not r.spread <= max_spread:
                 out[r.trade_id] = "SPREAD"
             elif booked <= -loss:
                 out[r.trade_id] = "DAILY_LOSS"
@@ -248,6 +251,24 @@ def test_gate_feedback(spark):
     assert {r.trade_id: r.reason for r in got} == {1: "ACCEPT", 2: "MAX_OPEN", 3: "ACCEPT"}
 
 
+def test_gate_remembers_the_night(spark):
+    rows = [
+        dict(trade_id=1, account_id=1, open_ts=at(23 * 60 + 50), close_ts=at(24 * 60 + 20), spread=0.1, pnl=-100.0),
+        dict(trade_id=2, account_id=1, open_ts=at(24 * 60 + 5), close_ts=at(24 * 60 + 6), spread=0.1, pnl=1.0),
+        dict(trade_id=3, account_id=1, open_ts=at(24 * 60 + 35), close_ts=at(24 * 60 + 36), spread=0.1, pnl=1.0),
+        dict(trade_id=4, account_id=1, open_ts=at(49 * 60), close_ts=None, spread=0.1, pnl=None),
+        dict(trade_id=5, account_id=1, open_ts=at(90 * 60), close_ts=at(91 * 60), spread=0.1, pnl=1.0),
+        dict(trade_id=6, account_id=2, open_ts=at(10), close_ts=at(20), spread=None, pnl=1.0),
+        dict(trade_id=7, account_id=2, open_ts=at(11), close_ts=at(20), spread=float("nan"), pnl=1.0),
+        dict(trade_id=8, account_id=None, open_ts=at(11), close_ts=at(20), spread=0.1, pnl=1.0),
+        dict(trade_id=9, account_id=2, open_ts=None, close_ts=at(20), spread=0.1, pnl=1.0),
+    ]
+    got = risk.risk_gate(offers_df(spark, rows), 1.0, 1, 5.0).collect()
+    assert {r.trade_id: r.reason for r in got} == {
+        1: "ACCEPT", 2: "MAX_OPEN", 3: "DAILY_LOSS", 4: "ACCEPT", 5: "MAX_OPEN", 6: "SPREAD", 7: "SPREAD", 8: "KEY", 9: "KEY",
+    }
+
+
 def test_open_count(spark):
     rows = [(1, at(0), at(10)), (2, at(5), at(5)), (3, at(10), at(20)), (4, at(12), at(13))]
     df = spark.createDataFrame(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from frames import at, bars_df, bars_pdf
@@ -70,38 +72,64 @@ def test_forming_bars_and_duplicates(spark, tmp_path):
 
 def test_order_life_in_one_batch(spark, tmp_path):
     src = str(tmp_path / "src")
-    log_df(spark, LOG).write.parquet(src)
+    # The last row only moves the clock past the others.
+    log_df(spark, [*LOG, (99, at(3010) + dt.timedelta(seconds=1), "PLACE")]).write.parquet(src)
     stream = files.stream_table(spark, src, schemas.ORDER_EVENTS)
     got = sinks.drain_append(order_streams.order_fsm(stream, 86400, "10 minutes"), "lives").collect()
     ended = {e for e in ENDS if e[2] != "PENDING"}
     assert {(r.order_id, r.placed, r.state) for r in got} == ended
 
 
+def jittered(df, ts, n, path):
+    """Land the rows in n files by time, some of them one file late or early, one at a time."""
+    rows = sorted(df.collect(), key=lambda r: r[ts] + dt.timedelta(minutes=(hash(r[0]) % 3) * 4))
+    size = -(-len(rows) // n)
+    for i in range(n):
+        spark = df.sparkSession
+        spark.createDataFrame(rows[i * size : (i + 1) * size], df.schema).coalesce(1).write.mode("append").parquet(path)
+        yield
+
+
 def test_order_life_over_batches(spark, tmp_path):
+    """Rows out of order across files, a restart after each."""
     src, path = str(tmp_path / "src"), str(tmp_path / "run")
     rng = np.random.default_rng(8)
     kinds = ["PLACE", "FILL", "CANCEL", "REJECT", "QUOTE"]
     rows = [(int(rng.integers(0, 25)), at(float(m)), str(rng.choice(kinds))) for m in np.sort(rng.random(900) * 20000)]
     log = log_df(spark, rows)
-    for i in range(3):
-        log.filter(F.floor(F.col("event_id") / 300) == i).write.mode("append").parquet(src)
+    for _ in jittered(log, "ts", 4, src):
         stream = files.stream_table(spark, src, schemas.ORDER_EVENTS)
         drain(order_streams.order_fsm(stream, 86400, "10 minutes"), path)
-    used = log.filter("kind <> 'QUOTE'").agg(F.max("ts") - F.expr("interval 10 minutes")).scalar()
-    twin = risk.order_states(log, "1 day", used).filter("state <> 'PENDING'")
+    clock = log.filter("kind <> 'QUOTE'").agg(F.date_trunc("millisecond", F.max("ts")).cast("timestamp_ntz")).scalar()
+    clock = clock - F.expr("interval 10 minutes")
+    due = log.filter(F.col("ts") < log.filter("kind <> 'QUOTE'").agg(F.max("ts") - F.expr("interval 10 minutes")).scalar())
+    twin = risk.order_states(due, "1 day", clock).filter("state <> 'PENDING'")
     assert same(spark.read.parquet(f"{path}/out"), twin)
 
 
+def test_a_late_batch_does_not_change_an_order(spark, tmp_path):
+    """A FILL one batch before its earlier PLACE: the order is filled."""
+    src, path = str(tmp_path / "src"), str(tmp_path / "run")
+    parts = [[(1, at(5), "FILL"), (2, at(6), "PLACE")], [(1, at(1), "PLACE")], [(2, at(60), "CANCEL")], [(3, at(99), "PLACE")]]
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame([(10 * i + k, *r) for k, r in enumerate(part)], schemas.ORDER_EVENTS)
+        df.coalesce(1).write.mode("append").parquet(src)
+        drain(order_streams.order_fsm(files.stream_table(spark, src, schemas.ORDER_EVENTS), 86400, "10 minutes"), path)
+    got = spark.read.parquet(f"{path}/out").collect()
+    assert {(r.order_id, r.state) for r in got} == {(1, "FILLED"), (2, "CANCELLED")}
+
+
 def test_gates_equal_the_batch(spark, tmp_path):
-    rows = sorted(offers(300), key=lambda r: r["open_ts"])
+    rows = [dict(r, spread=None) if r["trade_id"] % 41 == 0 else r for r in offers(400)]
     df = offers_df(spark, rows)
     src, path = str(tmp_path / "src"), str(tmp_path / "run")
-    for part in (df.limit(150), df.join(df.limit(150).select("trade_id"), "trade_id", "left_anti")):
-        part.select(df.columns).write.mode("append").parquet(src)
+    for _ in jittered(df, "open_ts", 3, src):
         stream = files.stream_table(spark, src, df.schema)
-        drain(order_streams.risk_gate_stream(stream, 0.8, 2, 60.0, "3 days"), path)
-    twin = risk.risk_gate(df, 0.8, 2, 60.0).select("account_id", "trade_id", "open_ts", "decision", "reason")
-    assert same(spark.read.parquet(f"{path}/out"), twin)
+        drain(order_streams.risk_gate_stream(stream, 0.8, 2, 60.0, "10 minutes"), path)
+    newest = df.agg(F.max("open_ts") - F.expr("interval 10 minutes")).scalar()
+    twin = risk.risk_gate(df, 0.8, 2, 60.0).filter(F.col("open_ts") < newest)
+    twin = twin.select("account_id", "trade_id", "open_ts", "decision", "reason")
+    assert twin.count() > 350 and same(spark.read.parquet(f"{path}/out"), twin)
 
 
 def test_live_features_equal_the_batch(spark, tmp_path):
