@@ -39,10 +39,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def hash32(*parts: Column | str) -> Column:
-    """32 uniform bits of the md5 of the parts, as BIGINT; the same in every engine."""
+def hash60(*parts: Column | str) -> Column:
+    """60 uniform bits of the md5 of the parts, as BIGINT; the same in every engine."""
     text = F.concat_ws("|", *[col(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.operators.features import Feature, Stage, compute
-from barloom.operators.tiles import NO, SERIES, core, number_bars, tile
+from barloom.operators.tiles import NO, SERIES, asof, core, number_bars, tile
 
 PATH = ("bar_ts", "high", "low", "close")
+WEEK = 7 * 86400
 
 
 def path_ahead(horizon: int) -> Feature:
@@ -52,13 +53,16 @@ def triple_barrier(
 
 
 def forward_path(orders: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    """Add `_path`, the `horizon` bars after the bar that an order was placed on.
+    """Add `_path`, the `horizon` bars after the last bar at or before an order's time.
 
-    Orders find the position of their bar by an equi-join and then ride along with
-    the bars in one tiling, so no path is ever shuffled.
+    The time is the order's `bar_ts`, on the grid of the bars or off it. An order without
+    such a bar, or without symbol, timeframe or time, has a NULL path. Orders find their bar
+    by an as-of pass and then ride along with the bars in one tiling, so no path is shuffled.
     """
     numbered = number_bars(bars)
-    placed = orders.join(numbered.select(*SERIES, "bar_ts", NO), [*SERIES, "bar_ts"])
+    marks = numbered.select(*SERIES, F.col("bar_ts").alias("_on"), F.col(NO).alias("_at_no"))
+    placed = asof(orders, marks, SERIES, "bar_ts", "_on", ["_at_no"], WEEK)
+    placed = placed.withColumnRenamed("_at_no", NO)
     order = F.struct(*orders.columns)
     bar = numbered.select(
         *SERIES,
@@ -74,7 +78,8 @@ def forward_path(orders: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
     # A range frame over positions: several orders may sit on one bar. NULL bars are skipped.
     w = Window.partitionBy(*SERIES, "_tile").orderBy(NO).rangeBetween(1, horizon)
     seen = tile(line, after=horizon).withColumn("_path", F.collect_list("_bar").over(w))
-    return core(seen).filter(F.col("_order").isNotNull()).select("_order.*", "_path")
+    path = F.when(F.col(NO).isNotNull(), F.col("_path")).alias("_path")
+    return core(seen).filter(F.col("_order").isNotNull()).select("_order.*", path)
 
 
 def _buy() -> Column:
@@ -90,7 +95,8 @@ def add_fill(df: DataFrame) -> DataFrame:
     df = df.withColumn("_fill", F.array_position(hits, True).cast("int"))
     filled = F.col("_fill") > 0
     status = (
-        F.when(filled, "FILLED")
+        F.when(F.col("_path").isNull(), "NO_BAR")
+        .when(filled, "FILLED")
         .when(F.size("_path") >= F.col("expiry_bars"), "EXPIRED")
         .otherwise("PENDING")
     )
@@ -136,15 +142,28 @@ def _public(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if not c.startswith("_")])
 
 
-def limit_fill(orders: DataFrame, bars: DataFrame, max_expiry: int) -> DataFrame:
-    """Fill or expiry of limit orders; `expiry_bars` must not exceed `max_expiry`."""
-    return _public(add_fill(forward_path(orders, bars, max_expiry)))
+def _within(orders: DataFrame, max_expiry: int | None) -> tuple[DataFrame, int]:
+    """The orders and the longest expiry; an order beyond a stated one is an error."""
+    if max_expiry is None:
+        return orders, orders.agg(F.max("expiry_bars")).first()[0] or 0
+    beyond = F.raise_error(F.lit(f"an order's expiry_bars is above {max_expiry}")).cast("int")
+    kept = F.when(F.col("expiry_bars") > max_expiry, beyond).otherwise(F.col("expiry_bars"))
+    return orders.withColumn("expiry_bars", kept), max_expiry
 
 
-def order_outcome(orders: DataFrame, bars: DataFrame, max_expiry: int, horizon: int) -> DataFrame:
+def limit_fill(orders: DataFrame, bars: DataFrame, max_expiry: int | None = None) -> DataFrame:
+    """Fill or expiry of limit orders; NO_BAR where no bar lies at or before the order.
+
+    `max_expiry` bounds the path; without it the largest `expiry_bars` is looked up first.
+    """
+    orders, reach = _within(orders, max_expiry)
+    return _public(add_fill(forward_path(orders, bars, reach)))
+
+
+def order_outcome(orders: DataFrame, bars: DataFrame, max_expiry: int | None, horizon: int) -> DataFrame:
     """Fill, then profit, loss or time-out within `horizon` bars after the fill bar."""
-    filled = add_fill(forward_path(orders, bars, max_expiry + horizon))
-    return _public(add_outcome(filled, horizon))
+    orders, reach = _within(orders, max_expiry)
+    return _public(add_outcome(add_fill(forward_path(orders, bars, reach + horizon)), horizon))
 
 
 def valid_order() -> Column:

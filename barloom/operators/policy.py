@@ -38,9 +38,11 @@ def propose(
     """Limit orders from forecasts; distances are multiples of the ATR in `context`.
 
     `context` holds one row per bar (close, atr, spread) and meets the forecasts on
-    the bar key.
+    the bar key. A forecast without context gives an order with NULL prices, which
+    `valid_order` refuses.
     """
-    rows = forecasts.join(context.select(*SERIES, "bar_ts", "close", "atr", "spread"), [*SERIES, "bar_ts"])
+    known = context.select(*SERIES, "bar_ts", "close", "atr", "spread")
+    rows = forecasts.join(known, [*SERIES, "bar_ts"], "left")
     up = F.col("p_bull") >= 0.5
     way = F.when(up, 1.0).otherwise(-1.0)
     entry = F.round(F.col("close") - way * discount * F.col("atr"), 5)
@@ -70,12 +72,14 @@ def policy_grid(
 ) -> DataFrame:
     """Mean P/L in ATR units of every buy-limit setting, per volatility regime.
 
+    Bars without a defined regime form a group of their own, with a NULL regime.
+
     Features and the forward path of a bar come from one tiling; the path is replayed
     for each setting of the literal list, and the averages combine before their shuffle.
     """
     reach = expiry_bars + horizon
     paths = ft.compute(bars, ft.atr(), ft.vol_expansion(), path_ahead(reach)).withColumn(
-        "regime", F.when(F.col("vol_expansion") > 1, "expanding").otherwise("calm")
+        "regime", F.when(F.col("vol_expansion") > 1, "expanding").when(F.col("vol_expansion").isNotNull(), "calm")
     )
     grid = F.array(
         *[

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.clock import plus_seconds, slot
-from barloom.functions.sqlmath import hash32
+from barloom.functions.sqlmath import hash60
 from barloom.operators.metrics import chain, path_summary
 from barloom.operators.tiles import asof, number
 from barloom.session import store
@@ -80,7 +80,8 @@ def permutation_test(scored: DataFrame, runs: int, seed: int) -> DataFrame:
         "outcome",
         F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"),
     ).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "run", "symbol", "bar_ts")))
-    bucket = F.conv(F.substring("_h", 1, 3), 16, 10).cast("bigint")
+    # 65,536 ranges of hashes for each symbol and run.
+    bucket = F.conv(F.substring("_h", 1, 4), 16, 10).cast("bigint")
     ranked = number(drawn, ["symbol", "run"], ["_h"], bucket, "pos")
     pairs = ranked.join(left, ["symbol", "pos"]).select("run", "predicted", "outcome")
     actual = scored.select(F.lit(0).alias("run"), "predicted", "outcome")
@@ -101,33 +102,41 @@ def friction_shock(
     """Trades priced again under each scenario (name, spread factor, slippage in ms).
 
     Entry and exit take the last tick at or before their time plus the slippage; the
-    widened spread of the entry tick is paid once. All legs of all scenarios share one
-    as-of pass.
+    widened spread of the entry tick is paid once. Quotes are looked up once per trade, leg
+    and distinct slippage, in one as-of pass; scenarios are laid over them afterwards.
+    `status` is PRICED, or NO_QUOTE with a NULL P/L where a leg has no quote.
     """
+    scenarios = [(n, float(m), int(ms)) for n, m, ms in scenarios]
     cases = F.array(
         *[
-            F.struct(
-                F.lit(n).alias("scenario"), F.lit(float(m)).alias("_mult"), F.lit(ms / 1000).alias("_slip")
-            )
+            F.struct(F.lit(n).alias("scenario"), F.lit(m).alias("_mult"), F.lit(ms).alias("_ms"))
             for n, m, ms in scenarios
         ]
     )
-    legs = F.array(
-        F.struct(F.lit("in").alias("_leg"), F.col("open_ts").alias("_at")),
-        F.struct(F.lit("out").alias("_leg"), F.col("close_ts").alias("_at")),
+    looks = F.array(
+        *[
+            F.struct(F.lit(ms).alias("_ms"), F.lit(leg).alias("_leg"), F.col(at).alias("_at"))
+            for ms in sorted({ms for _, _, ms in scenarios})
+            for leg, at in (("in", "open_ts"), ("out", "close_ts"))
+        ]
     )
-    wide = trades.withColumn("_c", F.explode(cases)).select("*", "_c.*").drop("_c")
-    wide = wide.withColumn("_l", F.explode(legs)).select("*", "_l.*").drop("_l")
-    wide = wide.withColumn("_when", plus_seconds("_at", F.col("_slip"))).drop("_at")
+    way = F.when(F.col("side") == "BUY", 1).otherwise(-1).alias("_way")
+    legs = trades.select("strategy_id", "trade_id", "symbol", way, F.inline(looks))
+    legs = legs.withColumn("_when", plus_seconds("_at", F.col("_ms") / 1000)).drop("_at")
     priced = asof(
-        wide, ticks, ["symbol"], "_when", "ts", ["price", "spread"], grain, right_order=["tick_id"]
+        legs, ticks, ["symbol"], "_when", "ts", ["price", "spread"], grain, right_order=["tick_id"]
     )
     into = F.col("_leg") == "in"
-    way = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
-    cash = F.when(into, -way * F.col("price") - F.col("_mult") * F.col("spread")).otherwise(
-        way * F.col("price")
+    quoted = priced.groupBy("strategy_id", "trade_id", "_way", "_ms").agg(
+        F.max(F.when(into, F.col("price"))).alias("_in"),
+        F.max(F.when(into, F.col("spread"))).alias("_spread"),
+        F.max(F.when(~into, F.col("price"))).alias("_out"),
     )
-    return priced.groupBy("strategy_id", "scenario", "trade_id").agg(F.sum(cash).alias("pnl"))
+    of_slip = F.filter(cases, lambda c: c["_ms"] == F.col("_ms"))
+    rows = quoted.withColumn("_c", F.explode(of_slip)).select("*", "_c.scenario", "_c._mult")
+    pnl = F.col("_way") * (F.col("_out") - F.col("_in")) - F.col("_mult") * F.col("_spread")
+    status = F.when(pnl.isNotNull(), "PRICED").otherwise("NO_QUOTE")
+    return rows.select("strategy_id", "scenario", "trade_id", pnl.alias("pnl"), status.alias("status"))
 
 
 def day_blocks(trades: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -180,7 +189,7 @@ def mc_drawdown(
     draws = parts.withColumn(
         "_pos", F.explode(F.sequence(first, F.least(first + stretch - 1, last)))
     )
-    draws = draws.withColumn("block_no", hash32(F.lit(seed), "run", *by, "_pos") % F.col("_n"))
+    draws = draws.withColumn("block_no", hash60(F.lit(seed), "run", *by, "_pos") % F.col("_n"))
     path = draws.drop("_n").join(blocks, [*by, "block_no"])
     stretches = chain(path, [*by, "run", "_part"], "_pos")
     return chain(stretches, [*by, "run"], "_part").select(

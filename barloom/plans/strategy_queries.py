@@ -241,6 +241,39 @@ def f2(spark, sf):
     return filled.select(*KEY, "side", "status", "status_ts")
 
 
+MOVED = f"""{PROPOSALS}, moved as (select * replace (case when hour(bar_ts) = 3 then bar_ts - interval 400 days
+  when day(bar_ts) % 2 = 1 then bar_ts + interval 7 minutes else bar_ts end as bar_ts,
+  (1 + hour(bar_ts) % 6)::int as expiry_bars, case when hour(bar_ts) = 3 then null else rn end as rn) from props),
+  total as (select symbol, count(*) as total from bars group by 1),
+  ff as (select p.symbol, p.rn, min(x.rn) as fill from moved p join a x on x.symbol = p.symbol
+  and x.rn between p.rn + 1 and p.rn + p.expiry_bars
+  and case when p.way > 0 then x.low <= p.entry else x.high >= p.entry end group by 1, 2),
+  fl as materialized (select p.*, ff.fill, total, case when p.rn is null then 'NO_BAR' when ff.fill is not null then 'FILLED'
+  when p.rn + p.expiry_bars <= total then 'EXPIRED' else 'PENDING' end as status from moved p join total using (symbol)
+  left join ff using (symbol, rn))"""
+
+
+def _moved(spark, sf):
+    """Orders off the grid of the bars, before the first bar, and of varying expiry."""
+    hour = F.hour("bar_ts")
+    moved = (
+        F.when(hour == 3, F.col("bar_ts") - F.expr("interval 400 days"))
+        .when(F.dayofmonth("bar_ts") % 2 == 1, F.col("bar_ts") + F.expr("interval 7 minutes"))
+        .otherwise(F.col("bar_ts"))
+    )
+    return _proposals(spark, sf).withColumns({"bar_ts": moved, "expiry_bars": (1 + hour % 6).cast("int")})
+
+
+@query(
+    "f2_limit_fill_off_grid",
+    f"""{MOVED} select fl.symbol, fl.bar_ts, side, expiry_bars, status, x.bar_ts as status_ts from fl
+  left join a x on x.symbol = fl.symbol and x.rn = coalesce(fl.fill, fl.rn + fl.expiry_bars)""",
+)
+def f2_off_grid(spark, sf):
+    filled = labels.limit_fill(_moved(spark, sf), views.bars(spark, sf))
+    return filled.select(*KEY, "side", "expiry_bars", "status", "status_ts")
+
+
 @query(
     "f3_order_outcome",
     f"""{FILLED}, met as (select p.symbol, p.rn, min(x.rn) as met from fl p join a x on x.symbol = p.symbol
@@ -259,6 +292,24 @@ def f3(spark, sf):
     return played.select(*KEY, "side", "outcome", "pnl")
 
 
+@query(
+    "f3_order_outcome_off_grid",
+    f"""{MOVED}, met as (select p.symbol, p.rn, min(x.rn) as met from fl p join a x on x.symbol = p.symbol
+  and x.rn between p.fill + 1 and p.fill + 24 and case when p.way > 0 then x.low <= p.sl or x.high >= p.tp
+  else x.high >= p.sl or x.low <= p.tp end group by 1, 2),
+  o as (select fl.*, case when status <> 'FILLED' then status when met is null and fill + 24 > total then 'OPEN'
+  when met is null then 'TIMEOUT' when (way > 0 and x.low <= sl) or (way < 0 and x.high >= sl) then 'SL'
+  else 'TP' end as outcome from fl left join met using (symbol, rn)
+  left join a x on x.symbol = fl.symbol and x.rn = met.met)
+  select o.symbol, o.bar_ts, side, outcome, {r('''case outcome when 'EXPIRED' then 0e0 when 'SL' then way * (sl - entry)
+  when 'TP' then way * (tp - entry) when 'TIMEOUT' then way * (z.close - entry) end''')} as pnl
+  from o left join a z on z.symbol = o.symbol and z.rn = o.fill + 24""",
+)
+def f3_off_grid(spark, sf):
+    played = labels.order_outcome(_moved(spark, sf), views.bars(spark, sf), None, 24)
+    return played.select(*KEY, "side", "outcome", "pnl")
+
+
 GRID = f"""{with_averages({**ATR14, 'fast': ('tr', 1 / 5), 'slow': ('tr', 1 / 50)})},
   g as (select * from (values (0.1e0), (0.4e0)) d(discount), (values (0.5e0), (1e0), (2e0)) s(stop),
   (values (1e0), (2e0)) t(target)),
@@ -537,10 +588,32 @@ def g3(spark, sf):
     return metrics.trade_stats(shocked, ["strategy_id", "scenario"])
 
 
+HALF = "(select min(ts) + (max(ts) - min(ts)) / 2 from events)"
+
+
+@query(
+    "g3_friction_shock_unquoted",
+    f"""with {TICKS}, {TRADES}, late as (select * from ticks where ts >= {HALF}),
+  sc(scenario, mult, ms) as (values {', '.join(f"('{n}', {m}e0, {s})" for n, m, s in SCENARIOS)}),
+  w as (select *, case when trade_id % 2 = 0 then 1e0 else -1e0 end as way, open_ts + to_milliseconds(ms) as t_in,
+  close_ts + to_milliseconds(ms) as t_out from trades, sc),
+  i as (select w.*, price as p_in, spread as s_in from w asof left join late on late.symbol = w.symbol and late.ts <= t_in),
+  o as (select i.*, price as p_out from i asof left join late on late.symbol = i.symbol and late.ts <= t_out)
+  select strategy_id, scenario, trade_id, case when p_in is null or p_out is null then 'NO_QUOTE' else 'PRICED' end as status,
+  {r('way * (p_out - p_in) - mult * s_in')} as pnl from o""",
+)
+def g3_unquoted(spark, sf):
+    """Quotes begin in the middle of the trades."""
+    ticks = views.ticks(spark, sf)
+    lo, hi = ticks.agg(F.min("ts"), F.max("ts")).first()
+    late = ticks.filter(F.col("ts") >= F.lit(lo + (hi - lo) / 2).cast("timestamp_ntz"))
+    return validation.friction_shock(_sided(spark, sf), late, SCENARIOS)
+
+
 def mc_sql(blocks: str) -> str:
     return f"""{blocks}, sized as (select *, count(*) over (partition by strategy_id) as n from blk),
   d as (select strategy_id, run, block_no as pos, cast('0x' || substr(md5('11|' || run || '|' || strategy_id || '|' ||
-  block_no), 1, 8) as bigint) % n as pick from sized, range(1, 1001) runs(run)),
+  block_no), 1, 15) as bigint) % n as pick from sized, range(1, 1001) runs(run)),
   x as (select d.strategy_id, run, pos, total, top, fall, blk.drop_ as drop_, coalesce(sum(total) over (w rows between
   unbounded preceding and 1 preceding), 0) as base from d join blk on blk.strategy_id = d.strategy_id
   and blk.block_no = d.pick window w as (partition by d.strategy_id, run order by pos)),

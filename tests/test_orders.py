@@ -89,6 +89,23 @@ def test_many_orders_on_one_bar(spark):
     assert got.count() == 50 and got.filter("status = 'FILLED'").count() == 50
 
 
+def test_orders_off_the_grid_and_without_a_bar(spark):
+    bars = path_bars(spark, [FLAT, DIP, FLAT, FLAT])
+    off = order(spark).withColumn("bar_ts", F.col("bar_ts") + F.expr("interval 7 minutes"))
+    early = order(spark).withColumn("bar_ts", F.col("bar_ts") - F.expr("interval 1 day"))
+    lost = order(spark).withColumn("symbol", F.lit(None).cast("string"))
+    rows = off.unionByName(early).unionByName(lost)
+    got = labels.limit_fill(rows, bars, 3).collect()
+    assert sorted(r.status for r in got) == ["FILLED", "NO_BAR", "NO_BAR"]
+    played = labels.order_outcome(rows, bars, None, 2).collect()
+    assert sorted(r.outcome for r in played) == ["NO_BAR", "NO_BAR", "TIMEOUT"]
+
+
+def test_an_expiry_above_the_bound_is_an_error(spark):
+    with pytest.raises(Exception, match="above 2"):
+        labels.limit_fill(order(spark, expiry=5), path_bars(spark, [FLAT] * 8), 2).collect()
+
+
 def brute_barrier(bars, tp, sl, h):
     out = {}
     for symbol, g in bars.sort_values("bar_ts").groupby("symbol"):

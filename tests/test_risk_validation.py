@@ -146,6 +146,9 @@ def test_friction(spark):
     pnl = {(r.scenario, r.trade_id): r.pnl for r in got}
     assert pnl["base", 1] == pytest.approx(4 - 0.2) and pnl["base", 2] == pytest.approx(-4 - 0.2)
     assert pnl["both", 1] == pytest.approx(3 - 1.2) and pnl["both", 2] == pytest.approx(-3 - 1.2)
+    early = trades.withColumn("open_ts", F.col("open_ts") - F.expr("interval 1 day"))
+    late = validation.friction_shock(early, ticks, [("base", 1.0, 0)]).collect()
+    assert {(r.pnl, r.status) for r in late} == {(None, "NO_QUOTE")}
 
 
 def log_df(spark, rows):
