@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+# Names of the session zone that the clocks need.
+UTC = ("UTC", "Etc/UTC", "GMT", "Z")
 # Bar widths in seconds.
 WIDTHS = {"M1": 60, "M5": 300, "M15": 900, "H1": 3600, "H4": 14400, "D1": 86400}
 
@@ -23,12 +25,21 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _instant(ts: Column | str) -> Column:
+    """The clock time as an instant, which is only right where the session's zone is UTC."""
+    session = SparkSession.getActiveSession()
+    zone = session.conf.get("spark.sql.session.timeZone") if session else "UTC"
+    if zone not in UTC:
+        raise ValueError(f"the session's time zone is {zone}; call barloom.session.prepare first")
+    return col(ts).cast("timestamp")
+
+
 def seconds(ts: Column | str) -> Column:
-    return F.unix_seconds(col(ts).cast("timestamp"))
+    return F.unix_seconds(_instant(ts))
 
 
 def micros(ts: Column | str) -> Column:
-    return F.unix_micros(col(ts).cast("timestamp"))
+    return F.unix_micros(_instant(ts))
 
 
 def plus_seconds(ts: Column | str, secs: Column | float) -> Column:

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.operators import features as ft
 from barloom.operators.tiles import SERIES
-from barloom.session import shared_dir
 
 INPUTS = (
     "body_ratio", "upper_wick", "lower_wick", "range_to_atr", "natr", "vol_expansion",
@@ -34,15 +30,28 @@ def _next_bar() -> ft.Feature:
     return ft.Feature(("label_end", "label"), 0, (stage,), after=1)
 
 
-def training_table(bars: DataFrame) -> DataFrame:
-    """Features, next direction as `label` and the time at which it is known, per bar."""
-    made = ft.compute(
+def _features(bars: DataFrame, *more: ft.Feature) -> DataFrame:
+    return ft.compute(
         bars, ft.body_ratio(), ft.wick_ratios(), ft.range_to_atr(), ft.natr(), ft.vol_expansion(),
-        ft.ema_z(), ft.rsi(), ft.macd_ratio(), ft.bb_width(), _next_bar(),
+        ft.ema_z(), ft.rsi(), ft.macd_ratio(), ft.bb_width(), *more,
     )
+
+
+def training_table(bars: DataFrame) -> DataFrame:
+    """Features, next direction as `label` and the time at which it is known, per bar.
+
+    Rows with an undefined feature are left out, and so is the newest bar of each series,
+    whose label is not known yet. For scoring use `scoring_table`.
+    """
+    made = _features(bars, _next_bar())
     return made.select(*SERIES, "bar_ts", "label_end", "label", *INPUTS).dropna()
 
 
+def scoring_table(bars: DataFrame) -> DataFrame:
+    """The features of every bar that has them all, the newest bar included."""
+    return _features(bars).select(*SERIES, "bar_ts", *INPUTS).dropna()
+
+
 def fit_direction(train: DataFrame, cols: Sequence[str] = INPUTS, reg: float = 0.01) -> PipelineModel:
     """Logistic regression for the chance of a rising bar."""
     steps = [
@@ -57,8 +66,6 @@ def fit_gbt(
     train: DataFrame, valid_from: Column, cols: Sequence[str] = INPUTS, rounds: int = 10
 ) -> PipelineModel:
     """Boosted trees that stop once the later rows, held out by time, gain no more."""
-    spark = train.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
     marked = train.withColumn("_valid", F.col("bar_ts") >= valid_from)
     trees = GBTClassifier(
         featuresCol="_x",
@@ -84,21 +91,30 @@ def apply_direction(model: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
-Predict = Callable[[np.ndarray], np.ndarray]
+def save(model: PipelineModel, uri: str) -> str:
+    """Write a fitted model to a folder that all executors share."""
+    model.write().save(uri)
+    return uri
 
 
-def score(df: DataFrame, load: Callable[[], Predict], sample: str, out: str = "score") -> DataFrame:
-    """Add the model's answer for each sample, an array of numbers of fixed length.
+def score(df: DataFrame, uri: str) -> DataFrame:
+    """Add `p_bull` and `confidence` by a saved model."""
+    return apply_direction(PipelineModel.load(uri), df)
 
-    `load` runs once per task and returns a function from a matrix (one row per
-    sample) to one number per row, so any saved model can be used.
-    """
 
-    @F.pandas_udf(T.DoubleType())
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
-        for batch in batches:
-            values = model(np.vstack(batch.to_numpy())) if len(batch) else np.empty(0)
-            yield pd.Series(values, dtype="float64")
+def save_weights(spark: SparkSession, weights: Sequence[float], uri: str) -> str:
+    """Write the weights of a linear scorer over samples of fixed length."""
+    spark.createDataFrame(list(enumerate(map(float, weights))), "i int, weight double").write.parquet(uri)
+    return uri
 
-    return df.withColumn(out, predict(F.col(sample)))
+
+def score_samples(df: DataFrame, uri: str, sample: str, out: str = "score") -> DataFrame:
+    """Add the logistic score of each sample, an array of prices of fixed length.
+
+    The saved weights apply to the returns against the sample's last price. They are few, and
+    become literals of an expression that Spark evaluates itself.
+    """
+    saved = df.sparkSession.read.parquet(uri).orderBy("i").collect()
+    last = F.element_at(sample, -1)
+    terms = [F.lit(r.weight) * (F.get(sample, F.lit(r.i)) / last - 1) for r in saved]
+    return df.withColumn(out, 1 / (1 + F.exp(-sum(terms[1:], terms[0]))))

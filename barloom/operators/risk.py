@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from barloom.functions.clock import slot
 from barloom.functions.sqlmath import let, ratio
 from barloom.operators.tiles import Scan, running
+from barloom.schemas import SYMBOLS, require
+from barloom.session import store
 
 _ENDS = "array<struct<event_id:bigint,placed:timestamp_ntz,state:string,ended:timestamp_ntz>>"
 VERDICTS = {"A": "ACCEPT", "M": "MAX_OPEN", "D": "DAILY_LOSS"}
@@ -20,18 +22,27 @@ NEVER = "9999-12-31 00:00:00"
 TERMINAL = {"FILL": "FILLED", "CANCEL": "CANCELLED", "REJECT": "REJECTED"}
 
 
-def size_lots(
-    df: DataFrame, risk: float, kelly_cap: float, step: float = 0.01, contract: float = 1.0
-) -> DataFrame:
-    """Add `kelly` and `lots`: capped Kelly share, at most `risk` of the equity at the stop."""
+def size_lots(df: DataFrame, risk: float, kelly_cap: float, symbols: DataFrame) -> DataFrame:
+    """Add `kelly` and `lots`: capped Kelly share, at most `risk` of the equity at the stop.
+
+    `symbols` is the catalogue (`schemas.SYMBOLS`): contract size and lot step of each symbol.
+    Lots are whole steps; a quotient within 1e-9 of a whole number of steps counts as it. An
+    order whose symbol is not in the catalogue has NULL lots. The catalogue, one row per
+    symbol, is stored first, so that its size is known and orders need no shuffle by symbol.
+    """
+    catalogue = require(symbols, SYMBOLS).select("symbol", "contract_size", "lot_step")
+    known = store(catalogue, "symbols").withColumnRenamed("symbol", "_symbol")
     odds = ratio(F.abs(F.col("tp") - F.col("entry")), F.abs(F.col("entry") - F.col("sl")))
     full = F.col("p_win") - ratio(1 - F.col("p_win"), odds)
     # An order without a stop distance has no odds, and gets nothing.
     capped = F.greatest(F.least(full, F.lit(kelly_cap)), F.lit(0.0))
     kelly = F.when(full.isNotNull(), capped).otherwise(0.0)
-    stop = F.abs(F.col("entry") - F.col("sl")) * contract
-    raw = ratio(F.col("equity") * F.least("kelly", F.lit(risk)), stop)
-    return df.withColumn("kelly", kelly).withColumn("lots", F.floor(raw / step) * step)
+    sized = df.withColumn("kelly", kelly).join(known, F.col("symbol") == F.col("_symbol"), "left")
+    stop = F.abs(F.col("entry") - F.col("sl")) * F.col("contract_size")
+    steps = F.floor(F.round(ratio(F.col("equity") * F.least("kelly", F.lit(risk)), stop * F.col("lot_step")), 9))
+    # Whole steps times a decimal step: no binary fraction creeps in.
+    lots = (steps.cast("decimal(18,0)") * F.col("lot_step").cast("decimal(12,6)")).cast("double")
+    return sized.select(*df.columns, "kelly", lots.alias("lots"))
 
 
 def open_count(trades: DataFrame, by: Sequence[str], grain: int = 60) -> DataFrame:

@@ -104,6 +104,23 @@ def causality_diff(
     return diff_within(whole, prefix, keys, cols, tol)
 
 
+def causality_audit(
+    feature: Callable[[DataFrame], DataFrame], bars: DataFrame, cut: Column, cols: Sequence[str]
+) -> DataFrame:
+    """Per series: rows that both computations hold, and rows whose features differ."""
+    keys = [*SERIES, "bar_ts"]
+    early = F.col("bar_ts") < cut
+    whole = feature(bars).filter(early).select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    prefix = feature(bars.filter(early)).select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    changed = diff_within(whole, prefix, keys, cols, 1e-9).groupBy(*SERIES).agg(F.count("*").alias("changed"))
+    both = whole.select(*keys).join(prefix.select(*keys), keys)
+    compared = both.groupBy(*SERIES).agg(F.count("*").alias("compared"))
+    none = F.lit(0).cast("bigint")
+    return compared.join(changed, list(SERIES), "full_outer").select(
+        *SERIES, F.coalesce("compared", none).alias("compared"), F.coalesce("changed", none).alias("changed")
+    )
+
+
 def stationarity(df: DataFrame, cols: Sequence[str], blocks: int) -> DataFrame:
     """Mean and deviation of each column in equal stretches of each series.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.clock import WIDTHS, col, slot
+from barloom.functions.clock import WIDTHS, col, seconds, slot
 
 TILE = 16_384
 # Tasks over which rows without key or time are spread.
@@ -158,7 +158,7 @@ def bar_chunk(size: int = TILE) -> Column:
     width = F.lit(None).cast("bigint")
     for tf, secs in WIDTHS.items():
         width = F.when(F.col("tf") == tf, F.lit(secs).cast("bigint")).otherwise(width)
-    return F.floor(F.unix_seconds(F.col("bar_ts").cast("timestamp")) / (width * size))
+    return F.floor(seconds("bar_ts") / (width * size))
 
 
 def number_bars(bars: DataFrame) -> DataFrame:

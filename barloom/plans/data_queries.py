@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,6 @@ from barloom.session import fresh_dir, store
 from barloom.sources import files, views
 
 ARRIVAL = ["arrived_at", "tick_id"]
-START, END = datetime(2023, 12, 25), datetime(2024, 2, 5)
 MID_LO, MID_HI = "2024-01-16 00:00:00", "2024-01-16 12:30:00"
 
 
@@ -39,15 +38,22 @@ def _symbols(spark: SparkSession, sf: str) -> DataFrame:
     return views.ticks(spark, sf).select("symbol").distinct()
 
 
-SLICES = """slices as (select symbol, lo, least(lo + interval 7 days, timestamp '2024-02-05') as hi
-  from (select symbol, unnest(generate_series(timestamp '2023-12-25', timestamp '2024-02-05',
-  interval 7 days)) as lo from (select distinct event_type as symbol from events))
-  where lo < timestamp '2024-02-05')"""
+SLICES = """span as (select date_trunc('day', min(ts)) as lo, date_trunc('day', max(ts)) + interval 1 day as hi from events),
+  slices as (select symbol, lo, least(lo + interval 7 days, stop) as hi from (select symbol, span.hi as stop,
+  unnest(generate_series(span.lo::timestamp, span.hi::timestamp, interval 7 days)) as lo
+  from (select distinct event_type as symbol from events), span) where lo < stop)"""
+
+
+def _slices(spark, sf):
+    """Weeks over the days that the ticks cover."""
+    lo, hi = views.ticks(spark, sf).agg(F.min("ts"), F.max("ts")).first()
+    start, last = (datetime(t.year, t.month, t.day) for t in (lo, hi))
+    return sl.plan_slices(_symbols(spark, sf), start, last + timedelta(days=1), "7 days")
 
 
 @query("a2_plan_slices", f"with {SLICES} select symbol, lo, hi from slices")
 def a2(spark, sf):
-    return sl.plan_slices(_symbols(spark, sf), START, END, "7 days")
+    return _slices(spark, sf)
 
 
 @query(
@@ -57,8 +63,7 @@ def a2(spark, sf):
   on b.symbol = s.symbol and b.bar_ts >= s.lo and b.bar_ts < s.hi group by 1, 2, 3""",
 )
 def a3(spark, sf):
-    slices = sl.plan_slices(_symbols(spark, sf), START, END, "7 days")
-    return sl.slice_coverage(slices, views.bars(spark, sf), 150, "H1")
+    return sl.slice_coverage(_slices(spark, sf), views.bars(spark, sf), 150, "H1")
 
 
 @query(

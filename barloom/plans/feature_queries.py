@@ -261,25 +261,17 @@ def d17(spark, sf):
     return samples.quantile_baseline(views.bars(spark, sf)).drop("tf")
 
 
-CUT = "2024-01-20 12:00:00"
-
-
 @query(
     "d18_causality_audit",
     f"""{bars()} select symbol, count(*) as compared, 0::bigint as changed from bars
-  where bar_ts < timestamp '{CUT}' group by symbol""",
+  where bar_ts < {MIDDLE} group by symbol""",
 )
 def d18(spark, sf):
-    table = views.bars(spark, sf)
-    cut = F.lit(CUT).cast("timestamp_ntz")
-    audited = (ft.rsi(), ft.macd_ratio(), ft.ema_z(), ft.causal_scale(("close",)))
+    """All features, with the bars cut in the middle of their time."""
+    table, audited = views.bars(spark, sf), ft.full_set()
     cols = [o for f in audited for o in f.outputs]
-    diff = samples.causality_diff(lambda b: ft.compute(b, *audited), table, cut, cols)
-    changed = diff.groupBy("symbol").agg(F.count("*").alias("changed"))
-    compared = table.filter(F.col("bar_ts") < cut).groupBy("symbol").agg(F.count("*").alias("compared"))
-    return compared.join(changed, "symbol", "left").select(
-        "symbol", "compared", F.coalesce("changed", F.lit(0).cast("bigint")).alias("changed")
-    )
+    cut = F.lit(_times(table)[0]).cast("timestamp_ntz")
+    return samples.causality_audit(lambda b: ft.compute(b, *audited), table, cut, cols).drop("tf")
 
 
 @query(

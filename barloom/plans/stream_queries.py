@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from barloom import schemas
@@ -11,7 +10,8 @@ from barloom.operators import metrics, models, risk, samples, tiles, validation
 from barloom.plans.oracle import TICKS, bars, bars_of, r
 from barloom.plans.registry import query
 from barloom.plans.data_queries import BAR_COLS
-from barloom.plans.strategy_queries import EMBARGO, FOLDS, GATED, LIVES, _gated
+from barloom.plans.feature_queries import MIDDLE, _times
+from barloom.plans.strategy_queries import EMBARGO, FOLD_SQL, GATED, LIVES, _gated, folds
 from barloom.session import fresh_dir, store
 from barloom.sources import files, views
 from barloom.streaming import orders as order_streams
@@ -121,8 +121,10 @@ def j6(spark, sf):
     landed = f"{path}/landed"
     table = views.bars(spark, sf).drop("bar_no")
     # Bars land in three periods; the stream picks each up where the last one ended.
-    for lo, hi in (("2023-12-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-12-01")):
-        table.filter((F.col("bar_ts") >= lo) & (F.col("bar_ts") < hi)).write.mode("append").parquet(landed)
+    edges = [F.lit(t).cast("timestamp_ntz") for t in _times(table)]
+    period = (F.col("bar_ts") >= edges[0]).cast("int") + (F.col("bar_ts") >= edges[1]).cast("int")
+    for i in range(3):
+        table.filter(period == i).write.mode("append").parquet(landed)
         stream = files.stream_table(spark, landed, schemas.BARS)
         tick_streams.features_stream(
             stream, f"{path}/tail", f"{path}/out", f"{path}/checkpoint", [ft.true_range(), ft.bb_width()]
@@ -196,15 +198,44 @@ def e9(spark, sf):
 
 # --- models ---------------------------------------------------------------
 
-SPLIT = "2024-01-21 00:00:00"
-
-
 def _parts(spark, sf):
-    table = store(models.training_table(views.bars(spark, sf)), "training")
-    cut = F.lit(SPLIT).cast("timestamp_ntz")
+    """Training rows whose labels end before the middle of the bars' time, and the rows after it."""
+    bars_ = views.bars(spark, sf)
+    table = store(models.training_table(bars_), "training")
+    cut = F.lit(_times(bars_)[0]).cast("timestamp_ntz")
     return table.filter(F.col("label_end") < cut), table.filter(F.col("bar_ts") >= cut)
 
 
+def _late_rows(spark, sf):
+    """All bars from the middle on that can be scored, the newest included."""
+    bars_ = views.bars(spark, sf)
+    return models.scoring_table(bars_).filter(F.col("bar_ts") >= F.lit(_times(bars_)[0]).cast("timestamp_ntz"))
+
+
+LATE_BARS = f"{bars()} select symbol, count(*) as n from bars where bar_ts >= {MIDDLE} group by 1"
+
+
+@query("h1_scored_rows", LATE_BARS)
+def h1_rows(spark, sf):
+    """Fit, save, load and score: every bar of the later half gets one score."""
+    uri = models.save(models.fit_direction(_parts(spark, sf)[0]), fresh_dir(spark, "model"))
+    scored = models.score(_late_rows(spark, sf), uri).filter(F.col("p_bull").between(0, 1))
+    return scored.groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query("h2_scored_rows", LATE_BARS)
+def h2_rows(spark, sf):
+    train = _parts(spark, sf)[0]
+    uri = models.save(models.fit_gbt(train, _valid_from(train), rounds=3), fresh_dir(spark, "model"))
+    scored = models.score(_late_rows(spark, sf), uri).filter(F.col("p_bull").between(0, 1))
+    return scored.groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+def _valid_from(train):
+    """The last quarter of the training time is held out."""
+    return F.lit(_times(train)[1]).cast("timestamp_ntz")
+
+
 def _judged(scored):
     up = scored.withColumn("up", F.col("label") > 0)
     return metrics.direction_metrics(up, ["symbol"], "p_bull", "up")
@@ -219,23 +250,14 @@ def h1(spark, sf):
 @query("h2_fit_gbt")
 def h2(spark, sf):
     train, test = _parts(spark, sf)
-    model = models.fit_gbt(train, F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
+    model = models.fit_gbt(train, _valid_from(train))
     return _judged(models.apply_direction(model, test))
 
 
-# A saved model for samples of 8 closes: weights on the returns against the last close.
+# A linear model for samples of 8 closes: weights on the returns against the last close.
 WEIGHTS = (0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.35)
 
 
-def load_weights():
-    weights = np.array(WEIGHTS)
-
-    def predict(x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(x[:, :-1] / x[:, -1:] - 1) @ weights))
-
-    return predict
-
-
 @query(
     "h3_score",
     f"""{bars()}, n as (select *, row_number() over (partition by symbol order by bar_ts) as rn from bars),
@@ -247,7 +269,8 @@ def load_weights():
 def h3(spark, sf):
     made = samples.windows(views.bars(spark, sf), ["close"], length=8, horizon=1)
     rows = made.withColumn("x", F.transform("x", lambda v: v.close))
-    return models.score(rows, load_weights, "x", "p_bull").select("symbol", "bar_ts", "p_bull")
+    uri = models.save_weights(spark, WEIGHTS, fresh_dir(spark, "weights"))
+    return models.score_samples(rows, uri, "x", "p_bull").select("symbol", "bar_ts", "p_bull")
 
 
 @query("g1_walk_forward")
@@ -256,8 +279,26 @@ def g1(spark, sf):
         model = models.fit_direction(train)
         return lambda test: models.apply_direction(model, test)
 
-    table = models.training_table(views.bars(spark, sf))
-    scored = validation.walk_forward(table, FOLDS, EMBARGO, fit)
+    scored = _walked(spark, sf, fit)
     return metrics.direction_metrics(
         scored.withColumn("up", F.col("label") > 0), ["fold"], "p_bull", "up"
     )
+
+
+def _walked(spark, sf, fit):
+    bars_ = views.bars(spark, sf)
+    return validation.walk_forward(models.training_table(bars_), folds(bars_), EMBARGO, fit)
+
+
+@query(
+    "g1_fold_rows",
+    f"""{bars()}, {FOLD_SQL}, n as (select *, lead(bar_ts) over (partition by symbol order by bar_ts) as label_end from bars)
+  select fold, count(*) as n from n join f on bar_ts >= lo and bar_ts < hi where label_end is not null group by 1""",
+)
+def g1_rows(spark, sf):
+    """Every labelled bar of a test period is scored once, here by its training rows' mean."""
+    def fit(train):
+        mean = train.agg(F.avg("label")).first()[0]
+        return lambda test: test.withColumn("p_bull", F.lit(mean))
+
+    return _walked(spark, sf, fit).groupBy("fold").agg(F.count("p_bull").alias("n"))

@@ -30,6 +30,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     cloudpickle.register_pickle_by_value(barloom)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    # Iterative models cut their lineage there; set where the cluster has not done so itself.
+    if spark.sparkContext.getCheckpointDir() is None and spark.conf.get(CHECKPOINT_CONF, None):
+        spark.sparkContext.setCheckpointDir(spark.conf.get(CHECKPOINT_CONF))
     return spark
 
 
@@ -60,7 +63,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # `local-cluster` is a cluster
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="barloom-")
     spark.sparkContext.setCheckpointDir(folder)

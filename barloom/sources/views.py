@@ -14,7 +14,7 @@ from barloom.session import fresh_dir, store
 # Fixed value: prices around this level give profits and losses of both signs.
 PNL_LEVEL = 49.63
 
-_stores: dict[tuple[str, str, str], str] = {}
+_stores: dict[tuple, str] = {}
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +109,12 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str, tf: str = "H1") -> DataFrame:
-    """Numbered bars, built from the ticks once per application and kept as Parquet."""
-    slot = (spark.sparkContext.applicationId, sf_dir, tf)
+    """Numbered bars, built from the ticks once per application and state of the files."""
+    files = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+    )
+    state = tuple(sorted(map(tuple, files.distinct().collect())))  # a row per file
+    slot = (spark.sparkContext.applicationId, state, tf)
     schema = schemas.with_long(schemas.BARS, NO)
     if slot not in _stores:
         path = fresh_dir(spark, f"bars-{tf}")

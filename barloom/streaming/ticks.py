@@ -91,6 +91,7 @@ class FeatureAppender:
         if batch_id > 0:
             before = spark.read.schema(schemas.BARS).parquet(f"{self.tail}/batch={batch_id - 1}")
             line = line.unionByName(before.withColumn("_new", F.lit(False)))
+        line = line.persist()  # read for the tail, the row counts and the features
         newest = Window.partitionBy(*SERIES).orderBy(F.col("bar_ts").desc())
         kept = line.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= self.rows)
         kept.select(*schemas.BARS.names).write.mode("overwrite").parquet(
@@ -98,6 +99,7 @@ class FeatureAppender:
         )
         made = ft.compute(line, *self.features).filter("_new").drop("_new")
         made.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
+        line.unpersist()
 
 
 def features_stream(

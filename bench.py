@@ -21,7 +21,7 @@ from barloom.sources import views
 HEADLINE = (
     "c1_to_bars", "b10_validate", "b11_health_report", "d_full_feature_set", "e1_align",
     "f1_triple_barrier", "f3_order_outcome", "f5_policy_grid", "c4_max_drawdown", "c10_open_count",
-    "g2_permutation_test", "g3_friction_shock", "g4_mc_drawdown_days", "j4_order_states",
+    "g2_permutation_test", "g3_friction_shock", "g4_mc_drawdown", "g4_mc_drawdown_days", "j4_order_states",
     "j5_risk_gate", "j1_bars_stream_closed", "j3_order_fsm",
 )
 

@@ -9,6 +9,7 @@ import pytest
 from frames import T0, bars_df, bars_pdf, path_bars
 from pyspark.sql import functions as F
 
+from barloom import schemas
 from barloom.operators import features as ft
 from barloom.operators import joins, labels, policy, risk
 
@@ -159,14 +160,24 @@ def test_policy_grid_equals_single_orders(spark):
 
 
 def test_sizing(spark):
+    rows = [("A", 0.6), ("A", 0.2), ("B", 0.6), ("C", 0.6)]
     df = spark.createDataFrame(
-        [(10000.0, 100.0, 98.0, 104.0, 0.6), (10000.0, 100.0, 98.0, 104.0, 0.2)],
-        "equity double, entry double, sl double, tp double, p_win double",
+        [(s, 10000.0, 100.0, 98.0, 104.0, p) for s, p in rows],
+        "symbol string, equity double, entry double, sl double, tp double, p_win double",
     )
-    got = risk.size_lots(df, risk=0.01, kelly_cap=0.25, step=0.1, contract=10.0).collect()
-    assert got[0].kelly == 0.25  # full Kelly would be 0.4
-    assert got[0].lots == pytest.approx(5.0)  # 1 % of 10,000 over a stop of 2 * 10
-    assert got[1].kelly == 0 and got[1].lots == 0
+    symbols = spark.createDataFrame([("A", 10.0, 0.1, 0.01), ("B", 1.0, 0.01, 0.01)], schemas.SYMBOLS)
+    got = risk.size_lots(df, 0.01, 0.25, symbols).collect()
+    assert [r.kelly for r in got] == [0.25, 0, 0.25, 0.25]  # full Kelly would be 0.4
+    # 1 % of 10,000 over a stop of 2 * 10, and of 2 * 1; C is not in the catalogue.
+    assert [r.lots for r in got] == [5.0, 0.0, 50.0, None]
+
+
+def test_a_whole_number_of_steps_is_kept(spark):
+    df = spark.createDataFrame(
+        [("A", 30.0, 100.0, 99.0, 103.0, 0.9)], "symbol string, equity double, entry double, sl double, tp double, p_win double"
+    )
+    symbols = spark.createDataFrame([("A", 1.0, 0.1, 0.01)], schemas.SYMBOLS)
+    assert risk.size_lots(df, 0.01, 0.25, symbols).first().lots == 0.3
 
 
 def test_align_waits_for_the_close(spark):

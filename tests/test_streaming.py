@@ -14,6 +14,7 @@ from barloom import schemas
 from barloom.operators import bars as bar_ops
 from barloom.operators import features as ft
 from barloom.operators import models, risk
+from barloom.session import fresh_dir
 from barloom.sources import files
 from barloom.streaming import orders as order_streams
 from barloom.streaming import sinks
@@ -183,6 +184,15 @@ def test_models(spark):
     assert 0 <= row.lo < row.hi <= 1 and row.c >= 0.5
     model = models.fit_gbt(table, F.lit(at(60 * 200)).cast("timestamp_ntz"), rounds=3)
     assert models.apply_direction(model, table).count() == table.count()
-    x = spark.createDataFrame([([1.0, 2.0],), ([3.0, 5.0],)], "x array<double>")
-    got = models.score(x, lambda: lambda m: m.sum(axis=1), "x").collect()
-    assert [r.score for r in got] == [pytest.approx(3.0), pytest.approx(8.0)]
+    rows = models.scoring_table(bars_df(spark, bars_pdf(260)))
+    newest = rows.groupBy("symbol").agg(F.max("bar_ts")).collect()
+    assert {r[1] for r in newest} == {at(60 * 259)}  # the bar that a user wants scored
+    uri = models.save(model, fresh_dir(spark, "model"))
+    assert same(models.score(rows, uri), models.apply_direction(model, rows))
+
+
+def test_saved_weights(spark):
+    x = spark.createDataFrame([([1.0, 3.0, 2.0],), ([4.0, 4.0, 4.0],)], "x array<double>")
+    uri = models.save_weights(spark, [0.5, 1.0], fresh_dir(spark, "weights"))
+    got = [r.score for r in models.score_samples(x, uri, "x").collect()]
+    assert got == [pytest.approx(1 / (1 + np.exp(-(0.5 * -0.5 + 1.0 * 0.5)))), 0.5]
