@@ -349,7 +349,7 @@ def f3_off_grid(spark, sf):
 GRID = f"""{with_averages({**ATR14, 'fast': ('tr', 1 / 5), 'slow': ('tr', 1 / 50)})},
   g as (select * from (values (0.1e0), (0.4e0)) d(discount), (values (0.5e0), (1e0), (2e0)) s(stop),
   (values (1e0), (2e0)) t(target)),
-  o as materialized (select a.symbol, a.rn, atr, case when fast / nullif(slow, 0) > 1 then 'expanding' else 'calm' end as regime,
+  o as materialized (select a.symbol, a.rn, atr, case when fast / nullif(slow, 0) > 1 then 'expanding' when slow <> 0 then 'calm' end as regime,
   discount, stop, target, close - discount * atr as entry, close - discount * atr - stop * atr as sl,
   close - discount * atr + target * atr as tp, count(*) over (partition by symbol, discount, stop, target) as total
   from a, g),
