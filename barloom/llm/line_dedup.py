@@ -74,14 +74,15 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     found = found.withColumn("removed", F.coalesce(F.array_distinct(covered), F.array().cast("array<int>")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     rebuilt = F.array_join(F.transform(left, lambda i: F.col("lines")[i]), "\n")
-    return found.select(
-        "doc_id",
+    result = F.struct(
         F.when(F.size("removed") == 0, F.col("text")).otherwise(rebuilt).alias("text"),
-        "rest",
         F.size("filled").cast("long").alias("n_lines"),
         F.size("removed").cast("long").alias("n_removed"),
         "removed",
     )
+    # The generator keeps later filters from being pushed into the steps above, where they would
+    # compute the lines again for each line.
+    return found.select("doc_id", F.inline_outer(F.array(result)), "rest")
 
 
 def without_emptied(found: DataFrame) -> DataFrame:
