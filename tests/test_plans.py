@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from frames import bars_df, bars_pdf
 from pyspark.sql import functions as F
 
-from barloom.operators import bars, joins, labels, quality, risk, samples
+from barloom.functions import clock
+from barloom.operators import bars, joins, labels, quality, risk, samples, tiles
 from barloom.operators import features as ft
-from barloom.sources import views
+from barloom.sources import files, views
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -88,3 +91,29 @@ def test_no_cartesian_products(spark, stored):
     for name in ("e1_align", "e5_purged_folds", "f5_policy_grid", "g2_permutation_test", "g3_friction_shock"):
         text = plan(QUERIES[name](spark, FOLDER))
         assert "CartesianProduct" not in text and "NestedLoopJoin" not in text, name
+
+
+def test_a_range_reads_its_years_and_equals_the_whole(spark, tmp_path):
+    pdf = bars_pdf(24 * 500, symbols=("A",), start=dt.datetime(2023, 10, 1))
+    numbered = tiles.number_bars(bars_df(spark, pdf))
+    path = str(tmp_path / "store")
+    files.write_immutable(numbered, path, "1")
+    stored = files.read_store(spark, path, numbered.schema)
+    lo, hi = dt.datetime(2025, 1, 20), dt.datetime(2025, 2, 1)
+    wanted = (ft.atr(), ft.bb_width())
+    got = ft.features_between(stored, lo, hi, *wanted)
+    assert "(year#" in plan(got).split("PartitionFilters: [")[1] and "2024" in plan(got)
+    inside = (F.col("bar_ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("bar_ts") < F.lit(hi).cast("timestamp_ntz"))
+    whole = ft.compute(numbered, *wanted).filter(inside)
+    rows = [df.select("bar_ts", "atr", "bb_width").orderBy("bar_ts").collect() for df in (got, whole)]
+    assert len(rows[0]) == len(rows[1]) > 200
+    assert all(a.bar_ts == b.bar_ts and a.atr == pytest.approx(b.atr) and a.bb_width == pytest.approx(b.bb_width) for a, b in zip(*rows))
+
+
+def test_clocks_refuse_another_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError, match="New_York"):
+            clock.slot("ts", 60)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
