@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.clock import WIDTHS, plus_seconds
 from barloom.operators.quality import dedupe
-from barloom.operators.tiles import asof
+from barloom.operators.tiles import asof_all
 from barloom.session import store
 
 
-def align(fast: DataFrame, slow: DataFrame, fast_tf: str, slow_tf: str, cols: Sequence[str]) -> DataFrame:
-    """Attach to each fast bar the last slow bar that is closed when the fast bar closes.
+def align(
+    fast: DataFrame, slow: DataFrame, fast_tf: str, slow_tfs: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """Attach to each fast bar the last bar of each slow timeframe closed by then.
 
-    Slow columns get the slow timeframe as prefix, with its `bar_ts`.
+    `slow` may hold several timeframes; `slow_tfs` names the columns taken from each, which
+    get the timeframe as prefix, with its `bar_ts`. All of them share one as-of pass.
     """
-    fast, slow = (df.filter(F.col("tf") == tf) for df, tf in ((fast, fast_tf), (slow, slow_tf)))
-    decided = fast.withColumn("_decided", plus_seconds("bar_ts", WIDTHS[fast_tf]))
-    prefix = slow_tf.lower()
-    names = [f"{prefix}_{c}" for c in ("bar_ts", *cols)]
-    closed = slow.select(
-        "symbol",
-        plus_seconds("bar_ts", WIDTHS[slow_tf]).alias("_closed"),
-        *[F.col(c).alias(n) for c, n in zip(("bar_ts", *cols), names)],
+    decided = fast.filter(F.col("tf") == fast_tf).withColumn(
+        "_decided", plus_seconds("bar_ts", WIDTHS[fast_tf])
     )
-    grain = 16 * WIDTHS[slow_tf]
-    return asof(decided, closed, ["symbol"], "_decided", "_closed", names, grain).drop("_decided")
+    rights = []
+    for tf, cols in slow_tfs.items():
+        names = [f"{tf.lower()}_{c}" for c in ("bar_ts", *cols)]
+        closed = slow.filter(F.col("tf") == tf).select(
+            "symbol",
+            plus_seconds("bar_ts", WIDTHS[tf]).alias("_closed"),
+            *[F.col(c).alias(n) for c, n in zip(("bar_ts", *cols), names)],
+        )
+        rights.append((closed, "_closed", names))
+    grain = 16 * max(WIDTHS[tf] for tf in slow_tfs)
+    return asof_all(decided, rights, ["symbol"], "_decided", grain).drop("_decided")
 
 
 def forecast_vs_actual(forecasts: DataFrame, bars: DataFrame) -> DataFrame:

@@ -229,39 +229,65 @@ def asof(
     grain: int,
     right_order: Sequence[str] = (),
 ) -> DataFrame:
-    """Attach to each left row the last right row with right_ts <= left_ts.
+    """Attach to each left row the last right row with right_ts <= left_ts."""
+    return asof_all(left, [(right, right_ts, cols)], keys, left_ts, grain, right_order)
 
-    Both sides are merged into one time line and the last right row is carried
-    forward, chunk by chunk of `grain` seconds, so no key is one task.
+
+def asof_all(
+    left: DataFrame,
+    rights: Sequence[tuple[DataFrame, str, Sequence[str]]],
+    keys: Sequence[str],
+    left_ts: str,
+    grain: int,
+    right_order: Sequence[str] = (),
+) -> DataFrame:
+    """Attach to each left row the last row of each right table, (table, time, columns).
+
+    All sides are merged into one time line and the last rows of each table are carried
+    forward, chunk by chunk of `grain` seconds, so no key is one task and further tables
+    cost no further pass. `right_order` settles equal times within a table.
     """
     keys = list(keys)
-    payload = F.struct(*cols)
     marks = [f"_o{i}" for i in range(len(right_order))]
+    kinds = {
+        f"_right{i}": df.select(F.struct(*cols).alias("p")).schema["p"].dataType
+        for i, (df, _, cols) in enumerate(rights)
+    }
+    order_kinds = [rights[0][0].schema[c].dataType for c in right_order]
+
+    def empty(names: Sequence[str]) -> list[Column]:
+        return [F.lit(None).cast(kinds[n]).alias(n) for n in names]
+
     l_side = left.select(
         *keys,
         F.col(left_ts).alias("_at"),
         F.lit(1).alias("_side"),
-        *[F.lit(None).cast(right.schema[c].dataType).alias(m) for c, m in zip(right_order, marks)],
+        *[F.lit(None).cast(t).alias(m) for t, m in zip(order_kinds, marks)],
         F.struct(*left.columns).alias("_left"),
-        F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_right"),
+        *empty(list(kinds)),
     )
-    r_side = right.select(
-        *keys,
-        F.col(right_ts).alias("_at"),
-        F.lit(0).alias("_side"),
-        *[F.col(c).alias(m) for c, m in zip(right_order, marks)],
-        F.lit(None).cast(l_side.schema["_left"].dataType).alias("_left"),
-        payload.alias("_right"),
-    )
-    line = l_side.unionByName(r_side)
+    line, r_sides = l_side, []
+    for i, (df, ts, cols) in enumerate(rights):
+        own = f"_right{i}"
+        r_side = df.select(
+            *keys,
+            F.col(ts).alias("_at"),
+            F.lit(0).alias("_side"),
+            *[F.col(c).alias(m) for c, m in zip(right_order, marks)],
+            F.lit(None).cast(l_side.schema["_left"].dataType).alias("_left"),
+            F.struct(*cols).alias(own),
+            *empty([n for n in kinds if n != own]),
+        )
+        line = line.unionByName(r_side)
+        r_sides.append(r_side.drop("_left"))
     # The totals need the right rows, and of the left only which chunks it has.
     start = F.timestamp_seconds(slot("_at", grain) * grain).cast("timestamp_ntz")
-    left_chunks = l_side.select(*keys, start.alias("_at"), "_side", *marks, "_right").distinct()
-    base = left_chunks.unionByName(r_side.drop("_left"))
-    match = Scan("_match", "last", col("_right"))
-    scanned = running(
-        line, keys, ["_at", "_side", *marks], slot("_at", grain), [match], base=base
-    )
-    return scanned.filter(F.col("_side") == 1).select(
-        "_left.*", *[F.col(f"_match.{c}").alias(c) for c in cols]
-    )
+    base = l_side.select(*keys, start.alias("_at"), "_side", *marks, *kinds).distinct()
+    for r_side in r_sides:
+        base = base.unionByName(r_side)
+    scans = [Scan(n.replace("right", "match"), "last", col(n)) for n in kinds]
+    scanned = running(line, keys, ["_at", "_side", *marks], slot("_at", grain), scans, base=base)
+    matches = [
+        F.col(f"_match{i}.{c}").alias(c) for i, (_, _, cols) in enumerate(rights) for c in cols
+    ]
+    return scanned.filter(F.col("_side") == 1).select("_left.*", *matches)

@@ -338,8 +338,8 @@ def e1(spark, sf):
     hour = views.bars(spark, sf, "H1")
     four = bar_ops.resample(hour, "H4", "H1")
     slow = hour.drop("bar_no").unionByName(four)  # one table, two timeframes
-    one = joins.align(fast.select(*KEY, "tf", "close"), slow, "M5", "H1", ["close", "volume"])
-    both = joins.align(one, slow, "M5", "H4", ["close"])
+    wanted = {"H1": ["close", "volume"], "H4": ["close"]}
+    both = joins.align(fast.select(*KEY, "tf", "close"), slow, "M5", wanted)
     return both.drop("tf").withColumn("h1_volume", F.col("h1_volume").cast("double"))
 
 

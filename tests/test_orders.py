@@ -184,7 +184,7 @@ def test_align_waits_for_the_close(spark):
     fast = bars_df(spark, bars_pdf(60, symbols=("A",), tf="M5", hours=1 / 12))
     slow = bars_df(spark, bars_pdf(5, symbols=("A",)))
     slow = slow.filter(F.col("bar_ts") != F.lit(hour(2)).cast("timestamp_ntz"))  # one bar is missing
-    got = joins.align(fast, slow, "M5", "H1", ["close"]).orderBy("bar_ts").collect()
+    got = joins.align(fast, slow, "M5", {"H1": ["close"]}).orderBy("bar_ts").collect()
     used = [r.h1_bar_ts for r in got]
     assert used[:11] == [None] * 11  # the first hour has not closed
     assert used[11] == hour(0)  # closes at the same moment as the fast bar
