@@ -6,6 +6,7 @@ import pytest
 from frames import T0, at, bars_df, bars_pdf
 from pyspark.sql import functions as F
 
+from barloom import session
 from barloom.functions.clock import slot
 from barloom.operators import tiles
 
@@ -82,3 +83,10 @@ def test_asof_order_breaks_ties(spark):
     right = spark.createDataFrame([("a", T0, 5, 1.0), ("a", T0, 6, 2.0)], "s string, u timestamp_ntz, n long, p double")
     got = tiles.asof(left, right, ["s"], "t", "u", ["p"], 60, right_order=["n"]).collect()
     assert [r.p for r in got] == [2.0]
+
+
+def test_stored_tables_lie_in_the_applications_folder(spark):
+    df = session.store(spark.range(3).toDF("x"), "numbers")
+    assert df.count() == 3
+    folder = session.own_dir(spark)
+    assert spark.sparkContext.applicationId in folder and f"{folder}/numbers-" in df.inputFiles()[0]
