@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.clock import WIDTHS, col, market_open, plus_seconds
+from barloom.functions.clock import WIDTHS, market_open, plus_seconds
 from barloom.functions.sqlmath import sorted_quantile
 from barloom.operators.tiles import NO, SERIES, Scan, number_bars, number_ticks, running, tiled
 
