@@ -140,10 +140,10 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def grouped(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of (doc_id, fp) rows."""
+def grouped(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(fp, component_id) for each distinct fingerprint of (doc_id, fp) rows; edges: not those of `links`."""
     first = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(pivot_table(first)))
+    roots = components(links(pivot_table(first)) if edges is None else edges)
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = first.join(nodes, F.col("fp") == F.col("node")).select("fp", "root", "first")
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
@@ -175,10 +175,15 @@ def simhash_keep(docs: DataFrame) -> DataFrame:
     rows = packed(docs)
     prints = store(fingerprints(rows, ("doc_id", "sig")), "simhash-prints")
     found = store(grouped(prints), "simhash-groups")
+    return keep_smallest(rows, prints, found, docs.columns)
+
+
+def keep_smallest(rows: DataFrame, prints: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """The packed rows of the smallest doc_id of each group, from (doc_id, sig, fp) and (fp, component_id)."""
     firsts = prints.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = firsts.groupBy("component_id").agg(F.min("sig").alias("s")).select(F.col("component_id").alias("d"), "s")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sig") == F.col("s"))
     rows = rows.join(kept, same, "left_semi")
     if not prints.groupBy("doc_id", "sig").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["doc_id", "sig"])
-    return unpacked(rows, docs.columns)
+    return unpacked(rows, columns)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, line_dedup, packing, quality, simhash, tokens
+from barloom.llm import decontaminate, line_dedup, near_copies, packing, quality, tokens
 from barloom.llm.common import read, ready, unpacked
 from barloom.llm.queries import tokenizer_file
 from barloom.session import store
@@ -30,9 +30,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays.
+
+    Near-duplicates agree in 0.8 or more of their five-word shingles. Their 64-bit SimHashes differ
+    in up to 17 bits, too many to look them up by, so MinHash bands propose the pairs.
+    """
     ready(spark)
-    return simhash.simhash_keep(docs)
+    return near_copies.near_keep(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
