@@ -19,6 +19,8 @@ CAPACITY, END = 4096, 1
 ROUNDS, CHOICES = 1500, 192
 #: How strongly a length loses weight as it is covered, and the share of it that a round uses.
 EAGER, STEP = 0.25, 0.7
+#: Up to so many lengths, a plan above the bound is also sought by the simplex method.
+FEW = 400
 #: Pieces of a length are numbered in so many parts.
 PARTS = 256
 
@@ -74,15 +76,31 @@ def best_configuration(lengths: np.ndarray, values: np.ndarray, capacity: int) -
     return chosen
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> dict[tuple, float]:
+def best_copies(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """Knapsack with up to `most` copies of a length, split into powers of two: copies of each length."""
+    kinds, times = [], []
+    for i, left in enumerate(np.minimum(most, capacity // lengths).astype(int).tolist()):
+        power = 1
+        while left > 0:
+            kinds.append(i)
+            times.append(min(power, left))
+            left, power = left - power, power * 2
+    kinds, times = np.array(kinds, int), np.array(times, int)
+    chosen = best_configuration(lengths[kinds] * times, values[kinds] * times, capacity)
+    return np.bincount(kinds[chosen], times[chosen], len(lengths)).astype(int)
+
+
+def configurations(
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, full: bool = True
+) -> dict[tuple, float]:
     """Fractional solution of the configuration program: how often each configuration is used.
 
     A configuration is a sorted tuple of lengths that fit together. Multiplicative weights: a
     length starts with a weight in proportion to itself, the price of its volume, and loses
     weight exponentially in the share of its pieces that are covered. The rounds take turns with
-    CHOICES lengths of all sizes; each finds the heaviest configuration of them, in copies where
-    a length is short and frequent, and uses it for a part of what its scarcest length has
-    left. A configuration with room left is not worth its price; best fit sees to those pieces.
+    CHOICES lengths of all sizes; each finds the heaviest configuration of them, in as many copies
+    as fit, and uses it for a part of what its scarcest length has left. With `full`, one with room
+    left is not worth its price and best fit sees to those pieces; else the round's heaviest counts.
     """
     left, used = counts.astype(float), {}
     for turn in range(rounds):
@@ -91,20 +109,45 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, round
             break
         stride = -(-len(waiting) // CHOICES)
         some = waiting[turn % stride :: stride]
-        pool = np.repeat(some, np.clip(np.minimum(left[some], capacity // lengths[some]), 1, 3).astype(int))
-        value = lengths[pool] * np.exp(-EAGER * (1 - left[pool] / counts[pool]))
-        chosen = pool[best_configuration(lengths[pool], value, capacity)]
-        if int(lengths[chosen].sum()) < capacity:  # worth less than the sequence costs
+        value = lengths[some] * np.exp(-EAGER * (1 - left[some] / counts[some]))
+        taken = best_copies(lengths[some], value, left[some], capacity)
+        kinds, copies = some[taken > 0], taken[taken > 0]
+        if full and int(lengths[kinds] @ copies) < capacity:  # worth less than the sequence costs
             continue
-        kinds, copies = np.unique(chosen, return_counts=True)
         times = max(1.0, STEP * float((left[kinds] / copies).min()))
         times = min(times, float((left[kinds] / copies).min()))
         left[kinds] -= times * copies
-        key = tuple(sorted(lengths[chosen].tolist(), reverse=True))
+        key = tuple(sorted(np.repeat(lengths[kinds], copies).tolist(), reverse=True))
         used[key] = used.get(key, 0.0) + times
     return used
 
 
+def simplex(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> dict[tuple, float]:
+    """The configuration program by column generation, for few lengths.
+
+    Starts with configurations of one length each. A round prices the lengths by the program's
+    dual values; the knapsack's best configuration enters if it is worth more than the one sequence
+    it costs, with or without room left. None does: the solution is the program's least.
+    """
+    most = np.minimum(capacity // lengths, counts)
+    basis, inverse, uses = np.diag(most).astype(float), np.diag(1.0 / most), counts / most
+    for turn in range(rounds):
+        prices = inverse.sum(0)
+        entering = best_copies(lengths, np.maximum(prices, 0), np.where(prices > 1e-12, most, 0), capacity)
+        if float(prices @ entering) <= 1 + 1e-9:
+            break
+        change = inverse @ entering
+        ratio = np.where(change > 1e-9, uses / np.where(change > 1e-9, change, 1), np.inf)
+        out = int(ratio.argmin())
+        if not np.isfinite(ratio[out]):
+            break
+        basis[:, out] = entering
+        inverse = np.linalg.inv(basis)
+        uses = np.maximum(inverse @ counts, 0)
+    keys = [tuple(np.repeat(lengths, c).tolist()) for c in basis.T.round().astype(int)]
+    return {k: float(n) + 1e-6 for k, n in zip(keys, uses, strict=True)}  # whole numbers stay whole
+
+
 def best_fit(counts: dict[int, int], bins: list[tuple[tuple, int]], capacity: int) -> list[tuple[tuple, int]]:
     """Place the pieces left into bins with room, longest first, each where it fits best.
 
@@ -153,18 +196,33 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rounds: in
     """Configurations for all pieces of a length histogram: linear program, rounding, best fit.
 
     The histogram has at most `capacity` lengths. Uses are rounded down; what is left over, and
-    the room left in configurations, goes through best fit. The number of configurations is
+    the room left in configurations, goes through best fit. Where that takes more than the bound
+    (ids / capacity), configurations with room left are tried as well, and for few lengths the
+    simplex method; the plan with the fewest sequences counts. The number of configurations is
     bounded by the rounds and the lengths, not by the pieces.
     """
     lengths = np.array(sorted((n for n in histogram if n < capacity), reverse=True), int)
     counts = np.array([histogram[n] for n in lengths.tolist()], int)
-    rest, bins = dict(zip(lengths.tolist(), counts.tolist(), strict=True)), []
-    for held, times in configurations(lengths, counts, capacity, rounds).items():
-        if int(times):
-            bins.append((held, int(times)))
-            for n in held:
-                rest[n] -= int(times)
-    bins = best_fit({n: c for n, c in rest.items() if c}, bins, capacity)
+
+    def rounded(uses: dict[tuple, float]) -> list[tuple[tuple, int]]:
+        rest, bins = dict(zip(lengths.tolist(), counts.tolist(), strict=True)), []
+        for held, times in uses.items():
+            times = min(int(times), *(rest[n] // held.count(n) for n in set(held)))
+            if times:
+                bins.append((held, times))
+                for n in held:
+                    rest[n] -= times
+        return best_fit({n: c for n, c in rest.items() if c}, bins, capacity)
+
+    def size(bins: list[tuple[tuple, int]]) -> int:
+        return sum(many for _, many in bins)
+
+    bins = rounded(configurations(lengths, counts, capacity, rounds))
+    bound = -(-int(lengths @ counts) // capacity)
+    if size(bins) > bound:
+        bins = min(bins, rounded(configurations(lengths, counts, capacity, rounds, full=False)), key=size)
+    if size(bins) > bound and len(lengths) <= FEW:
+        bins = min(bins, rounded(simplex(lengths, counts, capacity, rounds)), key=size)
     if histogram.get(capacity):
         bins.append(((capacity,), histogram[capacity]))
 

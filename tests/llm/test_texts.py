@@ -281,6 +281,19 @@ def test_plans_of_few_and_large_pieces():
     assert packing.plan_packing({34: 3_000_000, 33: 6_000_000}, 100).sequences == 3_000_000
 
 
+@pytest.mark.parametrize(
+    "histogram, least",
+    [
+        ({2058: 600, 1044: 600, 1034: 600, 1003: 1200}, 900),
+        ({2000: 600, 1300: 600, 700: 600}, 600),
+        ({2731: 100, 273: 500}, 100),  # five copies of a length beside another
+        ({409: 1000}, 100),
+    ],
+)
+def test_plans_of_few_lengths_without_an_exact_fill(histogram, least):
+    assert packing.plan_packing(histogram).sequences == least
+
+
 # Languages
 
 
