@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import (
-    chat, decontaminate, exact_dedup, id_files, lang_id, line_dedup, packing, quality, secrets, simhash, tokens,
+    byte_pairs, chat, decontaminate, exact_dedup, filter_audit, hard_negatives, id_files, lang_id, line_dedup, packing,
+    quality, secrets, simhash, tokens,
 )
 from barloom.llm.common import read, ready
 from barloom.session import fresh_dir, store
@@ -158,3 +159,70 @@ def op8_language_id(spark, sf_dir):
     model = lang_id.fit_text_model(read(spark, sf_dir, "documents"))
     found = lang_id.identify(read(spark, sf_dir, "pages"), model)
     return found.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    "op11_hard_negatives",
+    """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+      where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+      from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+    p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+    select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as int) as rank,
+      vec_id as negative_id, positive_score, score as negative_score
+    from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+    qualify rank <= 3""",
+)
+def op11_hard_negatives(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.scaled(vectors.withColumn("label", label))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+@query(
+    "op12_filter_audit",
+    r"""with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+    w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+        min(doc_id) over (partition by t) as first from d),
+    l as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+    m as (select part, cast(len(w) < 100 as int) + 2 * cast(100 * len(list_distinct(w)) < 80 * len(w) as int)
+        + 4 * cast(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) as int)
+        + 8 * cast(regexp_matches(t, '[#$%&*|]') as int) + 16 * cast(coalesce(doc_id > first, false) as int) as m,
+        coalesce(good, false) as good, coalesce(toxic, false) as toxic from w left join l using (doc_id)),
+    c as (select part, m, count(*) as n, count(*) filter (good) as g, count(*) filter (toxic) as x from m group by part, m),
+    f as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+    o as (select a.f || b.f || c.f || d.f || e.f as filter_order from f a, f b, f c, f d, f e
+      where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    s as (select filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) as b,
+        list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))) as before
+      from o, (select unnest([1, 2, 3, 4, 5]) as step)),
+    r as (select part, filter_order, step, b, sum(n) filter (m & (b | coalesce(before, 0)) = 0) as kept,
+        sum(n) filter (m & b > 0 and m & coalesce(before, 0) = 0) as removed,
+        sum(n) filter (m & b > 0 and m & coalesce(before, 0) > 0) as redundant, sum(n) filter (m = b) as unique_fails,
+        sum(g) filter (m & b > 0 and m & coalesce(before, 0) = 0) as good_lost,
+        sum(x) filter (m & b > 0 and m & coalesce(before, 0) = 0) as toxic_lost
+      from c, s group by part, filter_order, step, b)
+    select part, filter_order, cast(step as int) as step, cast(coalesce(kept, 0) as bigint) as kept,
+      cast(coalesce(removed, 0) as bigint) as removed, cast(coalesce(redundant, 0) as bigint) as redundant,
+      cast(coalesce(unique_fails, 0) as bigint) as unique_fails, cast(coalesce(good_lost, 0) as bigint) as good_lost,
+      cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost,
+      cast(coalesce(sum(removed) over (partition by part, b), 0) as bigint) as shapley from r""",
+)
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+#: The ranks and the pattern of the byte-level contract.
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+@query("op13_byte_pairs")
+def op13_byte_pairs(spark, sf_dir):
+    import public_tokenizers
+
+    spec, pattern = byte_pairs.read_ranks(tokenizer_file(RANKS)), public_tokenizers.PATTERN
+    encoded = byte_pairs.encode(read(spark, sf_dir, "documents"), spec, pattern)
+    return byte_pairs.digest(byte_pairs.decode(encoded, spec, pattern))

@@ -144,3 +144,28 @@ def components(prints):
             r = find(p)
             low[r] = min(low.get(r, i), i)
     return [(i, p, low.get(find(p))) for i, p in prints]
+
+
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(" ".join(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))) if w else frozenset()
+
+
+def near_kept(pairs):
+    """Smallest ids over links of a Jaccard similarity of 0.8 or more; texts without words are alike, null ids last."""
+    sets, root = [shingles(t) for _, t in pairs], list(range(len(pairs)))
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a in range(len(pairs)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    low = {}
+    for k, (i, _) in enumerate(pairs):
+        r = find(k)
+        low[r] = i if low.get(r) is None else low[r] if i is None else min(low[r], i)
+    return Counter(low.values())

@@ -13,30 +13,6 @@ from barloom.llm import near_copies
 from barloom.llm.common import ready
 
 
-def shingles(text):
-    w = (text or "").translate(cases.LOWER).split(" ") if text else []
-    return frozenset(" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
-
-
-def kept(pairs):
-    """Smallest ids over links of a Jaccard similarity of 0.8 or more."""
-    sets, root = [shingles(t) for _, t in pairs], list(range(len(pairs)))
-
-    def find(p):
-        while root[p] != p:
-            p = root[p]
-        return p
-
-    for a in range(len(pairs)):
-        for b in range(a):
-            if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
-                root[find(a)] = find(b)
-    low = {}
-    for k, (i, _) in enumerate(pairs):
-        low[find(k)] = min(low.get(find(k), i), i)
-    return Counter(low.values())
-
-
 def near_pairs():
     """Copies with 1 to 16 of 300 words changed, chains of them, and texts of a few words."""
     rng, out = random.Random(11), []
@@ -57,4 +33,4 @@ def test_stage_reaches_near_copies(spark, monkeypatch, pair_cell):
     docs = cases.frame(ready(spark), pairs)
     left = corpus_pipeline.simhash_stage(spark, docs, "")
     assert left.columns == docs.columns
-    assert Counter(r.doc_id for r in left.collect()) == kept(pairs)
+    assert Counter(r.doc_id for r in left.collect()) == cases.near_kept(pairs)
