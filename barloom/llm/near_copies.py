@@ -1,20 +1,39 @@
-"""Near copies by word shingles: MinHash bands propose pairs, exact Jaccard verifies them, components."""
+"""Near copies by SimHash over word shingles, with exact Jaccard on the survivors.
+
+MinHash bands propose, since pairs of Jaccard 0.8 lie too many bits apart to be looked up by their
+fingerprints. Inside the join that proposes, a pair is discarded by the largest difference of its
+distances to the pivots, by its Hamming distance, and by what its sets can have in common at most.
+Only texts of surviving pairs are spelled out as sets, and every link is verified on them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import packed, whole_text
-from barloom.llm.simhash import PAIR_CELL, SEED, components, grouped, keep_smallest
+from barloom.llm.common import packed, unpacked, whole_text
+from barloom.llm.simhash import PAIR_CELL, PIVOTS, SEED, components, pivot_distances
 from barloom.session import store
 
 SHINGLE, LEAST = 5, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8.
 BANDS, ROWS = 20, 5
+#: Fingerprints of a pair of similarity 0.8 differ in 9.7 bits on average, with a deviation of 2.9.
+RADIUS = 20
 #: Members of a large cell that are compared with all of it: one at first, then so many times more each round.
-GROWTH = 8
+GROWTH = 16
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
+
+
+def text_id(words: list[bytes]) -> bytes:
+    """128 bits that stand for the words; equal ones count as equal texts."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(b" ".join(words), SEED)
 
 
 def shingle_hashes(words: list[bytes], shingle: int = SHINGLE):
@@ -27,134 +46,186 @@ def shingle_hashes(words: list[bytes], shingle: int = SHINGLE):
     return np.sort(np.fromiter(found, np.uint64))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
+def bits_of(hashes) -> int:
+    """The SimHash of distinct shingles: bits set in over half of them. Signed."""
+    import numpy as np
+
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):
+        counts += np.unpackbits(hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
 
 
 def signatures(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, sig, fp (hash of the words), n (distinct shingles) and a MinHash value per band; none without words."""
+    """doc_id, sig, id (of the words), n (distinct shingles), fp (SimHash) and a MinHash value per band; none without words."""
 
     def stamp(batches):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
         rng = np.random.default_rng(SEED)
         odd = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         plus = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
         mix = rng.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            prints, sizes, bands = [], [], []
+            ids, sizes, prints, bands = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 hashes = shingle_hashes(words, shingle)
                 least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
                 for at in range(0, len(hashes), 4096):
                     np.minimum(least, (hashes[at : at + 4096, None] * odd + plus).min(0), out=least)
-                prints.append(xxh64_intdigest(b" ".join(words), SEED))
+                ids.append(text_id(words))
                 sizes.append(len(hashes))
+                prints.append(bits_of(hashes))
                 bands.append((least.reshape(BANDS, ROWS) * mix).sum(1, dtype=np.uint64).view(np.int64).tolist() if words else [])
-            signed = np.array(prints, np.uint64).view(np.int64)
-            columns = [pa.array(signed), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
-            keys = [batch.column("doc_id"), batch.column("sig")]
-            yield pa.RecordBatch.from_arrays([*keys, *columns], ["doc_id", "sig", "fp", "n", "bands"])
+            columns = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), *columns], names)
 
     texts = rows.select("doc_id", "sig", whole_text().alias("text"))
-    more = [T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    return texts.mapInArrow(stamp, T.StructType([texts.schema["doc_id"], texts.schema["sig"], *more]))
+    more = {"id": T.BinaryType(), "n": T.IntegerType(), "fp": T.LongType(), "bands": T.ArrayType(T.LongType())}
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["sig"], *[T.StructField(k, t) for k, t in more.items()]])
+    names = schema.names
+    return texts.mapInArrow(stamp, schema)
 
 
-def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """fp and its shingles' hashes, of the wanted (d, s, fp)."""
+def shingle_sets(rows: DataFrame, wanted: DataFrame, known: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """node and the hashes of its shingles, of the wanted nodes.
+
+    Texts are picked by their narrow hash alone, so that the list of them is small and, below Spark's
+    threshold, no text is shuffled; one that shares the hash by chance falls out when ids are compared.
+    """
 
     def spell(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingle_hashes(words_of(t), shingle).view("int64") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "hashes"])
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            sets = [shingle_hashes(w, shingle).view("int64") for w in words]
+            ids = pa.array([text_id(w) for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"])
+
+    named = store(known.join(wanted, "node", "left_semi").select("node", "id", "sig"), "near-wanted")
+    texts = rows.select("sig", whole_text().alias("text")).join(named.select("sig").distinct(), "sig", "left_semi")
+    spelled = texts.select("text").mapInArrow(spell, "id binary, hashes array<long>")
+    return spelled.join(named.select("node", "id"), "id").select("node", "hashes").dropDuplicates(["node"])
 
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sig") == F.col("s"))
-    texts = rows.select("doc_id", "sig", whole_text().alias("text")).join(wanted, same).select("fp", "text")
-    return texts.mapInArrow(spell, "fp long, hashes array<long>").dropDuplicates(["fp"])
 
+def can_be_alike(a: str, b: str, least: float) -> Column:
+    """Pairs (rows of members) that no pivot, no bit count and no size tells apart.
 
-def like_sizes(a: str, b: str, least: float):
-    """Sets of such sizes can be as alike as `least`."""
-    return F.least(a, b) / F.greatest(a, b) >= least
+    `shared` shingles of a row occur in other texts; two sets have no more in common than either has of those.
+    """
+    apart = [F.abs(F.col(f"{a}.pivots")[i] - F.col(f"{b}.pivots")[i]) for i in range(PIVOTS)]
+    near = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS
+    both = F.least(f"{a}.shared", f"{b}.shared")
+    sizes = both >= least * (F.col(f"{a}.n") + F.col(f"{b}.n") - both)
+    return sizes & (F.greatest(*apart) <= RADIUS) & near
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose Jaccard similarity is `least` or more."""
-    a = sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a"))
-    b = sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b"))
+    a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").where(both / (F.size("a") + F.size("b") - both) >= least).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").where(both >= least * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
 def pairs_of(members: DataFrame, least: float) -> DataFrame:
     a, b = members.alias("a"), members.alias("b")
     together = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part"))
-    met = a.join(b, together & (F.col("a.fp") > F.col("b.fp")) & like_sizes("a.n", "b.n", least))
-    return met.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    met = a.join(b, together & (F.col("a.node") > F.col("b.node")) & can_be_alike("a", "b", least))
+    return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+
+def shared_counts(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and how many of its shingles some other member of a large cell has as well."""
+    held = sets.join(large.select("node").distinct(), "node", "left_semi").select("node", F.explode("hashes").alias("h"))
+    common = store(held.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h"), "near-common")
+    return held.join(common, "h").groupBy("node").agg(F.count("*").cast("int").alias("common"))
 
 
 def link_large(large: DataFrame, edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Edges that connect what the pairs of large cells connect, without making all pairs.
 
-    Pairs within a component add nothing. Of two components of a cell one is not its largest,
-    so it is enough to compare each member outside the largest component with the whole cell.
-    Each round does so for some of them and links the components anew, until none is left.
+    Pairs within a component add nothing. Of two components of a cell one is not its largest, so it is
+    enough to compare each member outside the largest component with the whole cell. Members with too few
+    shingles in common with anybody are left out, those of most large cells are compared first (they lie in
+    the middle of their copies, so one of them links most of the cell), and each round links the
+    components anew, until none is left.
     """
+    weight = large.groupBy("node").agg(F.count("*").alias("weight"))
+    counts = store(shared_counts(large, sets).join(weight, "node"), "near-counts")
+    large = large.drop("shared").join(counts.withColumnRenamed("common", "shared"), "node")
+    large = store(large.where(F.col("shared") >= least * F.col("n")), "near-large")
+    columns = ["band", "part", "node", "n", "shared", "fp", "pivots", "weight"]
     led, many = None, 1
     while True:
         roots = components(edges)
         roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-        placed = large.join(store(roots, "near-roots"), F.col("fp") == F.col("node"), "left")
-        placed = store(placed.select("band", "part", "fp", "n", F.coalesce("root", "fp").alias("root")), "near-placed")
+        placed = large.join(store(roots, "near-roots"), "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
+        placed = store(placed, "near-placed")
         parts = placed.groupBy("band", "part", "root").agg(F.count("*").alias("held"))
         most = parts.groupBy("band", "part").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count("*").alias("kinds"))
-        others = placed.join(store(most.where("kinds > 1"), "near-most"), ["band", "part"]).where("root != main")
+        others = placed.join(store(most.where("kinds > 1"), "near-most"), ["band", "part"]).where("root != main" if led is not None else "true")
         if led is not None:
-            others = others.join(led, ["band", "part", "fp"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("band", "part").orderBy("fp"))
-        leaders = others.withColumn("rank", rank).where(F.col("rank") <= many)
-        leaders = store(leaders.select("band", "part", F.col("fp").alias("l"), F.col("n").alias("m"), F.col("root").alias("r")), "near-leaders")
+            others = others.join(led, ["band", "part", "node"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("band", "part").orderBy(F.desc("weight"), "node"))
+        leaders = store(others.withColumn("rank", rank).where(F.col("rank") <= many).select(*columns, "root"), "near-leaders")
         if leaders.isEmpty():
             return edges
-        met = placed.join(leaders, ["band", "part"]).where((F.col("root") != F.col("r")) & like_sizes("n", "m", least))
-        met = met.select(F.greatest("fp", "l").alias("u"), F.least("fp", "l").alias("v")).distinct()
+        a, b = placed.alias("a"), leaders.alias("b")
+        together = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") != F.col("b.root"))
+        met = a.join(b, together & can_be_alike("a", "b", least))
+        met = met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
         edges = store(edges.unionByName(verified(store(met, "near-pairs"), sets, least)), "near-edges")
-        now = leaders.select("band", "part", F.col("l").alias("fp"))
+        now = leaders.select("band", "part", "node")
         led, many = now if led is None else led.unionByName(now), many * GROWTH
 
 
-def links(rows: DataFrame, prints: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Edges (u, v), u > v, between different texts that share a band and are alike by `least` or more."""
-    known = prints.where("n > 0").groupBy("fp").agg(
-        F.min(F.struct("doc_id", "sig")).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")
-    )
-    known = store(known, "near-distinct")
-    spread = known.select("fp", "n", F.posexplode("bands").alias("band", "part"))
+def links(rows: DataFrame, known: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """Edges (u, v), u > v, between nodes of different texts that share a band and are alike by `least` or more.
+
+    known: node, id, sig (of one of its texts), n, fp, bands.
+    """
+    spread = known.select("node", "n", "fp", F.posexplode("bands").alias("band", "part"))
     sizes = store(spread.groupBy("band", "part").agg(F.count("*").alias("size")).where("size > 1"), "near-cells")
-    members = store(spread.join(sizes, ["band", "part"]), "near-members")
-    wanted = known.join(members.select("fp").distinct(), "fp", "left_semi")
-    wanted = store(wanted.select(F.col("first.doc_id").alias("d"), F.col("first.sig").alias("s"), "fp"), "near-wanted")
-    sets = store(shingle_sets(rows, wanted, shingle), "near-sets")
+    members = spread.join(sizes, ["band", "part"]).withColumn("shared", F.col("n")).withColumn("pivots", pivot_distances("fp"))
+    members = store(members, "near-members")
     small = store(pairs_of(members.where(F.col("size") <= PAIR_CELL), least), "near-pairs")
-    edges = store(verified(small, sets, least), "near-edges")
     large = members.where(F.col("size") > PAIR_CELL)
+    wanted = small.select(F.explode(F.array("u", "v")).alias("node")).unionByName(large.select("node")).distinct()
+    sets = store(shingle_sets(rows, wanted, known, shingle), "near-sets")
+    edges = store(verified(small, sets, least), "near-edges")
     return edges if large.isEmpty() else link_large(large, edges, sets, least)
 
 
 def near_keep(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """The documents without near copies: the smallest doc_id of each component, all columns.
 
-    Linked are texts of the same words, and texts whose sets of `shingle`-word shingles have a
-    Jaccard similarity of `least` or more. MinHash bands propose the pairs; every link is verified
-    on the sets, and no cell is capped. Rows and ids are kept as by `simhash.simhash_keep`.
+    Linked are texts of the same words, and texts whose sets of `shingle`-word shingles have a Jaccard
+    similarity of `least` or more. Bands propose the pairs and every link is verified; no cell is capped.
+    Null text counts as empty; texts without words are one group. Where the smallest id of a group occurs on
+    several of its rows, the row with the smallest text hash stays, once. A null id stays only where its
+    component has no other id. No documents: none.
     """
     rows = packed(docs)
     prints = store(signatures(rows, shingle), "near-prints")
-    found = store(grouped(prints.select("doc_id", "fp"), links(rows, prints, shingle, least)), "near-groups")
-    return keep_smallest(rows, prints.select("doc_id", "sig", "fp"), found, docs.columns)
+    known = prints.groupBy("id").agg(
+        F.count("*").alias("held"), F.min("sig").alias("sig"), *[F.any_value(c).alias(c) for c in ("n", "fp", "bands")]
+    )
+    known = store(known.withColumn("node", F.monotonically_increasing_id()), "near-distinct")
+    roots = components(links(rows, known.where("n > 0"), shingle, least))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    groups = known.select("node", "id", "held").join(store(roots, "near-roots"), "node", "left")
+    groups = groups.where("held > 1 or root is not null").select("id", F.coalesce("root", "node").alias("root"))
+    # Documents without a copy stay unseen: only those that go are named to the texts.
+    copies = store(prints.select("doc_id", "sig", "id").join(store(groups, "near-groups"), "id").drop("id"), "near-copies")
+    first = copies.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("first"))
+    first = store(first.select("root", F.col("first.doc_id").alias("d"), F.col("first.sig").alias("s")), "near-first")
+    stays = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sig") == F.col("s"))
+    gone = store(copies.join(first, "root").where(~stays).select(F.col("doc_id").alias("d"), F.col("sig").alias("s")).distinct(), "near-gone")
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sig") == F.col("s")), "left_anti")
+    if not copies.groupBy("doc_id", "sig").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "sig"])
+    return unpacked(rows, docs.columns)

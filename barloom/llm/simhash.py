@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import hex_of, lean, packed, unpacked, whole_text
+from barloom.llm.common import hex_of, lean, whole_text
 from barloom.session import store
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -54,9 +54,12 @@ def fingerprints(docs: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFra
 
 def pivot_table(prints: DataFrame) -> DataFrame:
     """Each fingerprint with its Hamming distances to the reference fingerprints."""
+    return prints.select("fp", pivot_distances("fp").alias("pivots"))
+
+
+def pivot_distances(fp: str) -> Column:
     pivots = [F.xxhash64(F.lit(i)) for i in range(PIVOTS)]
-    distances = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(p)).cast("byte") for p in pivots])
-    return prints.select("fp", distances.alias("pivots"))
+    return F.array(*[F.bit_count(F.col(fp).bitwiseXOR(p)).cast("byte") for p in pivots])
 
 
 def masks() -> list[int]:
@@ -140,10 +143,10 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def grouped(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of (doc_id, fp) rows; edges: not those of `links`."""
+def grouped(prints: DataFrame) -> DataFrame:
+    """(fp, component_id) for each distinct fingerprint of (doc_id, fp) rows."""
     first = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(pivot_table(first)) if edges is None else edges)
+    roots = components(links(pivot_table(first)))
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = first.join(nodes, F.col("fp") == F.col("node")).select("fp", "root", "first")
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
@@ -164,26 +167,3 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     prints = store(fingerprints(docs), "simhash-prints")
     found = store(grouped(prints), "simhash-groups")
     return prints.join(found, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def simhash_keep(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: the smallest doc_id of each component, all columns.
-
-    Where that id occurs on several rows of the component, the row with the smallest text hash
-    stays, once. Null ids come first only where a component has no other id.
-    """
-    rows = packed(docs)
-    prints = store(fingerprints(rows, ("doc_id", "sig")), "simhash-prints")
-    found = store(grouped(prints), "simhash-groups")
-    return keep_smallest(rows, prints, found, docs.columns)
-
-
-def keep_smallest(rows: DataFrame, prints: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    """The packed rows of the smallest doc_id of each group, from (doc_id, sig, fp) and (fp, component_id)."""
-    firsts = prints.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = firsts.groupBy("component_id").agg(F.min("sig").alias("s")).select(F.col("component_id").alias("d"), "s")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sig") == F.col("s"))
-    rows = rows.join(kept, same, "left_semi")
-    if not prints.groupBy("doc_id", "sig").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "sig"])
-    return unpacked(rows, columns)

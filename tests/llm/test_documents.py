@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, exact_dedup, line_dedup, secrets, simhash
+from barloom.llm import decontaminate, exact_dedup, line_dedup, near_copies, secrets, simhash
 from barloom.llm.common import read, ready, unpacked
 import cases
 
@@ -145,22 +145,13 @@ def test_links_of_dense_fingerprints(spark, monkeypatch, pair_cell):
     assert [by_print[s] for _, s in signed] == [c for _, _, c in cases.components(pairs)]
 
 
-def test_simhash_keeps_one_of_each_group(spark):
-    pairs = near_rows()
-    docs = cases.frame(spark, pairs)
-    left = simhash.simhash_keep(docs)
-    groups = cases.components([(i, simhash.fingerprint(t or "")) for i, t in pairs])
-    assert left.columns == docs.columns
-    assert got(left, "doc_id") == Counter((c,) for c in {c for _, _, c in groups})
-
-
 def test_empty_tables(spark):
     none = cases.frame(spark, [])
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert exact_dedup.exact_dedup(none).count() == 0
     assert line_dedup.line_dedup(none).count() == 0
     assert simhash.simhash_components(none).count() == 0
-    assert simhash.simhash_keep(none).count() == 0
+    assert near_copies.near_keep(none).count() == 0
     assert decontaminate.report(none, benchmark).count() == 0
     assert secrets.find_secrets(none).count() == 0
     some = cases.frame(spark, cases.rows())
