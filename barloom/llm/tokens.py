@@ -6,10 +6,10 @@ import re
 import struct
 import sys
 import types
-from itertools import chain
+from itertools import chain, islice
 
-#: A worker process remembers the ids of so many words; beyond that it starts anew.
-REMEMBERED = 400_000
+#: A worker process remembers the ids of so many words; beyond that it forgets the latest half.
+REMEMBERED = 800_000
 #: Longer words are encoded where they occur and not remembered.
 LONGEST = 64
 #: Words that go to the tokenizer in one string.
@@ -58,28 +58,37 @@ class Encoder:
         return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The words of a batch are cut, told apart and put together again by Arrow; Python sees each distinct one."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
         texts = [t if "<|" in t or _PLAIN.search(t) else t.lower() for t in texts]
-        words = [[] if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
-        known = self.learn(set(chain.from_iterable(words)))
-        ids = [
-            self.whole(t) if "<|" in t else b"".join([known[w] for w in ws])
-            for t, ws in zip(texts, words, strict=True)
-        ]
+        plain = ["" if "<|" in t else t.replace("\n", " ") for t in texts]
+        cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        known = self.learn(set(distinct))
+        ids = [known[w] for w in distinct]
         for w in self.long:
             del known[w]
-        return ids
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+        spread = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4"))).take(words.indices)
+        data, at = np.asarray(spread.flatten()), np.asarray(spread.offsets)[np.asarray(cut.offsets)]
+        at = (at - at[0]).tolist()
+        return [self.whole(t) if "<|" in t else data[a:b].tobytes() for t, a, b in zip(texts, at, at[1:], strict=False)]
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """What is known, once it holds the words."""
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
+        if len(self.known) > REMEMBERED:  # the first met are the most frequent
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         known = self.known
-        new = words - known.keys()
+        new = {w for w in words if w not in known}
         # A stop after a letter is a token of its own.
         stopped = [w for w in new if len(w) > 1 and w[-1] in ".," and "a" <= w[-2] <= "z"]
         new.difference_update(stopped)
         new.update({w[:-1] for w in stopped}, {w[-1] for w in stopped})
-        new -= known.keys()
+        new = {w for w in new if w not in known}
         self.long = {w for w in chain(new, stopped) if len(w) > LONGEST}
         plain = [w for w in new if _LETTERS.fullmatch(w) and w not in self.long]
         model, letters = self.tokenizer.model, self.letters
