@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from barloom.operators.features import Feature, Stage, compute
-from barloom.operators.tiles import NO, SERIES, asof, core, number_bars, tile
+from barloom.operators import passage, tiles
+from barloom.operators.features import Feature, Stage, apply_stages
+from barloom.operators.tiles import NO, SERIES, asof, number_bars, tile, tile_window
+from barloom.session import store
 
 PATH = ("bar_ts", "high", "low", "close")
 WEEK = 7 * 86400
@@ -31,55 +32,45 @@ def triple_barrier(
 
     1 for the profit barrier `tp` above, -1 for the loss barrier `sl` below or both
     in one bar, 0 for neither; NULL while fewer bars are known and none was met. The
-    distances may use `features`, which are computed on the same tiles.
+    distances may use `features`, which are computed on the same tiles. Horizons up to
+    `passage.HALO` bars are answered on these tiles as well; longer ones go on from there.
     """
-    made = compute(bars, *features, path_ahead(horizon))
-    made = made.withColumns({"_up": F.col("close") + tp, "_down": F.col("close") - sl})
-    met = F.filter("_path", lambda p: (p.high >= F.col("_up")) | (p.low <= F.col("_down")))
-    made = made.withColumn("_met", F.get(met, F.lit(0)))
+    near = min(horizon, passage.HALO)
+    before = max([f.before for f in features], default=0)
+    made = tile(number_bars(bars), before, near, tiles.TILE)
+    made = apply_stages(made, tile_window(), features) if features else made
+    names = [n for f in features for n in f.outputs]
+    made = made.withColumns({n: F.when(F.col(NO).isNotNull(), F.col(n)) for n in names})
+    # Rows without a position ask for nothing; they stand in small groups of their own.
+    own = (F.col("_tile") == F.floor(F.col(NO) / tiles.TILE)) | (F.col("_tile") < 0)
+    alone = F.when(F.col("_tile") < 0, F.xxhash64("bar_ts", "close")).alias("_part")
+    ahead = passage.question(F.col(NO) + 1, F.col(NO) + horizon, F.col("close") + tp, F.col("close") - sl)
+    line = made.select(
+        *SERIES, "_tile", alone, F.when(F.col(NO) >= F.col("_tile") * tiles.TILE, passage.bar_struct()).alias("_bar"),
+        F.when(own, ahead).alias("_q"), "bar_ts",
+    )
+    met = passage.answered(line, [*SERIES, "_tile", "_part"])
+    if horizon > near:
+        numbered = number_bars(bars).select(*SERIES, NO, passage.bar_struct().alias("_bar"))
+        met = passage.further(store(met, "barriers"), numbered, horizon, SERIES, [*SERIES, "_q", "bar_ts"])
+    up, down = F.col("_q.up"), F.col("_q.down")
     label = (
-        F.when(F.col("_met.low") <= F.col("_down"), -1)
-        .when(F.col("_met").isNotNull(), 1)
-        .when(F.size("_path") == horizon, 0)
+        F.when(F.col("_hit.low") <= down, -1)
+        .when(F.col("_hit").isNotNull(), 1)
+        .when(F.col("_last").isNotNull(), 0)
     )
-    return made.select(
-        *SERIES,
-        "bar_ts",
-        F.col("_up").alias("tp_level"),
-        F.col("_down").alias("sl_level"),
-        label.alias("label"),
-        F.col("_met.bar_ts").alias("touch_ts"),
+    return met.select(
+        *SERIES, "bar_ts", up.alias("tp_level"), down.alias("sl_level"), label.alias("label"), F.col("_hit.bar_ts").alias("touch_ts")
     )
 
 
-def forward_path(orders: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    """Add `_path`, the `horizon` bars after the last bar at or before an order's time.
+def on_bars(orders: DataFrame, bars: DataFrame) -> DataFrame:
+    """Add `_at_no`, the position of the last bar at or before an order's time; NULL without one.
 
-    The time is the order's `bar_ts`, on the grid of the bars or off it. An order without
-    such a bar, or without symbol, timeframe or time, has a NULL path. Orders find their bar
-    by an as-of pass and then ride along with the bars in one tiling, so no path is shuffled.
+    The time is the order's `bar_ts`, on the grid of the bars or off it.
     """
-    numbered = number_bars(bars)
-    marks = numbered.select(*SERIES, F.col("bar_ts").alias("_on"), F.col(NO).alias("_at_no"))
-    placed = asof(orders, marks, SERIES, "bar_ts", "_on", ["_at_no"], WEEK)
-    placed = placed.withColumnRenamed("_at_no", NO)
-    order = F.struct(*orders.columns)
-    bar = numbered.select(
-        *SERIES,
-        NO,
-        F.struct(*PATH).alias("_bar"),
-        F.lit(None).cast(placed.select(order.alias("o")).schema["o"].dataType).alias("_order"),
-    )
-    line = bar.unionByName(
-        placed.select(
-            *SERIES, NO, F.lit(None).cast(bar.schema["_bar"].dataType).alias("_bar"), order.alias("_order")
-        )
-    )
-    # A range frame over positions: several orders may sit on one bar. NULL bars are skipped.
-    w = Window.partitionBy(*SERIES, "_tile").orderBy(NO).rangeBetween(1, horizon)
-    seen = tile(line, after=horizon).withColumn("_path", F.collect_list("_bar").over(w))
-    path = F.when(F.col(NO).isNotNull(), F.col("_path")).alias("_path")
-    return core(seen).filter(F.col("_order").isNotNull()).select("_order.*", path)
+    marks = bars.select(*SERIES, F.col("bar_ts").alias("_on"), F.col(NO).alias("_at_no"))
+    return asof(orders, marks, SERIES, "bar_ts", "_on", ["_at_no"], WEEK)
 
 
 def _buy() -> Column:
@@ -127,7 +118,11 @@ def add_outcome(df: DataFrame, horizon: int) -> DataFrame:
         .otherwise("TP")
     )
     df = df.withColumn("outcome", outcome)
-    last = F.get("_rest", F.size("_rest") - 1).getField("close")
+    return _with_pnl(df, F.get("_rest", F.size("_rest") - 1).getField("close"))
+
+
+def _with_pnl(df: DataFrame, last: Column) -> DataFrame:
+    """Add the P/L of an outcome; `last` is the close at which an undecided trade ends."""
     price = (
         F.when(F.col("outcome") == "SL", F.col("sl"))
         .when(F.col("outcome") == "TP", F.col("tp"))
@@ -151,19 +146,54 @@ def _within(orders: DataFrame, max_expiry: int | None) -> tuple[DataFrame, int]:
     return orders.withColumn("expiry_bars", kept), max_expiry
 
 
+def _fills(orders: DataFrame, numbered: DataFrame, reach: int) -> DataFrame:
+    """Add fill state of limit orders: `_fill`, the position of the bar that filled them, status and its time."""
+    placed = on_bars(orders, numbered)
+    up, down = F.when(~_buy(), F.col("entry")), F.when(_buy(), F.col("entry"))
+    first, last = F.col("_at_no") + 1, F.col("_at_no") + F.col("expiry_bars")
+    met = passage.first_passage(placed.withColumn("_q", passage.question(first, last, up, down)), _line(numbered), reach)
+    spent = F.col("_last").isNotNull() | (F.col("expiry_bars") < 1)
+    status = (
+        F.when(F.col("_at_no").isNull(), "NO_BAR")
+        .when(F.col("_hit").isNotNull(), "FILLED")
+        .when(spent, "EXPIRED")
+        .otherwise("PENDING")
+    )
+    at = F.coalesce(F.col("_hit.bar_ts"), F.col("_last.bar_ts"))
+    return met.select(*orders.columns, F.col(f"_hit.{NO}").alias("_fill"), status.alias("status"), at.alias("status_ts"))
+
+
+def _line(numbered: DataFrame) -> DataFrame:
+    return numbered.select(*SERIES, NO, passage.bar_struct().alias("_bar"))
+
+
 def limit_fill(orders: DataFrame, bars: DataFrame, max_expiry: int | None = None) -> DataFrame:
     """Fill or expiry of limit orders; NO_BAR where no bar lies at or before the order.
 
-    `max_expiry` bounds the path; without it the largest `expiry_bars` is looked up first.
+    `max_expiry` bounds the search; without it the largest `expiry_bars` is looked up first. One order that
+    asks for very many bars costs the others nothing: only its own search goes on past its tile.
     """
     orders, reach = _within(orders, max_expiry)
-    return _public(add_fill(forward_path(orders, bars, reach)))
+    return _public(_fills(orders, number_bars(bars), reach))
 
 
 def order_outcome(orders: DataFrame, bars: DataFrame, max_expiry: int | None, horizon: int) -> DataFrame:
     """Fill, then profit, loss or time-out within `horizon` bars after the fill bar."""
     orders, reach = _within(orders, max_expiry)
-    return _public(add_outcome(add_fill(forward_path(orders, bars, reach + horizon)), horizon))
+    numbered = number_bars(bars)
+    filled = _fills(orders, numbered, reach)
+    up, down = F.when(_buy(), F.col("tp")).otherwise(F.col("sl")), F.when(_buy(), F.col("sl")).otherwise(F.col("tp"))
+    rest = passage.question(F.col("_fill") + 1, F.col("_fill") + horizon, up, down)
+    met = passage.first_passage(filled.withColumn("_q", rest), _line(numbered), horizon)
+    stopped = F.when(_buy(), F.col("_hit.low") <= F.col("sl")).otherwise(F.col("_hit.high") >= F.col("sl"))
+    outcome = (
+        F.when(F.col("status") != "FILLED", F.col("status"))
+        .when(F.col("_hit").isNull() & F.col("_last").isNull(), "OPEN")
+        .when(F.col("_hit").isNull(), "TIMEOUT")
+        .when(stopped, "SL")
+        .otherwise("TP")
+    )
+    return _public(_with_pnl(met.withColumn("outcome", outcome), F.col("_last.close")))
 
 
 def valid_order() -> Column:

@@ -249,6 +249,17 @@ def f1(spark, sf):
     return _barriers(spark, sf, 24).withColumn("label", F.col("label").cast("double")).drop("tf")
 
 
+@query(
+    "f1_triple_barrier_long",
+    f"""{BARRIER.format(h=2000).replace('1.5e0 * atr as up, close - atr as down', '24e0 * atr as up, close - 16e0 * atr as down')}
+  select symbol, bar_ts, {r('up')} as tp_level, {r('down')} as sl_level, label::double as label, touch_ts from tb""",
+)
+def f1_long(spark, sf):
+    atr = F.col("atr")
+    wide = labels.triple_barrier(views.bars(spark, sf), 24 * atr, 16 * atr, 2000, [ft.atr()])
+    return wide.withColumn("label", F.col("label").cast("double")).drop("tf")
+
+
 @query(
     "c9_label_mix",
     f"""{BARRIER.format(h=3)} select symbol, count(*) filter (label = -1) as label_m1,
@@ -346,6 +357,31 @@ def f3_off_grid(spark, sf):
     return played.select(*KEY, "side", "outcome", "pnl")
 
 
+MIXED = MOVED.replace(
+    "(1 + hour(bar_ts) % 6)::int", "(case hour(bar_ts) when 5 then 3000 when 7 then 1000000 else 1 + hour(bar_ts) % 6 end)::int"
+)
+
+
+@query(
+    "f3_order_outcome_mixed",
+    f"""{MIXED}, met as (select p.symbol, p.rn, min(x.rn) as met from fl p join a x on x.symbol = p.symbol
+  and x.rn between p.fill + 1 and p.fill + 3000 and case when p.way > 0 then x.low <= p.sl or x.high >= p.tp
+  else x.high >= p.sl or x.low <= p.tp end group by 1, 2)
+  select fl.symbol, fl.bar_ts, side, expiry_bars, status, f.bar_ts as status_ts, case when status <> 'FILLED' then status
+  when met is null and fill + 3000 > total then 'OPEN' when met is null then 'TIMEOUT'
+  when (way > 0 and x.low <= sl) or (way < 0 and x.high >= sl) then 'SL' else 'TP' end as outcome
+  from fl left join met using (symbol, rn) left join a x on x.symbol = fl.symbol and x.rn = met.met
+  left join a f on f.symbol = fl.symbol and f.rn = coalesce(fl.fill, fl.rn + fl.expiry_bars)""",
+)
+def f3_mixed(spark, sf):
+    """Short orders beside some that wait for thousands of bars, or far longer than there are any."""
+    hour = F.hour("bar_ts")
+    expiry = F.when(hour == 5, 3000).when(hour == 7, 1_000_000).otherwise(1 + hour % 6).cast("int")
+    orders = _moved(spark, sf)
+    played = labels.order_outcome(orders.withColumn("expiry_bars", expiry), views.bars(spark, sf), None, 3000)
+    return played.select(*KEY, "side", "expiry_bars", "status", "status_ts", "outcome")
+
+
 GRID = f"""{with_averages({**ATR14, 'fast': ('tr', 1 / 5), 'slow': ('tr', 1 / 50)})},
   g as (select * from (values (0.1e0), (0.4e0)) d(discount), (values (0.5e0), (1e0), (2e0)) s(stop),
   (values (1e0), (2e0)) t(target)),
