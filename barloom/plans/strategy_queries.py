@@ -595,6 +595,29 @@ def j5(spark, sf):
     return _gated(spark, sf).select("trade_id", "account_id", "open_ts", "reason", "decision")
 
 
+UNCLOSED = (
+    GATED.replace(
+        "open_ts, close_ts, pnl,",
+        "open_ts, case when trade_id % 3 = 0 then timestamp '9999-12-31' else close_ts end as close_ts, pnl,",
+    )
+    .replace("booked2 <= -40", "booked2 <= -400")
+    .replace("len(still) >= 2", "len(still) >= 40")
+)
+
+
+@query(
+    "j5_risk_gate_unclosed",
+    f"""{UNCLOSED} select trade_id, account_id, open_ts, reason,
+  case when reason = 'ACCEPT' then 'ACCEPT' else 'REJECT' end as decision from decided""",
+)
+def j5_unclosed(spark, sf):
+    """A third of the trades never closes."""
+    offers = views.offers_view(views.events(spark, sf))
+    open_ended = F.when(F.col("trade_id") % 3 != 0, F.col("close_ts"))
+    decided = risk.risk_gate(offers.withColumn("close_ts", open_ended), max_spread=0.4, max_open=40, daily_loss=400.0)
+    return decided.select("trade_id", "account_id", "open_ts", "reason", "decision")
+
+
 # --- validation -----------------------------------------------------------
 
 EMBARGO = timedelta(hours=6)
