@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from barloom.functions.clock import slot
-from barloom.functions.sqlmath import let, ratio
+from barloom.functions.sqlmath import ratio
 from barloom.operators.tiles import Scan, running
 from barloom.schemas import SYMBOLS, require
 from barloom.session import store
@@ -137,69 +138,53 @@ def order_states(
     return folded.select("order_id", F.inline("_ends"))
 
 
-HELD = "array<struct<close_ts:timestamp_ntz,pnl:double>>"
+def fold_days(days: DataFrame, max_open: int, daily_loss: float) -> DataFrame:
+    """Add `_codes`, a letter per row of `_rows`, to the days of each (account_id, `_part`), in order.
 
-
-def fold_day(rows: str, day: Column, held: Column, max_open: int, daily_loss: float) -> Column:
-    """The day's decisions, a letter each, and the open trades after it, from those before it."""
-
-    def of_row(acc: Column, x: Column) -> Column:
-        closed = F.filter(
-            acc["open"], lambda o: (o.close_ts < x["_minute"]) & (F.to_date(o.close_ts) == day)
-        )
-        ledger = F.struct(
-            F.aggregate(closed, acc.booked, lambda s, o: s + F.coalesce(o.pnl, F.lit(0.0))).alias("booked"),
-            F.filter(acc["open"], lambda o: o.close_ts >= x["_minute"]).alias("open"),
-        )
-        return let(ledger, lambda now: decide(acc, now, x))
-
-    def decide(acc: Column, now: Column, x: Column) -> Column:
-        code = (
-            F.when(now.booked <= -daily_loss, "D").when(F.size(now["open"]) >= max_open, "M").otherwise("A")
-        )
-        new = F.array(F.struct(x["_until"].alias("close_ts"), x.pnl.alias("pnl")))
-        return F.struct(
-            now.booked.alias("booked"),
-            F.when(code == "A", F.concat(now["open"], new)).otherwise(now["open"]).alias("open"),
-            F.concat(acc.codes, code).alias("codes"),
-        )
-
-    start = F.struct(F.lit(0.0).alias("booked"), held.cast(HELD).alias("open"), F.lit("").alias("codes"))
-    return F.aggregate(rows, start, of_row)
-
-
-def opening_states(days: DataFrame, line: DataFrame, max_open: int, daily_loss: float) -> DataFrame:
-    """account_id, _no and `_open`, the trades open when each day begins.
-
-    Every day is folded at once, from nothing at first. Where the day before ends otherwise than was
-    supposed, the day is folded again from its end, until no day changes: each round one job over those
-    days. A state names only what later decisions can see, closing times from the next day on, and a trade
-    that never closes is like any other such trade; so most suppositions hold after a round or two, and
-    a year of trades that stay open is no longer chain than a day. At worst a change travels a day a round.
+    The days of a part are sorted in one task and folded one after the other; only the open trades are
+    carried from day to day, so memory holds a day however long the part is.
     """
-    never = F.lit(NEVER).cast("timestamp_ntz")
-
-    def closings(todo: DataFrame) -> DataFrame:
-        rows = todo.join(days.select("account_id", "_day", "_rows"), ["account_id", "_day"])
-        after = fold_day("_rows", F.col("_day"), F.col("_open"), max_open, daily_loss)["open"]
-        seen = F.filter(after, lambda o: o.close_ts >= F.col("_next").cast("timestamp_ntz"))
-        plain = F.transform(
-            seen, lambda o: F.struct(o.close_ts.alias("close_ts"), F.when(o.close_ts < never, o.pnl).alias("pnl"))
-        )
-        return rows.select("account_id", "_no", "_open", F.array_sort(plain).alias("_after"))
-
-    nothing = F.expr(f"cast(array() as {HELD})")
-    state = store(closings(line.withColumn("_open", nothing)), "gate-states")
-    while True:
-        ended = state.select("account_id", (F.col("_no") + 1).alias("_no"), F.col("_after").alias("_carried"))
-        tied = line.filter("not _fresh").join(ended, ["account_id", "_no"])
-        same = F.col("_carried") == F.col("_open")
-        changed = tied.join(state.select("account_id", "_no", "_open"), ["account_id", "_no"]).filter(~same)
-        changed = store(changed.drop("_open").withColumnRenamed("_carried", "_open"), "gate-changed")
-        if changed.isEmpty():
-            return state.select("account_id", "_no", "_open")
-        again = closings(changed)
-        state = store(state.join(changed, ["account_id", "_no"], "left_anti").unionByName(again), "gate-states")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = days.select(
+        "account_id", "_part", "_day", "_rows",
+        micros(F.col("_day")).alias("_start"),
+        F.transform("_rows", lambda r: micros(r["_minute"])).alias("_minutes"),
+        F.transform("_rows", lambda r: micros(r["_until"])).alias("_untils"),
+        F.transform("_rows", lambda r: r["pnl"]).alias("_pnls"),
+    )
+    keys = ["account_id", "_part"]
+    line = rows.repartition(*keys).sortWithinPartitions(*keys, "_day").drop("_day")
+    schema = T.StructType([line.schema["account_id"], line.schema["_rows"], T.StructField("_codes", T.StringType())])
+
+    def fold(batches):
+        import pyarrow as pa
+
+        part, held = None, []
+        for batch in batches:
+            codes = []
+            own = zip(*[batch.column(c).to_pylist() for c in (*keys, "_start", "_minutes", "_untils", "_pnls")], strict=True)
+            for account, number, start, minutes, untils, pnls in own:
+                if (account, number) != part:
+                    part, held = (account, number), []
+                booked, letters, end = 0.0, [], start + 86_400_000_000
+                for minute, until, pnl in zip(minutes, untils, pnls, strict=True):
+                    if any(close < minute for close, _ in held):
+                        for close, p in held:
+                            booked += p if start <= close < minute and close < end else 0.0
+                        held = [h for h in held if h[0] >= minute]
+                    if booked <= -daily_loss:
+                        letters.append("D")
+                    elif len(held) >= max_open:
+                        letters.append("M")
+                    else:
+                        letters.append("A")
+                        held.append((until, pnl or 0.0))
+                codes.append("".join(letters))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("account_id"), batch.column("_rows"), pa.array(codes, pa.string())], schema.names
+            )
+
+    return line.mapInArrow(fold, schema)
 
 
 def risk_gate(
@@ -220,7 +205,8 @@ def risk_gate(
     Since places are only freed between minutes, no more than the first `max_open` sound
     proposals of a minute can be accepted. Only these are folded, at most 1440 * max_open per
     account and day however many proposals there are; the rest follow from the state of their
-    minute. Days are folded apart, each from the trades open at its beginning (`opening_states`).
+    minute. An account's days are folded apart wherever no candidate is open at midnight, and one after
+    the other where one is (`fold_days`): no array is longer than a day, even where trades never close.
     """
     known = F.col("account_id").isNotNull() & F.col("open_ts").isNotNull()
     sound = F.coalesce(F.col("spread") <= max_spread, F.lit(False)) & known
@@ -238,16 +224,9 @@ def risk_gate(
     )
     earlier = Window.partitionBy("account_id").orderBy("_day")
     over = F.max("_until").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce(over < F.col("_day").cast("timestamp_ntz"), F.lit(True)).alias("_fresh")
-    dated = store(days.select("account_id", "_day", "_rows", "_until"), "gate-days")
-    line = dated.select(
-        "account_id", "_day", fresh, F.row_number().over(earlier).alias("_no"), F.lead("_day").over(earlier).alias("_next")
-    )
-    line = store(line, "gate-line")
-    opened = line.join(opening_states(dated, line, max_open, daily_loss), ["account_id", "_no"])
-    coded = dated.drop("_until").join(opened, ["account_id", "_day"])
-    folded = fold_day("_rows", F.col("_day"), F.col("_open"), max_open, daily_loss)
-    days = coded.select("account_id", "_rows", folded["codes"].alias("_codes"))
+    fresh = F.coalesce(over < F.col("_day").cast("timestamp_ntz"), F.lit(True)).cast("int")
+    cut = days.withColumn("_fresh", fresh).withColumn("_part", F.sum("_fresh").over(earlier))
+    days = fold_days(cut, max_open, daily_loss)
 
     # One letter per row: a string grows far cheaper than an array does.
     names = F.create_map(*[F.lit(x) for pair in VERDICTS.items() for x in pair])
