@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterable, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.clock import plus_seconds, slot
 from barloom.functions.sqlmath import hash60
 from barloom.operators.metrics import chain, path_summary
-from barloom.operators.tiles import asof, number
+from barloom.operators.tiles import asof, number, tiled
 from barloom.session import store
 
 Fold = tuple[int, datetime, datetime]
@@ -161,11 +161,51 @@ def trade_blocks(trades: DataFrame, by: Sequence[str], grain: int = 60) -> DataF
     )
 
 
+def moving_blocks(trades: DataFrame, by: Sequence[str], length: int, grain: int = 60) -> DataFrame:
+    """Every run of `length` consecutive trades of each key as one block, numbered by its first trade.
+
+    A block's summary is put together from runs of doubling length, as in a segment tree: log2(length)
+    steps over neighbours within a tile, whatever the length. A key of fewer trades has one block, all of them.
+    """
+    by, parts = list(by), ("total", "top", "fall", "drop")
+
+    def joined(a: Sequence[str], b: Sequence[Column]) -> dict[str, Column]:
+        """The summary of the columns a followed by b."""
+        start = F.col(a[0])
+        values = (
+            start + b[0], F.greatest(a[1], start + b[1]), F.least(a[2], start + b[2]),
+            F.greatest(a[3], b[3], F.col(a[1]) - (start + b[2])),
+        )
+        return dict(zip(a, values, strict=True))
+
+    def ahead(names: Sequence[str], steps: int, w: WindowSpec) -> list[Column]:
+        return [F.coalesce(F.lead(n, steps).over(w), F.lit(0.0)) for n in names]
+
+    def spans(df: DataFrame, w: WindowSpec) -> DataFrame:
+        run, done, size = [f"_run_{p}" for p in parts], 0, 1
+        df = df.withColumn("_whole", F.lead("block_no", length - 1).over(w).isNotNull() if length > 1 else F.lit(True))
+        df = df.withColumns({r: F.col(p) for r, p in zip(run, parts, strict=True)})
+        df = df.withColumns({p: F.lit(0.0) for p in parts})
+        while size <= length:
+            if length & size:
+                df = df.withColumns(joined(parts, ahead(run, done, w) if done else [F.col(r) for r in run]))
+                done += size
+            if 2 * size <= length:
+                df = df.withColumns(joined(run, ahead(run, size, w)))
+            size *= 2
+        return df.filter(F.col("_whole") | (F.col("block_no") == 0)).drop("_whole", *run)
+
+    return tiled(trade_blocks(trades, by, grain), spans, after=length, keys=by, no="block_no")
+
+
 def mc_drawdown(
-    blocks: DataFrame, by: Sequence[str], runs: int, seed: int, stretch: int = 1024
+    blocks: DataFrame, by: Sequence[str], runs: int, seed: int, stretch: int = 1024, length: int = 1
 ) -> DataFrame:
     """Maximum drawdown of `runs` sequences, each drawn with replacement from the blocks.
 
+    A run draws as many blocks as there are; of `moving_blocks` of some `length`, which overlap, as many
+    as cover the trades, so that a run costs no more than its trades divided by the length.
+
     Every position of a run picks a block by hash. Positions are generated where they
     are needed: (run, stretch) pairs are spread over the cluster first and expanded
     there. The blocks are written once, so that the planner knows their size and
@@ -181,7 +221,7 @@ def mc_drawdown(
         "_n",
         F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"),
     )
-    last = F.col("_n") - 1
+    last = F.ceil((F.col("_n") + (length - 1)) / length) - 1
     parts = parts.withColumn(
         "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / stretch)))
     ).repartition(tasks, *by, "run", "_part")

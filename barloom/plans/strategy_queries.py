@@ -728,10 +728,10 @@ def g3_unquoted(spark, sf):
     return validation.friction_shock(_sided(spark, sf), late, SCENARIOS)
 
 
-def mc_sql(blocks: str) -> str:
+def mc_sql(blocks: str, length: int = 1) -> str:
     return f"""{blocks}, sized as (select *, count(*) over (partition by strategy_id) as n from blk),
   d as (select strategy_id, run, block_no as pos, cast('0x' || substr(md5('11|' || run || '|' || strategy_id || '|' ||
-  block_no), 1, 15) as bigint) % n as pick from sized, range(1, 1001) runs(run)),
+  block_no), 1, 15) as bigint) % n as pick from sized, range(1, 1001) runs(run) where block_no < (n + {length} - 1) / {length}::double),
   x as (select d.strategy_id, run, pos, total, top, fall, blk.drop_ as drop_, coalesce(sum(total) over (w rows between
   unbounded preceding and 1 preceding), 0) as base from d join blk on blk.strategy_id = d.strategy_id
   and blk.block_no = d.pick window w as (partition by d.strategy_id, run order by pos)),
@@ -755,9 +755,26 @@ DAY_BLOCKS = f"""with {TRADES}, eq as (select strategy_id, cast(close_ts as date
   from pk group by strategy_id, day)"""
 
 
-def _simulated(blocks):
+def moving_sql(length: int) -> str:
+    return f"""with {TRADES}, t as (select strategy_id, pnl, row_number() over (partition by strategy_id
+  order by close_ts, trade_id) - 1 as no, count(*) over (partition by strategy_id) as many from trades),
+  j as (select a.strategy_id, a.no as block_no, b.no, b.pnl, sum(b.pnl) over (partition by a.strategy_id, a.no order by b.no) as eq
+  from t a join t b on a.strategy_id = b.strategy_id and b.no between a.no and a.no + {length} - 1
+  where a.no + {length} <= a.many or a.no = 0),
+  k as (select *, greatest(0, max(eq) over (partition by strategy_id, block_no order by no)) as peak from j),
+  blk as materialized (select strategy_id, block_no, sum(pnl) as total, greatest(max(eq), 0) as top,
+  least(min(eq), 0) as fall, max(peak - eq) as drop_ from k group by 1, 2)"""
+
+
+def _simulated(blocks, length=1):
     by = ["strategy_id"]
-    return validation.drawdown_report(validation.mc_drawdown(blocks, by, runs=1000, seed=11), by)
+    drawn = validation.mc_drawdown(blocks, by, runs=1000, seed=11, length=length)
+    return validation.drawdown_report(drawn, by)
+
+
+@query("g4_mc_drawdown_blocks", mc_sql(moving_sql(25), 25))
+def g4_blocks(spark, sf):
+    return _simulated(validation.moving_blocks(views.trades(spark, sf), ["strategy_id"], 25), 25)
 
 
 @query("g4_mc_drawdown", mc_sql(TRADE_BLOCKS))

@@ -89,6 +89,24 @@ def test_monte_carlo_by_brute_force(spark):
         assert rows[run] == pytest.approx(brute_drawdown(pnls[picks]))
 
 
+@pytest.mark.parametrize("length,n", [(1, 30), (7, 30), (8, 9), (25, 5)])
+def test_moving_blocks_by_brute_force(spark, length, n):
+    from hashlib import md5
+
+    pnls = np.random.default_rng(length).normal(0, 5, n).round(2)
+    blocks = validation.moving_blocks(trades_df(spark, pnls), ["strategy_id"], length)
+    starts = max(n - length + 1, 1)
+    assert sorted(r.block_no for r in blocks.collect()) == list(range(starts))
+    got = validation.mc_drawdown(blocks, ["strategy_id"], runs=12, seed=3, stretch=2, length=length)
+    rows = {r.run: (r.profit, r.max_drawdown) for r in got.collect()}
+    assert len(rows) == 12
+    for run, (profit, drawdown) in rows.items():
+        draws = -(-(starts + length - 1) // length)
+        picks = [int(md5(f"3|{run}|1|{p}".encode()).hexdigest()[:15], 16) % starts for p in range(draws)]
+        drawn = np.concatenate([pnls[p : p + length] for p in picks])
+        assert (profit, drawdown) == (pytest.approx(drawn.sum()), pytest.approx(brute_drawdown(drawn)))
+
+
 @pytest.mark.parametrize("embargo,trains", [(0, {0, 1}), (2, {0})])
 def test_fold_edges(spark, embargo, trains):
     start = T0 + dt.timedelta(hours=10)
