@@ -96,6 +96,26 @@ def a5(spark, sf):
     return files.read_store(spark, path, schemas.BARS).select("batch", *schemas.BARS.names)
 
 
+@query(
+    "a5_store_slices",
+    f"""{bars()}, {bars_of('M5', 'm5')}, {bars_of('H4', 'h4')}, stored as (
+  select 'first' as batch, symbol, tf, bar_ts from bars union all by name select 'first' as batch, symbol, tf, bar_ts from m5
+  union all by name select 'second' as batch, symbol, tf, bar_ts from h4)
+  select batch, symbol, tf, year(bar_ts)::int as year, min(bar_ts) as first_ts, max(bar_ts) as last_ts, count(*) as rows
+  from stored group by all""",
+)
+def a5_slices(spark, sf):
+    """The manifest after two batches and a third, which is refused: its slice is there already."""
+    path = fresh_dir(spark, "store")
+    files.write_immutable(mixed_bars(spark, sf), path, "first")
+    files.write_immutable(bar_ops.to_bars(views.ticks(spark, sf), "H4"), path, "second")
+    try:
+        files.write_immutable(mixed_bars(spark, sf).filter("tf = 'H1'"), path, "third")
+    except ValueError:
+        return files.slices(spark, path)
+    raise AssertionError("the store took a slice twice")
+
+
 def mixed_bars(spark, sf):
     """M5 and H1 bars in one table."""
     return views.bars(spark, sf).unionByName(views.bars(spark, sf, "M5")).drop("bar_no")

@@ -117,6 +117,52 @@ def test_store_takes_batches_once(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(symbol" in plan
 
 
+def test_store_refuses_a_slice_that_it_has(spark, tmp_path):
+    pdf, path = bars_pdf(48), str(tmp_path / "store")
+    bars = bars_df(spark, pdf)
+    middle = F.lit(pdf.bar_ts.iloc[24].to_pydatetime()).cast("timestamp_ntz")
+    files.write_immutable(bars.filter(F.col("bar_ts") < middle), path, "1")
+    with pytest.raises(ValueError, match="overlaps batch 1"):
+        files.write_immutable(bars.filter("symbol = 'A'"), path, "2")
+    assert files.read_store(spark, path, schemas.BARS).count() == 48  # the refused batch is not seen
+    files.write_immutable(bars.filter(F.col("bar_ts") >= middle), path, "2")  # and makes way for another try
+    stored = files.read_store(spark, path, schemas.BARS)
+    assert schemas.require(stored, schemas.BARS).exceptAll(bars).count() == 0 and stored.count() == 96
+    found = files.slices(spark, path).groupBy("batch").agg(F.sum("rows").alias("n")).collect()
+    assert {r.batch: r.n for r in found} == {"1": 48, "2": 48}
+
+
+def test_unfinished_batch_is_invisible(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    assert files.read_store(spark, path, schemas.BARS).count() == 0
+    monkeypatch.setattr(files, "_renamed", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        files.write_immutable(bars_df(spark, bars_pdf(5)), path, "1")
+    assert files.read_store(spark, path, schemas.BARS).count() == 0
+
+
+def test_two_writers_take_different_places(spark, tmp_path, monkeypatch):
+    path, rename = str(tmp_path / "store"), files._renamed
+    other = bars_df(spark, bars_pdf(5, symbols=("C",)))
+
+    def late(*a):
+        monkeypatch.setattr(files, "_renamed", rename)
+        files.write_immutable(other, path, "2")  # comes in between
+        return rename(*a)
+
+    monkeypatch.setattr(files, "_renamed", late)
+    files.write_immutable(bars_df(spark, bars_pdf(5)), path, "1")
+    assert files.read_store(spark, path, schemas.BARS).count() == 15
+
+
+def test_range_reads_what_the_manifest_has(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for year, batch in ((2021, "a"), (2022, "b"), (2023, "c")):
+        files.write_immutable(bars_df(spark, bars_pdf(30, start=dt.datetime(year, 5, 1))), path, batch)
+    part = files.read_store(spark, path, schemas.BARS, dt.datetime(2022, 1, 1), dt.datetime(2022, 5, 1, 10))
+    assert part.count() == 20 and {f.split("batch=")[1][0] for f in part.inputFiles()} == {"b"}
+
+
 def test_parquet_without_a_column_is_refused(spark, tmp_path):
     path = str(tmp_path / "bars")
     bars_df(spark, bars_pdf(3)).drop("spread").write.parquet(path)
