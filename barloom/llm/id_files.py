@@ -14,6 +14,8 @@ from barloom.llm.tokens import worker_encoder
 from barloom.session import store
 
 END = 2
+#: Words whose ids a worker remembers; the job holds little else.
+REMEMBERED = 800_000
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
 
 #: What ORC is told: stripes that tasks can read on their own, an index entry per INDEX_ROWS
@@ -52,7 +54,7 @@ def write_ids(docs: DataFrame, path: str, spec: str, end: int = END) -> None:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, tail, first = worker_encoder(spec), np.array([end], "<u4").tobytes(), 0
+        encoder, tail, first = worker_encoder(spec, REMEMBERED), np.array([end], "<u4").tobytes(), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
             ids = [x + tail for x in encoder.encode(batch.column("text").to_pylist())]

@@ -9,9 +9,11 @@ import types
 from itertools import chain, islice
 
 #: A worker process remembers the ids of so many words; beyond that it forgets the latest half.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Longer words are encoded where they occur and not remembered.
 LONGEST = 64
+#: Texts of so many characters, or a single longer one, are cut into words at a time.
+CHARACTERS = 2_000_000
 #: Words that go to the tokenizer in one string.
 TOGETHER = 64
 
@@ -43,14 +45,14 @@ class Encoder:
     plain letters go straight to the library's model, all others through its whole chain.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, remembered: int = REMEMBERED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.np, self.tokenizer = np, Tokenizer.from_str(spec)
+        self.np, self.tokenizer, self.remembered = np, Tokenizer.from_str(spec), remembered
         self.known, self.long, self.letters = {"": b""}, set(), byte_letters()
         (self.zero,) = self.tokenizer.encode("0", add_special_tokens=False).ids
 
@@ -58,7 +60,16 @@ class Encoder:
         return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The words of a batch are cut, told apart and put together again by Arrow; Python sees each distinct one."""
+        out, first, size = [], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= CHARACTERS or k == len(texts) - 1:
+                out += self.encode_some(texts[first : k + 1])
+                first, size = k + 1, 0
+        return out
+
+    def encode_some(self, texts: list[str]) -> list[bytes]:
+        """The words of some texts are cut, told apart and put together again by Arrow; Python sees each distinct one."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -80,8 +91,8 @@ class Encoder:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """What is known, once it holds the words."""
-        if len(self.known) > REMEMBERED:  # the first met are the most frequent
-            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+        if len(self.known) > self.remembered:  # the first met are the most frequent
+            self.known = dict(islice(self.known.items(), self.remembered // 2))
         known = self.known
         new = {w for w in words if w not in known}
         # A stop after a letter is a token of its own.
@@ -120,10 +131,10 @@ class Encoder:
                 at = end + 1
 
 
-def worker_encoder(spec: str) -> Encoder:
+def worker_encoder(spec: str, remembered: int = REMEMBERED) -> Encoder:
     """The encoder of this worker process; tasks that follow each other share it."""
     state = sys.modules.setdefault("_barloom_worker", types.ModuleType("_barloom_worker")).__dict__
-    key = ("encoder", hash(spec))
+    key = ("encoder", hash(spec), remembered)
     if key not in state:
-        state[key] = Encoder(spec)
+        state[key] = Encoder(spec, remembered)
     return state[key]
