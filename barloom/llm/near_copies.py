@@ -23,6 +23,8 @@ BANDS, ROWS = 20, 5
 RADIUS = 20
 #: Members of a large cell that are compared with all of it: one at first, then so many times more each round.
 GROWTH = 16
+#: 64-bit words of the bitmap in which a text marks its shingles.
+MARKS = 16
 
 
 def words_of(text: str) -> list[bytes]:
@@ -56,8 +58,17 @@ def bits_of(hashes) -> int:
     return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
 
 
+def marks_of(hashes) -> list[int]:
+    """The bitmap of the shingles, as signed words."""
+    import numpy as np
+
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[(hashes % np.uint64(64 * MARKS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(">i8").tolist()
+
+
 def signatures(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, sig, id (of the words), n (distinct shingles), fp (SimHash) and a MinHash value per band; none without words."""
+    """doc_id, sig, id (of the words), n (distinct shingles), fp (SimHash), marks and a MinHash value per band; none without words."""
 
     def stamp(batches):
         import numpy as np
@@ -68,7 +79,7 @@ def signatures(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         plus = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
         mix = rng.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            ids, sizes, prints, bands = [], [], [], []
+            ids, sizes, prints, marks, bands = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 hashes = shingle_hashes(words, shingle)
@@ -78,12 +89,13 @@ def signatures(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 ids.append(text_id(words))
                 sizes.append(len(hashes))
                 prints.append(bits_of(hashes))
+                marks.append(marks_of(hashes))
                 bands.append((least.reshape(BANDS, ROWS) * mix).sum(1, dtype=np.uint64).view(np.int64).tolist() if words else [])
-            columns = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            columns = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (marks, bands)]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), *columns], names)
 
     texts = rows.select("doc_id", "sig", whole_text().alias("text"))
-    more = {"id": T.BinaryType(), "n": T.IntegerType(), "fp": T.LongType(), "bands": T.ArrayType(T.LongType())}
+    more = {"id": T.BinaryType(), "n": T.IntegerType(), "fp": T.LongType(), "marks": T.ArrayType(T.LongType()), "bands": T.ArrayType(T.LongType())}
     schema = T.StructType([texts.schema["doc_id"], texts.schema["sig"], *[T.StructField(k, t) for k, t in more.items()]])
     names = schema.names
     return texts.mapInArrow(stamp, schema)
@@ -123,6 +135,17 @@ def can_be_alike(a: str, b: str, least: float) -> Column:
     return sizes & (F.greatest(*apart) <= RADIUS) & near
 
 
+def marked_alike(a: str, b: str, least: float) -> Column:
+    """A bit that only one of two texts has stands for a shingle or more that the other lacks."""
+
+    def left(x: str, y: str) -> Column:
+        alone = [F.bit_count(F.col(f"{x}.marks")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.marks")[i]))) for i in range(MARKS)]
+        return F.col(f"{x}.n") - sum(alone[1:], alone[0])
+
+    both = F.least(left(a, b), left(b, a))
+    return both >= least * (F.col(f"{a}.n") + F.col(f"{b}.n") - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose Jaccard similarity is `least` or more."""
     a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
@@ -145,7 +168,7 @@ def shared_counts(large: DataFrame, sets: DataFrame) -> DataFrame:
     return held.join(common, "h").groupBy("node").agg(F.count("*").cast("int").alias("common"))
 
 
-def link_large(large: DataFrame, edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def link_large(large: DataFrame, edges: DataFrame, sets: DataFrame, marks: DataFrame, least: float) -> DataFrame:
     """Edges that connect what the pairs of large cells connect, without making all pairs.
 
     Pairs within a component add nothing. Of two components of a cell one is not its largest, so it is
@@ -155,10 +178,10 @@ def link_large(large: DataFrame, edges: DataFrame, sets: DataFrame, least: float
     components anew, until none is left.
     """
     weight = large.groupBy("node").agg(F.count("*").alias("weight"))
-    counts = store(shared_counts(large, sets).join(weight, "node"), "near-counts")
+    counts = store(shared_counts(large, sets).join(weight, "node").join(marks, "node"), "near-counts")
     large = large.drop("shared").join(counts.withColumnRenamed("common", "shared"), "node")
     large = store(large.where(F.col("shared") >= least * F.col("n")), "near-large")
-    columns = ["band", "part", "node", "n", "shared", "fp", "pivots", "weight"]
+    columns = ["band", "part", "node", "n", "shared", "fp", "pivots", "weight", "marks"]
     led, many = None, 1
     while True:
         roots = components(edges)
@@ -176,7 +199,7 @@ def link_large(large: DataFrame, edges: DataFrame, sets: DataFrame, least: float
             return edges
         a, b = placed.alias("a"), leaders.alias("b")
         together = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") != F.col("b.root"))
-        met = a.join(b, together & can_be_alike("a", "b", least))
+        met = a.join(b, together & can_be_alike("a", "b", least) & marked_alike("a", "b", least))
         met = met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
         edges = store(edges.unionByName(verified(store(met, "near-pairs"), sets, least)), "near-edges")
         now = leaders.select("band", "part", "node")
@@ -186,7 +209,7 @@ def link_large(large: DataFrame, edges: DataFrame, sets: DataFrame, least: float
 def links(rows: DataFrame, known: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """Edges (u, v), u > v, between nodes of different texts that share a band and are alike by `least` or more.
 
-    known: node, id, sig (of one of its texts), n, fp, bands.
+    known: node, id, sig (of one of its texts), n, fp, marks, bands.
     """
     spread = known.select("node", "n", "fp", F.posexplode("bands").alias("band", "part"))
     sizes = store(spread.groupBy("band", "part").agg(F.count("*").alias("size")).where("size > 1"), "near-cells")
@@ -197,7 +220,7 @@ def links(rows: DataFrame, known: DataFrame, shingle: int = SHINGLE, least: floa
     wanted = small.select(F.explode(F.array("u", "v")).alias("node")).unionByName(large.select("node")).distinct()
     sets = store(shingle_sets(rows, wanted, known, shingle), "near-sets")
     edges = store(verified(small, sets, least), "near-edges")
-    return edges if large.isEmpty() else link_large(large, edges, sets, least)
+    return edges if large.isEmpty() else link_large(large, edges, sets, known.select("node", "marks"), least)
 
 
 def near_keep(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -212,7 +235,7 @@ def near_keep(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) ->
     rows = packed(docs)
     prints = store(signatures(rows, shingle), "near-prints")
     known = prints.groupBy("id").agg(
-        F.count("*").alias("held"), F.min("sig").alias("sig"), *[F.any_value(c).alias(c) for c in ("n", "fp", "bands")]
+        F.count("*").alias("held"), F.min("sig").alias("sig"), *[F.any_value(c).alias(c) for c in ("n", "fp", "marks", "bands")]
     )
     known = store(known.withColumn("node", F.monotonically_increasing_id()), "near-distinct")
     roots = components(links(rows, known.where("n > 0"), shingle, least))
