@@ -8,7 +8,7 @@ from html import unescape
 from urllib.parse import urlsplit
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,8 @@ from barloom.llm.common import lean, whole_text
 from barloom.llm.quality import map_texts
 from barloom.session import store
 
-#: Labelled documents that the text model is fitted on, at most.
-FIT_ROWS = 8000
+#: Labelled documents of each language that the text model is fitted on, at most.
+FIT_ROWS = 2000
 #: Hash places of the byte trigrams, and trigrams that a text counts for at most (its mean
 #: likelihood is scaled to them: trigrams of one text are not independent).
 HASHED, HEAVIEST = 4096, 60
@@ -77,15 +77,19 @@ class TextModel:
 def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> TextModel:
     """Trigram model of each language, from (doc_id, text, lang) rows.
 
-    At most `fit_rows` rows, those with the smallest hash; rows without a language are passed
-    over. Counts are summed per language by Spark; languages times HASHED numbers come back.
+    Every language of the table is known to the model, however rare, unless none of its texts chosen
+    holds a trigram. Of each at most `fit_rows` rows count, those with the smallest hash (Spark limits
+    them per split before their shuffle); rows without a language are passed over. Counts are summed
+    per language by Spark; languages times HASHED numbers come back.
     """
     texts = lean(labelled, "doc_id", "text", "lang").select(
         "doc_id", whole_text().alias("text"), F.lower(F.trim(F.col("lang").cast("string"))).alias("lang")
     )
     texts = texts.withColumn("sig", F.xxhash64("text")).where("lang is not null and lang != ''")
     order = [F.xxhash64("doc_id", "sig"), F.col("doc_id"), F.col("sig"), F.col("lang")]
-    chosen = store(texts.select("doc_id", "sig", "lang").orderBy(*order).limit(fit_rows).distinct(), "language-sample")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    chosen = texts.select("doc_id", "sig", "lang").withColumn("rank", rank).where(F.col("rank") <= fit_rows)
+    chosen = store(chosen.drop("rank").distinct(), "language-sample")
     same = ["sig", "lang"]
     sample = texts.join(chosen.select(F.col("doc_id").alias("d"), *same), same).where(
         F.col("doc_id").eqNullSafe(F.col("d"))

@@ -310,6 +310,71 @@ def test_languages(spark):
     assert right >= 0.95 * len(docs)
 
 
+def test_rare_languages_are_known(spark):
+    rows = [(i, f"a page of words number {i}", "en") for i in range(900)]
+    for rare in (3, 11, 899):
+        frame = spark.createDataFrame([*rows, (rare, "en sida med ord på svenska", "sv")], "doc_id long, text string, lang string")
+        model = lang_id.fit_text_model(frame, 20)
+        assert model.languages == ["en", "sv"]
+        assert int(np.argmax(model.likelihoods("ord på svenska"))) == 1
+
+
+def test_languages_without_markup(spark):
+    """Texts and addresses alone find the language that the hidden markup declares."""
+    folder = "/root/testdata/sf0.01"
+    model = lang_id.fit_text_model(read(ready(spark), folder, "documents"), 400)
+    pages = read(spark, folder, "pages")
+    said = {r.page_id: lang_id.declared_language(r.html or "") for r in pages.collect()}
+    hidden = pages.withColumn("html", F.regexp_replace("html", r"(?i)(<html\b[^>]*?)\blang\s*=", "$1data-l="))
+    found = lang_id.identify(hidden, model).collect()
+    judged = [r for r in found if said[r.page_id] in model.languages]
+    assert judged and not any(r.declared in model.languages for r in found)
+    assert sum(r.lang == said[r.page_id] for r in judged) >= 0.95 * len(judged)
+
+
+def fused(pages, model):
+    """(lang, confidence) of (url, html) pages by plain loops over the stated evidence."""
+    names, weight = model.languages, lang_id.WEIGHT
+    k, seen = range(len(names)), []
+    for url, html in pages:
+        host, said = lang_id.host_of(re.sub(r"\s", "", url or "")), lang_id.declared_language(html or "")
+        logs = np.array(model.likelihoods(lang_id.visible(html or "")))
+        own = np.exp(logs - logs.max())
+        seen.append((host, lang_id.parent_of(host), host.rpartition(".")[2], said if said in names or not said else "other", logs, own / own.sum()))
+    tables = [defaultdict(lambda: np.zeros(len(names))) for _ in range(4)]
+    sizes = [Counter() for _ in range(4)]
+    for page in seen:
+        for at in range(4):
+            tables[at][page[at]] += page[5]
+            sizes[at][page[at]] += 1
+    n, total = len(seen), sum(p[5] for p in seen)
+    overall = (total + 1) / (total.sum() + len(names))
+    markup = sum(sizes[3][w] for w in names) / n
+    out = []
+    for host, parent, suffix, said, logs, own in seen:
+        points = []
+        for i in k:
+            above = (tables[1][parent][i] - own[i] + weight * overall[i]) / (sizes[1][parent] - 1 + weight)
+            prior = (tables[0][host][i] - own[i] + weight * above) / (sizes[0][host] - 1 + weight)
+            expected = markup * (0.9 * (said == names[i]) + 0.1 / len(names)) if said in names else sizes[3][said] / n
+            marked = (tables[3][said][i] + weight * expected + 1e-9) / (total[i] + weight)
+            address = (tables[2][suffix][i] + weight * sizes[2][suffix] / n) / (total[i] + weight)
+            points.append(logs[i] + np.log(max(prior, 1e-9)) + np.log(marked) + np.log(address))
+        chance = np.exp(np.array(points) - max(points))
+        out.append((names[int(np.argmax(points))], float((chance / chance.sum()).max())))
+    return out
+
+
+def test_fusion_equals_plain_loops(spark):
+    folder = "/root/testdata/sf0.001"
+    model = lang_id.fit_text_model(read(ready(spark), folder, "documents"), 50)
+    rows = read(spark, folder, "pages").select("page_id", "url", "html")
+    got = {r.page_id: (r.lang, r.confidence) for r in lang_id.identify(rows, model).collect()}
+    pages = rows.collect()
+    for page, (lang, confidence) in zip(pages, fused([(r.url, r.html) for r in pages], model), strict=True):
+        assert got[page.page_id] == (lang, pytest.approx(confidence, abs=1e-6))
+
+
 def test_weak_pages_follow_markup_and_host(spark):
     model = lang_id.fit_text_model(read(ready(spark), "/root/testdata/sf0.01", "documents"), 400)
     german = read(spark, "/root/testdata/sf0.01", "documents").where("lang = 'de' and length(text) > 600").limit(9).collect()
