@@ -75,8 +75,12 @@ ENDED = LIVES.replace("(select max(ts) as m from events)", f"(select {CLOCK} as
 
 
 def _landed(spark, sf):
-    """The events as a stream of three files, with rows out of order around their edges."""
+    """The events as a stream of three batches of files, with rows out of order around their edges.
+
+    A period is written by as many tasks as the table is read by, and a trigger takes a period's files.
+    """
     rows = views.events(spark, sf)
+    tasks = rows.rdd.getNumPartitions()
     lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
     path, third = fresh_dir(spark, "landed-events"), (hi - lo) / 3
     shifted = F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 2 * 5).cast("int"))
@@ -84,8 +88,8 @@ def _landed(spark, sf):
         shifted >= F.lit(lo + 2 * third).cast("timestamp_ntz")
     ).cast("int")
     for i in range(3):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return files.stream_table(spark, path, schemas.EVENTS, files_per_trigger=1)
+        rows.filter(part == i).repartition(tasks).write.mode("append").parquet(path)
+    return files.stream_table(spark, path, schemas.EVENTS, files_per_trigger=tasks)
 
 
 @query(
@@ -186,14 +190,32 @@ def j8(spark, sf):
   and b.bar_ts > o.ts and b.bar_ts <= o.ts + interval 2 hours and b.low <= o.price / 2 group by 1, 2, 3, 4""",
 )
 def e9(spark, sf):
+    fills = tick_streams.fills_stream(*_resting(spark, sf), 7200, LATENESS)
+    return tick_streams.first_fill(drain_append(fills, "fills"))
+
+
+def _resting(spark, sf):
+    """A stream of buy orders at half the tick's price, and one of five-minute bars."""
     path = fresh_dir(spark, "landed-bars")
     files.write_immutable(views.bars(spark, sf, "M5").drop("bar_no"), path, "landed")
     live = files.stream_table(spark, path, schemas.BARS)
     orders = _ticks(spark, sf).select(
         F.col("tick_id").alias("order_id"), "symbol", "ts", (F.col("price") / 2).alias("entry")
     )
-    fills = tick_streams.fills_stream(orders, live, 7200, LATENESS)
-    return tick_streams.first_fill(drain_append(fills, "fills"))
+    return orders, live
+
+
+@query(
+    "e9_first_fills_stream",
+    f"""with {TICKS}, {bars_of('M5')}, c as (select date_trunc('milliseconds', least((select max(ts) from ticks),
+  (select max(bar_ts) from bars))) - interval 130 minutes as t) select o.tick_id as order_id, o.symbol, o.ts,
+  {r('o.price / 2')} as entry, min(b.bar_ts) as fill_ts from ticks o join bars b on b.symbol = o.symbol
+  and b.bar_ts > o.ts and b.bar_ts <= o.ts + interval 2 hours and b.low <= o.price / 2
+  where o.ts < (select t from c) group by 1, 2, 3, 4""",
+)
+def e9_first(spark, sf):
+    """The stream's own rows; orders that bars may still fill earlier wait, as the SQL says by its clock."""
+    return drain_append(tick_streams.first_fills_stream(*_resting(spark, sf), 7200, LATENESS), "first-fills")
 
 
 # --- models ---------------------------------------------------------------
@@ -226,11 +248,23 @@ def h1_rows(spark, sf):
 @query("h2_scored_rows", LATE_BARS)
 def h2_rows(spark, sf):
     train = _parts(spark, sf)[0]
-    uri = models.save(models.fit_gbt(train, _valid_from(train), rounds=3), fresh_dir(spark, "model"))
+    uri = models.save(models.fit_gbt(train, _valid_from(train)), fresh_dir(spark, "model"))
     scored = models.score(_late_rows(spark, sf), uri).filter(F.col("p_bull").between(0, 1))
     return scored.groupBy("symbol").agg(F.count("*").alias("n"))
 
 
+@query("h3_score_trees", LATE_BARS.replace("as n from", "as n, 0::bigint as n_apart from"))
+def h3_trees(spark, sf):
+    """Boosted trees scored from their file; n_apart counts rows over 1e-9 away from the fitted model's own."""
+    train = _parts(spark, sf)[0]
+    model = models.fit_gbt(train, _valid_from(train))
+    uri = models.save_trees(spark, model, fresh_dir(spark, "trees"))
+    rows = models.apply_direction(model, _late_rows(spark, sf)).withColumnRenamed("p_bull", "p_own")
+    scored = models.score_file(rows, uri, models.load_trees, models.predict_trees, models.INPUTS, "p_file")
+    apart = F.abs(F.col("p_file") - F.col("p_own")) > 1e-9
+    return scored.groupBy("symbol").agg(F.count("p_file").alias("n"), F.count_if(apart).alias("n_apart"))
+
+
 def _valid_from(train):
     """The last quarter of the training time is held out."""
     return F.lit(_times(train)[1]).cast("timestamp_ntz")

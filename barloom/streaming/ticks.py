@@ -37,7 +37,9 @@ def dedupe_stream(ticks: DataFrame, keys: Sequence[str], lateness: str) -> DataF
     return clock_columns(event_time(ticks, lateness).dropDuplicatesWithinWatermark(list(keys)))
 
 
-def fills_stream(orders: DataFrame, bars: DataFrame, reach_seconds: int, lateness: str) -> DataFrame:
+def fills_stream(
+    orders: DataFrame, bars: DataFrame, reach_seconds: int, lateness: str, as_clock: bool = True
+) -> DataFrame:
     """Bars that reach the entry of a buy order between its placing and its expiry.
 
     `orders` (order_id, symbol, ts, entry) meet the bars that start after them, at
@@ -60,7 +62,19 @@ def fills_stream(orders: DataFrame, bars: DataFrame, reach_seconds: int, latenes
     joined = o.join(b, meets).select(
         "o.order_id", "o.symbol", "o.ts", "o.entry", F.col("b.bar_ts").alias("fill_ts"), "b.low"
     )
-    return clock_columns(joined)
+    return clock_columns(joined) if as_clock else joined
+
+
+def first_fills_stream(orders: DataFrame, bars: DataFrame, reach_seconds: int, lateness: str) -> DataFrame:
+    """One row per filled buy order, with its earliest bar, once no earlier bar can arrive.
+
+    The stream of touches goes on into an aggregation keyed by the order's own event time. Spark holds that
+    operator's watermark back by the reach of the join before it, so late bars within the lateness still
+    count. State holds one row per filled order of the reach and the lateness. Append mode.
+    """
+    touches = fills_stream(orders, bars, reach_seconds, lateness, as_clock=False)
+    touches = touches.withColumn("fill_ts", F.col("fill_ts").cast("timestamp_ntz"))  # not an event time any more
+    return clock_columns(first_fill(touches))
 
 
 def first_fill(fills: DataFrame) -> DataFrame:

@@ -163,6 +163,29 @@ def test_fills(spark, tmp_path):
     assert [(r.order_id, r.fill_ts) for r in first] == [(1, at(10))]
 
 
+def test_first_fills_over_restarts(spark, tmp_path):
+    """Each run reads one more file, the bars' files in the wrong order within the lateness."""
+    path = str(tmp_path)
+    rows = [(i, "A", at(5 * i + 2), 1e9 if i % 3 else -1e9) for i in range(60)]
+    orders = spark.createDataFrame(rows, "order_id long, symbol string, ts timestamp_ntz, entry double")
+    made = bars_df(spark, bars_pdf(72, symbols=("A",), tf="M5", hours=1 / 12))
+    late = made.withColumn("land", F.col("bar_ts") + F.make_dt_interval(mins=F.when(F.minute("bar_ts") % 10 == 0, 7).otherwise(0)))
+    schema = orders.schema
+    for i, (lo, hi) in enumerate([(-60, 90), (90, 200), (200, 900)]):
+        def inside(c, lo=lo, hi=hi):
+            return (F.col(c) >= F.lit(at(lo)).cast("timestamp_ntz")) & (F.col(c) < F.lit(at(hi)).cast("timestamp_ntz"))
+
+        orders.filter(inside("ts")).write.mode("append").parquet(f"{path}/orders")
+        late.filter(inside("land")).drop("land").write.mode("append").parquet(f"{path}/bars")
+        fills = tick_streams.first_fills_stream(
+            files.stream_table(spark, f"{path}/orders", schema), files.stream_table(spark, f"{path}/bars", schemas.BARS), 3600, "10 minutes"
+        )
+        drain(fills, path)
+    got = sorted((r.order_id, r.fill_ts) for r in spark.read.parquet(f"{path}/out").collect())
+    clock = min(5 * 59 + 2, 5 * 71) - 10 - 60  # what may still be filled earlier waits
+    assert got == [(i, at(5 * i + 5)) for i in range(60) if i % 3 and 5 * i + 2 <= clock]
+
+
 def test_audit_log_appends(spark, tmp_path):
     path, src = str(tmp_path / "audit"), str(tmp_path / "src")
     rows = risk.audit_rows(risk.risk_gate(offers_df(spark, offers(20)), 0.8, 2, 60.0))
@@ -191,6 +214,32 @@ def test_models(spark):
     assert same(models.score(rows, uri), models.apply_direction(model, rows))
 
 
+def test_trees_from_their_file(spark, tmp_path):
+    table = models.training_table(bars_df(spark, bars_pdf(260))).cache()
+    model = models.fit_gbt(table, F.lit(at(60 * 200)).cast("timestamp_ntz"))
+    uri, marks = models.save_trees(spark, model, fresh_dir(spark, "trees")), str(tmp_path)
+
+    def load(data):
+        import os
+        import uuid
+
+        open(f"{marks}/{os.getpid()}-{uuid.uuid4()}", "w").close()
+        return models.load_trees(data)
+
+    rows = models.apply_direction(model, table).repartition(16)
+    for _ in range(2):
+        scored = models.score_file(rows, uri, load, models.predict_trees, models.INPUTS, "p_file")
+        assert scored.columns == [*rows.columns, "p_file"] and scored.count() == table.count()
+        assert scored.agg(F.max(F.abs(F.col("p_file") - F.col("p_bull")))).first()[0] <= 1e-9
+    loads = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert loads and len(loads) == len(set(loads))  # once per worker process, in both jobs together
+    assert models.score_file(rows.limit(0), uri, load, models.predict_trees, models.INPUTS).count() == 0
+    two = fresh_dir(spark, "two-files")
+    spark.range(2).selectExpr("string(id)").repartition(2).write.text(two)
+    with pytest.raises(ValueError):
+        models.score_file(rows, two, load, models.predict_trees, models.INPUTS)
+
+
 def test_saved_weights(spark):
     x = spark.createDataFrame([([1.0, 3.0, 2.0],), ([4.0, 4.0, 4.0],)], "x array<double>")
     uri = models.save_weights(spark, [0.5, 1.0], fresh_dir(spark, "weights"))
