@@ -18,6 +18,8 @@ from barloom.session import store
 
 #: Labelled documents of each language that the text model is fitted on, at most.
 FIT_ROWS = 2000
+#: Parts in which the rows of a language are ranked first.
+PARTS = 64
 #: Hash places of the byte trigrams, and trigrams that a text counts for at most (its mean
 #: likelihood is scaled to them: trigrams of one text are not independent).
 HASHED, HEAVIEST = 4096, 60
@@ -87,9 +89,11 @@ def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> TextModel:
     )
     texts = texts.withColumn("sig", F.xxhash64("text")).where("lang is not null and lang != ''")
     order = [F.xxhash64("doc_id", "sig"), F.col("doc_id"), F.col("sig"), F.col("lang")]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    chosen = texts.select("doc_id", "sig", "lang").withColumn("rank", rank).where(F.col("rank") <= fit_rows)
-    chosen = store(chosen.drop("rank").distinct(), "language-sample")
+    chosen = texts.select("doc_id", "sig", "lang", F.pmod(F.xxhash64("sig", "doc_id"), F.lit(PARTS)).alias("part"))
+    for by in (["lang", "part"], ["lang"]):  # a language may hold most rows: first the least of its parts
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= fit_rows).drop("rank")
+    chosen = store(chosen.drop("part").distinct(), "language-sample")
     same = ["sig", "lang"]
     sample = texts.join(chosen.select(F.col("doc_id").alias("d"), *same), same).where(
         F.col("doc_id").eqNullSafe(F.col("d"))
