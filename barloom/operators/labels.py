@@ -77,50 +77,6 @@ def _buy() -> Column:
     return F.col("side") == "BUY_LIMIT"
 
 
-def add_fill(df: DataFrame) -> DataFrame:
-    """Add fill state of limit orders, given their `_path`."""
-    reach = F.slice("_path", 1, F.col("expiry_bars"))
-    hits = F.transform(
-        reach, lambda p: F.when(_buy(), p.low <= F.col("entry")).otherwise(p.high >= F.col("entry"))
-    )
-    df = df.withColumn("_fill", F.array_position(hits, True).cast("int"))
-    filled = F.col("_fill") > 0
-    status = (
-        F.when(F.col("_path").isNull(), "NO_BAR")
-        .when(filled, "FILLED")
-        .when(F.size("_path") >= F.col("expiry_bars"), "EXPIRED")
-        .otherwise("PENDING")
-    )
-    at = F.when(filled, F.col("_fill")).otherwise(F.col("expiry_bars"))
-    return df.withColumns(
-        {"status": status, "status_ts": F.get("_path", at - 1).getField("bar_ts")}
-    )
-
-
-def add_outcome(df: DataFrame, horizon: int) -> DataFrame:
-    """Add outcome and P/L of filled orders; barriers count from the bar after the fill."""
-    rest = F.when(F.col("_fill") > 0, F.slice("_path", F.col("_fill") + 1, horizon))
-    df = df.withColumn("_rest", rest)
-
-    def stopped(p: Column) -> Column:
-        return F.when(_buy(), p.low <= F.col("sl")).otherwise(p.high >= F.col("sl"))
-
-    def gained(p: Column) -> Column:
-        return F.when(_buy(), p.high >= F.col("tp")).otherwise(p.low <= F.col("tp"))
-
-    met = F.filter("_rest", lambda p: stopped(p) | gained(p))
-    df = df.withColumn("_met", F.get(met, F.lit(0)))
-    outcome = (
-        F.when(F.col("status") != "FILLED", F.col("status"))
-        .when(F.col("_met").isNull() & (F.size("_rest") < horizon), "OPEN")
-        .when(F.col("_met").isNull(), "TIMEOUT")
-        .when(stopped(F.col("_met")), "SL")
-        .otherwise("TP")
-    )
-    df = df.withColumn("outcome", outcome)
-    return _with_pnl(df, F.get("_rest", F.size("_rest") - 1).getField("close"))
-
-
 def _with_pnl(df: DataFrame, last: Column) -> DataFrame:
     """Add the P/L of an outcome; `last` is the close at which an undecided trade ends."""
     price = (

@@ -142,21 +142,42 @@ def test_valid_orders_and_expectancy(spark):
     assert labels.expectancy_filter(priced.withColumn("friction", F.lit(0.9))).count() == 0
 
 
-def test_policy_grid_equals_single_orders(spark):
-    df = bars_df(spark, bars_pdf(120))
-    grid = policy.policy_grid(df, [0.2], [1.0], [1.5], expiry_bars=4, horizon=10)
-    rows = ft.compute(df, ft.atr())
-    entry = F.col("close") - 0.2 * F.col("atr")
-    orders = rows.select(
-        "symbol", "tf", "bar_ts", "atr", F.lit("BUY_LIMIT").alias("side"), entry.alias("entry"),
-        (entry - F.col("atr")).alias("sl"), (entry + 1.5 * F.col("atr")).alias("tp"), F.lit(4).alias("expiry_bars"),
+@pytest.mark.parametrize("expiry, horizon", [(4, 10), (1, 1), (3, 40)])
+def test_policy_grid_equals_single_orders(spark, expiry, horizon):
+    pdf = bars_pdf(120)
+    pdf.loc[[30, 31, 75], ["high", "low"]] = np.nan  # unknown prices, as NULL
+    df = bars_df(spark, pdf).withColumns({c: F.nanvl(c, F.lit(None)) for c in ("high", "low")})
+    levels = [0.2, 0.5, -0.1], [1.0, 0.3], [1.5, 0.4, 3.0]
+    grid = policy.policy_grid(df, *levels, expiry, horizon).toPandas()
+    rows = ft.compute(df, ft.atr(), ft.vol_expansion())
+    regime = F.when(F.col("vol_expansion") > 1, "expanding").when(F.col("vol_expansion").isNotNull(), "calm")
+    entry = F.col("close") - F.col("d") * F.col("atr")
+    settings = spark.createDataFrame([(d, s, t) for d in levels[0] for s in levels[1] for t in levels[2]], "d double, s double, t double")
+    orders = rows.crossJoin(settings).select(
+        "symbol", "tf", "bar_ts", "atr", "d", "s", "t", regime.alias("regime"), F.lit("BUY_LIMIT").alias("side"), entry.alias("entry"),
+        (entry - F.col("s") * F.col("atr")).alias("sl"), (entry + F.col("t") * F.col("atr")).alias("tp"), F.lit(expiry).alias("expiry_bars"),
     )
-    played = labels.order_outcome(orders, df, 4, 10).filter("pnl is not null").toPandas()
-    got = grid.toPandas()
-    assert got["n"].sum() == len(played)
-    assert np.average(got["ev"], weights=got["n"]) == pytest.approx((played["pnl"] / played["atr"]).mean())
-    best = policy.best_policy(policy.policy_grid(df, [0.2, 0.5], [1.0], [1.5], 4, 10))
-    assert best.count() == got["regime"].nunique()
+    played = labels.order_outcome(orders, df, expiry, horizon).toPandas()
+    played = played[played["pnl"].notna()]
+    played["gain"], played["filled"] = played["pnl"] / played["atr"], played["status"] == "FILLED"
+    want = {
+        (k[0] if isinstance(k[0], str) else None, *k[1:]): (len(g), g["filled"].mean(), g["gain"].mean())
+        for k, g in played.groupby(["regime", "d", "s", "t"], dropna=False)
+    }
+    got = {
+        (r.regime if isinstance(r.regime, str) else None, r.discount, r.stop, r.target): (r.n, r.fill_rate, r.ev)
+        for r in grid.itertuples() if r.n
+    }
+    assert len(got) > 18 and set(got) == set(want)
+    for key, values in want.items():
+        assert got[key] == pytest.approx(values, rel=1e-9, abs=1e-9, nan_ok=True), key
+    best = policy.best_policy(policy.policy_grid(df, [0.2, 0.5], [1.0], [1.5], expiry, horizon))
+    assert best.count() == grid["regime"].nunique(dropna=False)
+
+
+def test_policy_grid_of_no_bars(spark):
+    df = bars_df(spark, bars_pdf(5)).limit(0)
+    assert policy.policy_grid(df, [0.2], [1.0], [1.5], 4, 10).count() == 0
 
 
 def test_sizing(spark):
