@@ -29,7 +29,8 @@ INPUTS = (
 MODEL_BYTES = 256 << 20
 
 
-def _next_bar() -> ft.Feature:
+def next_bar() -> ft.Feature:
+    """The next bar's time and direction as `label_end` and `label`; NULL for the newest bar."""
     stage = ft.Stage(
         {
             "label_end": lambda w: F.lead("bar_ts").over(w),
@@ -52,7 +53,7 @@ def training_table(bars: DataFrame) -> DataFrame:
     Rows with an undefined feature are left out, and so is the newest bar of each series,
     whose label is not known yet. For scoring use `scoring_table`.
     """
-    made = _features(bars, _next_bar())
+    made = _features(bars, next_bar())
     return made.select(*SERIES, "bar_ts", "label_end", "label", *INPUTS).dropna()
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.operators import features as ft
-from barloom.operators import metrics, models, risk, samples, tiles, validation
+from barloom.operators import metrics, models, newton, risk, samples, tiles, validation
 from barloom.plans.oracle import TICKS, bars, bars_of, r
 from barloom.plans.registry import query
 from barloom.plans.data_queries import BAR_COLS
-from barloom.plans.feature_queries import MIDDLE, _times
+from barloom.plans.feature_queries import BODY, MIDDLE, UPPER, _times
 from barloom.plans.strategy_queries import EMBARGO, FOLD_SQL, GATED, LIVES, _gated, folds
 from barloom.session import fresh_dir, store
 from barloom.sources import files, views
@@ -336,3 +338,77 @@ def g1_rows(spark, sf):
         return lambda test: test.withColumn("p_bull", F.lit(mean))
 
     return _walked(spark, sf, fit).groupBy("fold").agg(F.count("p_bull").alias("n"))
+
+
+# Two inputs, so that SQL can solve a step's three equations.
+SHAPE, STEPS = ("body_ratio", "upper_wick"), 9
+
+
+def _step(i: int) -> str:
+    """Newton step i of all folds: sums over the rows, then the inverse of a symmetric 3 x 3 matrix."""
+    return f"""g{i} as materialized (select fold, any_value(b0) as b0, any_value(b1) as b1, any_value(b2) as b2,
+  avg(p - y) as g0, avg((p - y) * z1) + 0.01e0 * any_value(b1) as g1, avg((p - y) * z2) + 0.01e0 * any_value(b2) as g2,
+  avg(p * (1 - p)) as h00, avg(p * (1 - p) * z1) as h01, avg(p * (1 - p) * z2) as h02,
+  avg(p * (1 - p) * z1 * z1) + 0.01e0 as h11, avg(p * (1 - p) * z1 * z2) as h12, avg(p * (1 - p) * z2 * z2) + 0.01e0 as h22
+  from (select z.*, b0, b1, b2, 1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2))) as p from z join b{i - 1} using (fold)) group by fold),
+  b{i} as materialized (select fold, b0 - (c00 * g0 + c01 * g1 + c02 * g2) / det as b0,
+  b1 - (c01 * g0 + c11 * g1 + c12 * g2) / det as b1, b2 - (c02 * g0 + c12 * g1 + c22 * g2) / det as b2 from (select *,
+  h11 * h22 - h12 * h12 as c00, h02 * h12 - h01 * h22 as c01, h01 * h12 - h02 * h11 as c02, h00 * h22 - h02 * h02 as c11,
+  h01 * h02 - h00 * h12 as c12, h00 * h11 - h01 * h01 as c22,
+  h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) as det from g{i}))"""
+
+
+def _newton(fold_sql: str, embargo: str) -> str:
+    """Tables t (rows with inputs and label), f (folds) and w (their weights)."""
+    return f"""{bars()}, {fold_sql}, t as materialized (select * from (select symbol, bar_ts, {BODY} as x1, {UPPER} as x2,
+  lead(bar_ts) over w as label_end, case when lead(close) over w > close then 1e0 else 0e0 end as y
+  from bars window w as (partition by symbol order by bar_ts)) where label_end is not null),
+  tr as materialized (select fold, x1, x2, y from t join f on label_end < lo - interval {embargo}),
+  m as materialized (select fold, avg(x1) as m1, avg(x2) as m2, stddev_samp(x1) as s1, stddev_samp(x2) as s2,
+  avg(y) as my from tr group by 1), z as materialized (select fold, (x1 - m1) / s1 as z1, (x2 - m2) / s2 as z2, y
+  from tr join m using (fold)), b0 as (select fold, ln(my / (1 - my)) as b0, 0e0 as b1, 0e0 as b2 from m),
+  {', '.join(_step(i) for i in range(1, STEPS + 1))},
+  w as (select fold, b0 - b1 * m1 / s1 - b2 * m2 / s2 as intercept, b1 / s1 as w1, b2 / s2 as w2
+  from b{STEPS} join m using (fold)), s as (select symbol, fold, y, 1 / (1 + exp(-(intercept + w1 * x1 + w2 * x2))) as q
+  from t join f on bar_ts >= lo and bar_ts < hi join w using (fold))"""
+
+
+JUDGED = f"""count(*) as n, {r('avg(case when (q > 0.5) = (y > 0) then 1e0 else 0e0 end)')} as accuracy,
+  {r('avg(-(y * ln(q) + (1 - y) * ln(1 - q)))')} as log_loss, {r('avg((q - y) * (q - y))')} as brier from s"""
+HALF_SQL = f"f as (select 1::int as fold, {MIDDLE} as lo, (select max(bar_ts) from bars) + interval 1 hour as hi)"
+
+
+def _shapes(spark, sf):
+    made = ft.compute(views.bars(spark, sf), ft.body_ratio(), ft.wick_ratios(), models.next_bar())
+    return made.select(*tiles.SERIES, "bar_ts", "label_end", "label", *SHAPE).dropna()
+
+
+def _scored(rows, folds_, embargo):
+    rows = store(rows, "shapes")
+    return newton.score_folds(rows, folds_, newton.fit_folds(rows, folds_, embargo, SHAPE), SHAPE).withColumn("up", F.col("label") > 0)
+
+
+@query("g1_newton_folds", f"{_newton(FOLD_SQL, '6 hours')} select fold, {JUDGED} group by 1")
+def g1_newton(spark, sf):
+    """Out-of-sample metrics of every fold; all folds are fitted by the same jobs."""
+    scored = _scored(_shapes(spark, sf), folds(views.bars(spark, sf)), EMBARGO)
+    return metrics.direction_metrics(scored, ["fold"], "p_bull", "up")
+
+
+@query(
+    "g1_newton_weights",
+    f"""{_newton(FOLD_SQL, '6 hours')} select fold, {r('intercept')} as intercept, {r('w1')} as body_ratio,
+  {r('w2')} as upper_wick from w""",
+)
+def g1_weights(spark, sf):
+    rows = _shapes(spark, sf)
+    return newton.weights_table(rows, newton.fit_folds(rows, folds(views.bars(spark, sf)), EMBARGO, SHAPE), SHAPE)
+
+
+@query("h1_newton_direction", f"{_newton(HALF_SQL, '0 hours')} select symbol, {JUDGED} group by 1")
+def h1_newton(spark, sf):
+    """A direction model of the first half of the time, judged on the second."""
+    bars_ = views.bars(spark, sf)
+    newest = bars_.agg(F.max("bar_ts")).first()[0]
+    scored = _scored(_shapes(spark, sf), [(1, _times(bars_)[0], newest + timedelta(hours=1))], timedelta(0))
+    return metrics.direction_metrics(scored, ["symbol"], "p_bull", "up")
