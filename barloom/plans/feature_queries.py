@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from barloom.operators import bars as bar_ops
 from barloom.operators import features as ft
-from barloom.operators import joins, samples
+from barloom.operators import joins, recurrence, samples
 from barloom.plans.data_queries import local
 from barloom.plans.oracle import ROWS, TICKS, averages, bars, bars_of, r, with_averages
 from barloom.plans.registry import query
-from barloom.session import fresh_dir
+from barloom.session import fresh_dir, store
 from barloom.sources import files, views
 
 KEY = ["symbol", "bar_ts"]
@@ -183,6 +183,28 @@ def d_range(spark, sf):
     )
 
 
+# Averages that remember far more bars than a tile holds.
+LONG = {"ema_fast": ("close", 2 / 13), "ema_slow": ("close", 2 / 4001)}
+LONG_OUT = f"symbol, bar_ts, {r('ema_fast')} as ema_fast, {r('ema_slow')} as ema_slow from a"
+
+
+def _long():
+    return [recurrence.average(n, x, a) for n, (x, a) in LONG.items()]
+
+
+@query("d6_ema_scan", f"{with_averages(LONG)} select {LONG_OUT}")
+def d6_scan(spark, sf):
+    return recurrence.bar_averages(views.bars(spark, sf), _long(), size=128).select(*KEY, *LONG)
+
+
+@query("d6_ema_range", f"{with_averages(LONG)} select {LONG_OUT} where bar_ts >= {MIDDLE} and bar_ts < {THREE_QUARTERS}")
+def d6_range(spark, sf):
+    """A range of the averages from carries kept beside the bars: no bar before the range's chunk is read."""
+    made = store(views.bars(spark, sf), "bars")
+    carried = store(recurrence.bar_carries(made, _long(), 48), "carries")
+    return recurrence.bar_averages_between(made, carried, *_times(made), _long(), 48).select(*KEY, *LONG)
+
+
 @query(
     "d4_atr_filtered",
     f"""{bars(recursive=True)}, late as (select * from bars where bar_ts >= {MIDDLE}),
