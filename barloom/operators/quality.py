@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.clock import WIDTHS, market_open, plus_seconds
-from barloom.functions.sqlmath import sorted_quantile
+from barloom.operators.rolling import quantiles_before
 from barloom.operators.tiles import NO, SERIES, Scan, number_bars, number_ticks, running, tiled
 
 
@@ -124,12 +124,11 @@ def spread_median(ticks: DataFrame, n: int) -> DataFrame:
     """
     known = F.when(~F.isnan("spread"), F.col("spread"))
 
-    def rolling(df: DataFrame, w) -> DataFrame:
-        recent = F.sort_array(F.collect_list(known).over(w.rowsBetween(-n, -1)))
-        return df.withColumn("_recent", F.when(F.col(NO).isNotNull(), recent))
+    def recent(df: DataFrame, w) -> DataFrame:
+        df = df.withColumn("_known", known)
+        return quantiles_before(df, w, ["symbol", "_tile"], NO, "_known", n, {"spread_median": 0.5}, "_recent")
 
-    seen = tiled(number_ticks(ticks), rolling, before=n, keys=["symbol"])
-    return seen.withColumn("spread_median", sorted_quantile("_recent", 0.5)).drop("_recent")
+    return tiled(number_ticks(ticks), recent, before=n, keys=["symbol"]).drop("_known", "_recent")
 
 
 def newest_before(

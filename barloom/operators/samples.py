@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.sqlmath import ratio, sorted_quantile
+from barloom.functions.sqlmath import ratio
 from barloom.operators.joins import diff_within
 from barloom.operators.quality import dedupe
+from barloom.operators.rolling import quantiles_before
 from barloom.operators.tiles import NO, SERIES, number_bars, tiled
 from barloom.session import store
 
@@ -69,21 +70,17 @@ def quantile_baseline(bars: DataFrame, win: int = 100, min_n: int = 20) -> DataF
     def forecast(df: DataFrame, w) -> DataFrame:
         df = returns(df, w)
         frame = w.rowsBetween(-win, -1)
-        return df.withColumns(
-            {
-                "_past": F.sort_array(F.collect_list("_r").over(frame)),
-                "p_bull": F.avg((F.col("_r") > 0).cast("double")).over(frame),
-            }
-        )
+        df = df.withColumn("p_bull", F.avg((F.col("_r") > 0).cast("double")).over(frame))
+        return quantiles_before(df, w, [*SERIES, "_tile"], NO, "_r", win, {f"_q{q}": q / 100 for q in (10, 50, 90)}, "_n")
 
-    made = tiled(number_bars(bars), forecast, before=win + 1).filter(F.size("_past") >= min_n)
-    price = lambda q: F.col("_pc") * (1 + sorted_quantile("_past", q))
+    made = tiled(number_bars(bars), forecast, before=win + 1).filter(F.col("_n") >= min_n)
+    price = lambda q: F.col("_pc") * (1 + F.col(f"_q{q}"))
     return made.select(
         *SERIES,
         "bar_ts",
-        price(0.1).alias("q10"),
-        price(0.5).alias("q50"),
-        price(0.9).alias("q90"),
+        price(10).alias("q10"),
+        price(50).alias("q50"),
+        price(90).alias("q90"),
         "p_bull",
         F.greatest("p_bull", 1 - F.col("p_bull")).alias("confidence"),
     )
