@@ -342,3 +342,38 @@ def test_metadata_and_diff(spark, tmp_path):
     other = spark.createDataFrame([(1, 1.000001), (2, 3.1), (4, 0.0)], "k int, v double")
     got = {r.k: r.state for r in joins.diff_within(df, other, ["k"], ["v"], 1e-5).collect()}
     assert got == {2: "differs", 3: "only_a", 4: "only_b"}
+
+
+def test_monte_carlo_shuffles_no_draws(spark, monkeypatch):
+    from hashlib import md5
+
+    from barloom.operators import draws
+
+    for name, value in (("HELD", 16), ("LEAST", 1), ("SLICE", 4)):
+        monkeypatch.setattr(draws, name, value)
+    pnls = [None if i % 5 == 0 else float(i * 7 % 11 - 5) for i in range(23)]
+    kinds = "strategy_id bigint, block_no bigint, total double, top double, fall double, drop double"
+    deep = [(1, i, p, max(p or 0.0, 0.0), min(p or 0.0, 0.0) - i % 2, max(-(p or 0.0), 0.0) + i % 2) for i, p in enumerate(pnls)]
+    blocks = spark.createDataFrame(deep + [(2, 0, None, 0.0, 0.0, 0.0), (None, 0, 1.0, 1.0, 0.0, 0.0)], kinds)
+    got = validation.mc_drawdown(blocks, ["strategy_id"], runs=9, seed=3, stretch=5)
+    plan = got._jdf.queryExecution().toString()
+    assert "_pos" not in plan and "block_no" not in plan  # a row for each draw would join by them
+    rows = {(r.strategy_id, r.run): (r.profit, r.max_drawdown) for r in got.collect()}
+    assert len(rows) == 18 and all(rows[2, run] == (None, 0.0) for run in range(1, 10))
+    for run in range(1, 10):
+        at = peak = worst = 0.0
+        for p in range(23):
+            _, _, total, top, fall, drop = deep[int(md5(f"3|{run}|1|{p}".encode()).hexdigest()[:15], 16) % 23]
+            worst = max(worst, drop, peak - (at + fall))
+            peak, at = max(peak, at + top), at + (total or 0.0)
+        assert rows[1, run] == (at, worst)
+
+
+def test_hashed_draws_equal_md5():
+    from hashlib import md5
+
+    from barloom.operators.draws import md5_60
+
+    for head, first, n in ((b"11|7|2|", 0, 1200), (b"", 98, 5), ("é|".encode() * 16, 7, 9), (b"x" * 54, 8, 5), (b"x" * 90, 8, 5)):
+        want = [int(md5(head + b"%d" % i).hexdigest()[:15], 16) for i in range(first, first + n)]
+        assert md5_60(head, first, n).tolist() == want
