@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from frames import at, bars_df, bars_pdf
 from pyspark.sql import functions as F
@@ -133,6 +134,78 @@ def test_gates_equal_the_batch(spark, tmp_path):
     assert twin.count() > 350 and same(spark.read.parquet(f"{path}/out"), twin)
 
 
+class States:
+    """State and timers of one key, held here; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps, self.values = 0, set(), {}, {}
+
+    def getMapState(self, name, *_):
+        return self._state(self.maps.setdefault(name, {}))
+
+    def getValueState(self, name, *_):
+        return self._state(self.values.setdefault(name, {}))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def _state(self, kept):
+        from types import SimpleNamespace
+
+        def counted(call):
+            def run(*args):
+                self.calls += 1
+                return call(*args)
+
+            return run
+
+        calls = {
+            "getValue": kept.get, "updateValue": kept.__setitem__, "removeKey": kept.pop, "keys": lambda: iter(list(kept)),
+            "exists": lambda: bool(kept), "get": lambda: kept[0], "update": lambda v: kept.__setitem__(0, v), "clear": kept.clear,
+        }
+        return SimpleNamespace(**{name: counted(call) for name, call in calls.items()})
+
+
+def clock_at(ms):
+    from types import SimpleNamespace
+
+    return SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+
+
+def test_state_calls_do_not_grow_with_the_orders():
+    def calls(orders):
+        states, life = States(), order_streams.OrderLife(3_600_000_000, "PLACE", {"FILL": "FILLED"})
+        life.init(states)
+        ids = np.arange(orders)
+        us = np.concatenate([ids + 1_000_000, ids + 2_000_000])
+        frame = {"order_id": np.tile(ids, 2), "event_id": np.arange(2 * orders), "ts": us.astype("datetime64[us]")}
+        frame = pd.DataFrame(frame | {"kind": ["PLACE"] * orders + ["FILL"] * orders})
+        assert list(life.handleInputRows((0,), iter([frame]), clock_at(0))) == []
+        got = pd.concat(life.handleExpiredTimer((0,), clock_at(60_000), None))
+        assert sorted(got["order_id"]) == list(range(orders)) and set(got["state"]) == {"FILLED"}
+        return states.calls
+
+    assert calls(500) == calls(5)
+
+
+def test_due_rows_come_by_slots_of_time():
+    """Three hours of proposals become due at once, and are decided an hour at a time."""
+    states, ledger = States(), order_streams.RiskLedger(2, 40.0)
+    ledger.init(states)
+    us = np.arange(180)[::-1] * 60_000_000
+    frame = pd.DataFrame({"trade_id": np.arange(180), "open_ts": us.astype("datetime64[us]"), "sound": True, "pnl": 1.0})
+    frame["close_ts"] = frame["open_ts"] + pd.Timedelta(seconds=30)
+    for part in (frame[:50], frame[50:]):
+        assert list(ledger.handleInputRows((7,), iter([part]), clock_at(0))) == []
+    out = list(ledger.handleExpiredTimer((7,), clock_at(10_000_000), None))
+    assert [len(part) for part in out] == [60, 60, 47]
+    got = pd.concat(out)
+    assert got["trade_id"].tolist() == list(range(179, 12, -1)) and set(got["decision"]) == {"ACCEPT"}
+
+
 def test_live_features_equal_the_batch(spark, tmp_path):
     df = bars_df(spark, bars_pdf(90))
     wanted = [ft.true_range(), ft.bb_width(), ft.ema(n=3)]
