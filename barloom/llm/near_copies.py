@@ -175,7 +175,8 @@ def link_large(large: DataFrame, edges: DataFrame, sets: DataFrame, marks: DataF
     enough to compare each member outside the largest component with the whole cell. Members with too few
     shingles in common with anybody are left out, those of most large cells are compared first (they lie in
     the middle of their copies, so one of them links most of the cell), and each round links the
-    components anew, until none is left.
+    components anew, until none is left. A round starts from the last one's components, each node linked to
+    its root, in place of all edges so far; those links are what is returned.
     """
     weight = large.groupBy("node").agg(F.count("*").alias("weight"))
     counts = store(shared_counts(large, sets).join(weight, "node").join(marks, "node"), "near-counts")
@@ -184,8 +185,8 @@ def link_large(large: DataFrame, edges: DataFrame, sets: DataFrame, marks: DataF
     columns = ["band", "part", "node", "n", "shared", "fp", "pivots", "weight", "marks"]
     led, many = None, 1
     while True:
-        roots = components(edges)
-        roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+        found = components(edges)
+        roots = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
         placed = large.join(store(roots, "near-roots"), "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
         placed = store(placed, "near-placed")
         parts = placed.groupBy("band", "part", "root").agg(F.count("*").alias("held"))
@@ -195,19 +196,20 @@ def link_large(large: DataFrame, edges: DataFrame, sets: DataFrame, marks: DataF
             others = others.join(led, ["band", "part", "node"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("band", "part").orderBy(F.desc("weight"), "node"))
         leaders = store(others.withColumn("rank", rank).where(F.col("rank") <= many).select(*columns, "root"), "near-leaders")
+        stars = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
         if leaders.isEmpty():
-            return edges
+            return stars
         a, b = placed.alias("a"), leaders.alias("b")
         together = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") != F.col("b.root"))
         met = a.join(b, together & can_be_alike("a", "b", least) & marked_alike("a", "b", least))
         met = met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-        edges = store(edges.unionByName(verified(store(met, "near-pairs"), sets, least)), "near-edges")
+        edges = stars.unionByName(verified(store(met, "near-pairs"), sets, least))
         now = leaders.select("band", "part", "node")
         led, many = now if led is None else led.unionByName(now), many * GROWTH
 
 
 def links(rows: DataFrame, known: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Edges (u, v), u > v, between nodes of different texts that share a band and are alike by `least` or more.
+    """Edges (u, v), u > v, that connect just what nodes of different texts connect that share a band and are alike by `least` or more.
 
     known: node, id, sig (of one of its texts), n, fp, marks, bands.
     """
@@ -219,7 +221,7 @@ def links(rows: DataFrame, known: DataFrame, shingle: int = SHINGLE, least: floa
     large = members.where(F.col("size") > PAIR_CELL)
     wanted = small.select(F.explode(F.array("u", "v")).alias("node")).unionByName(large.select("node")).distinct()
     sets = store(shingle_sets(rows, wanted, known, shingle), "near-sets")
-    edges = store(verified(small, sets, least), "near-edges")
+    edges = verified(small, sets, least)
     return edges if large.isEmpty() else link_large(large, edges, sets, known.select("node", "marks"), least)
 
 

@@ -17,6 +17,8 @@ PIVOTS = 16
 BLOCKS = 5
 #: Cells of more fingerprints are linked through midpoints instead of pairs.
 PAIR_CELL = 64
+#: Edges for a task, where more than its cores' share.
+TASK_EDGES = 1 << 17
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -121,23 +123,34 @@ def links(table: DataFrame) -> DataFrame:
     return small.unionByName(large).distinct()
 
 
+def state_of(edges: DataFrame) -> tuple:
+    """How many edges there are, and a sum that tells sets of edges apart."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; the root is the component's smallest node.
 
     Alternates large and small stars: each round hangs a node's neighbours on its smallest
-    neighbour, until only stars are left, after about log(n) rounds. Every round is written to
-    the shared folder. A hub's neighbours are joined, not gathered.
+    neighbour, until only stars are left, after about log(n) rounds; edges that are stars already take
+    one. Every round is written to the shared folder, by no more tasks than its edges need: a session of
+    many shuffle partitions would else run and log thousands of tasks of a few edges each. A hub's
+    neighbours are joined, not gathered.
     """
-    edges, mark = store(edges, "simhash-edges"), None
+    edges = store(edges, "simhash-edges")
+    mark = state_of(edges)
     while True:
+        tasks = max(edges.sparkSession.sparkContext.defaultParallelism, mark[0] // TASK_EDGES)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = store(large, "simhash-large-star")
+        # Merged, so that the smallest neighbours stay in the partitions where they are found.
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).hint("merge")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = store(large.coalesce(tasks), "simhash-large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = store(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "simhash-small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        moved = large.join(low.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = moved.coalesce(tasks).unionByName(low.select("u", F.col("m").alias("v")).coalesce(tasks)).distinct()
+        edges = store(stars.coalesce(tasks), "simhash-small-star")
+        now = state_of(edges)
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
