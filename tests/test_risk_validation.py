@@ -369,6 +369,30 @@ def test_monte_carlo_shuffles_no_draws(spark, monkeypatch):
         assert rows[1, run] == (at, worst)
 
 
+def broadcast_rows(plan):
+    """Rows of every broadcast in a plan that has run."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return broadcast_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return broadcast_rows(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else []
+    below = plan.children()
+    return own + [n for i in range(below.size()) for n in broadcast_rows(below.apply(i))]
+
+
+def test_monte_carlo_sends_no_draws_through_the_driver(spark):
+    kinds = "strategy_id bigint, block_no bigint, total double, top double, fall double, drop double"
+    rows = [(k, i, 1.0, 1.0, 0.0, 0.0) for k in (1, 2) for i in range(300)]
+    blocks = spark.createDataFrame(rows, kinds)
+    most = []
+    for runs in (10, 100):
+        got = validation.mc_drawdown(blocks, ["strategy_id"], runs=runs, seed=3)
+        assert {tuple(r) for r in got.collect()} == {(k, run, 300.0, 0.0) for k in (1, 2) for run in range(1, runs + 1)}
+        most.append(max(broadcast_rows(got._jdf.queryExecution().executedPlan()), default=0))
+    assert max(most) <= 64, most  # not a row for each of up to 60,000 draws
+
+
 def test_hashed_draws_equal_md5():
     from hashlib import md5
 
