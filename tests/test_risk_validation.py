@@ -393,6 +393,41 @@ def test_monte_carlo_sends_no_draws_through_the_driver(spark):
     assert max(most) <= 64, most  # not a row for each of up to 60,000 draws
 
 
+def test_monte_carlo_shuffles_no_copies_of_blocks(spark, monkeypatch):
+    from barloom.operators import draws
+
+    for name, value in (("HELD", 16), ("LEAST", 1), ("SLICE", 4)):
+        monkeypatch.setattr(draws, name, value)
+    kinds = "strategy_id bigint, block_no bigint, total double, top double, fall double, drop double"
+    blocks = spark.createDataFrame([(1, i, -1.0, 0.0, -1.0, 1.0) for i in range(23)], kinds)
+    got = validation.mc_drawdown(blocks, ["strategy_id"], runs=9, seed=3, stretch=5)
+    assert {tuple(r) for r in got.collect()} == {(1, run, -23.0, 23.0) for run in range(1, 10)}
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "CartesianProduct" in plan and "REPARTITION_BY_NUM" in plan
+    assert all("total" not in line or "run" in line for line in plan.split("\n") if "Exchange" in line)
+
+
+def test_held_draws_need_every_block():
+    import pyarrow as pa
+
+    from barloom.operators.draws import PARTS, Held
+
+    def held():
+        return Held(seed=3, mid="|1|", n=6, draws=8, stretch=3, lo=0, hi=5)
+
+    def part(values):
+        return {"total": pa.array(values)} | dict.fromkeys(PARTS[1:])
+
+    there, back = held(), held()
+    there.fill(0, part([1.0, -2.0, 3.0, -4.0])), there.fill(4, part([5.0, -6.0]))
+    back.fill(4, part([5.0, -6.0])), back.fill(0, part([1.0, -2.0, 3.0, -4.0]))
+    assert there.summaries() == back.summaries()
+    few = held()
+    few.fill(0, part([1.0, -2.0, 3.0, -4.0]))
+    with pytest.raises(ValueError, match="4 of 6 blocks"):
+        few.summaries()
+
+
 def test_hashed_draws_equal_md5():
     from hashlib import md5
 
